@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches, utf8, written
+from .hashing import gram_hashes
 
 LENGTH = 400
 GRAM = 100
@@ -43,40 +44,10 @@ HOT_KINDS = 4096
 #: Segments that one call of `repeated_starts` sorts together, unless one anchor has more (at most HOT_KINDS).
 TOGETHER = 8192
 
-_BASE = 0x9E3779B97F4A7C15
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Texts are searched for anchors in pieces of this size; positions must fit 24 bits.
 _PIECE = 1 << 22
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    size = max(1 << 16, 1 << n.bit_length())
-    if size not in _POW:
-        _POW.clear()
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POW[size] = tuple(both)
-    return _POW[size]
-
-
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed 64-bit hash of the `gram` bytes at each position."""
-    n = len(data)
-    power, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
-
-
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of each run of window starts with one anchor: its hash, first and last start, anchor position."""
     if len(data) < length:
