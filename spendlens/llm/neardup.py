@@ -3,20 +3,21 @@
 Documents whose sets of distinct five-word shingles have a Jaccard similarity
 of 0.75 or more are linked; the components of the links are the groups.
 
-1. `sketches` computes per text, in numpy: the set's size and digest, 128
-   MinHash samples as 32 bands of 4, and the odd sketch: 512 parity bits, one
-   of which each sample toggles. At similarity 0.75 two documents share no
-   band with probability (1 - 0.75**4)**32 = 5e-6.
+1. `sketches` computes per text, in numpy: the set's size and digest, 512
+   MinHash samples, of which 128 form 32 bands of 4, and the odd sketch: 512
+   parity bits, one of which each sample toggles. At similarity 0.75 two
+   documents share no band with probability (1 - 0.75**4)**32 = 5e-6.
 2. Documents with equal sets become one node by partial aggregation.
 3. Nodes that share a band are compared with the band's least node. The XOR of
    two odd sketches has as many ones as samples differ, twice over, less
-   coincidences, which gives the similarity; pairs estimated under 0.5 (over
-   five deviations below 0.75) are dropped, the others are confirmed on their
-   full sets.
+   coincidences, which gives the similarity within 0.034 (one deviation);
+   pairs estimated under 0.61, four deviations below 0.75, are dropped, the
+   others are confirmed on their full sets.
 4. Nodes of a band that are still in different components are compared with
-   each other, blockwise: blocks of at most some 2 * `BLOCK` nodes meet in one
-   task, so no group is collected whole, and pairs already connected are left
-   out. Only estimates above the bound leave the block, and are confirmed too.
+   each other, blockwise: blocks of about `BLOCK` nodes meet under keys of
+   their own, so no group is collected whole. Only likely pairs leave the
+   join. Those estimated over 0.75 are confirmed first; of the others those
+   that are still between components follow.
 
 Null or empty texts and texts without words have an empty set and link with
 nothing. Repeated rows are copies of each other. A null doc_id stays null and
@@ -30,7 +31,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -43,11 +43,16 @@ from .hashing import shingle_set
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-SAMPLES = 128
-BANDS = 32
+SAMPLES = 512
+#: Bands of ROWS samples; only the first BANDS * ROWS samples are banded.
+BANDS, ROWS = 32, 4
 BITS = 512
-LEAST_ESTIMATE = 0.5
+LEAST_ESTIMATE = 0.61
+#: Pairs estimated over this are confirmed first.
+SURE_ESTIMATE = 0.75
 BLOCK = 512
+#: Nodes, about, whose texts meet under one key when pairs are confirmed.
+TOGETHER = 256
 
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -61,8 +66,8 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     """SAMPLES minima of the set under as many 32-bit permutations."""
     h = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 2048):
-        v = (h[None, at : at + 2048] ^ _FLIP[:, None]) * _TIMES[:, None]
+    for at in range(0, len(h), 512):
+        v = (h[None, at : at + 512] ^ _FLIP[:, None]) * _TIMES[:, None]
         np.minimum(best, v.min(axis=1), out=best)
     return best
 
@@ -86,7 +91,6 @@ def digest(shingles: np.ndarray) -> int:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows_a_band = SAMPLES // BANDS
     salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         size, sid, bands, odd = [], [], [], []
@@ -100,8 +104,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             m = minhash(s)
             key = salt.copy()
-            for i in range(rows_a_band):
-                key = (key ^ m[i::rows_a_band]) * np.uint64(0x9E3779B97F4A7C15)
+            for i in range(ROWS):
+                key = (key ^ m[i : BANDS * ROWS : ROWS]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
             sid.append(digest(s))
             bands.append(key.view(np.int64))
@@ -138,59 +142,87 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) with both texts: those that the full sets link."""
+    """Rows sorted by key: first texts (a: node), then pairs (a, b); the pairs that the full sets link."""
     unpack = zstandard.ZstdDecompressor()
-    last, last_set = None, None
+    now, texts, sets = None, {}, {}
+
+    def full(node: int) -> frozenset:
+        if node not in sets:
+            sets[node] = frozenset(shingle_set(unpack.decompress(texts[node]), WORDS).tolist())
+        return sets[node]
+
     for batch in batches:
         out: tuple[list, list] = ([], [])
-        for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
-            if a != last:
-                last, last_set = a, shingle_set(unpack.decompress(text_a), WORDS)
-            other = shingle_set(unpack.decompress(text_b), WORDS)
-            both = len(np.intersect1d(last_set, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(last_set) + len(other) - both):
+        for key, a, b, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != now:
+                now, texts, sets = key, {}, {}
+            if b is None:
+                texts[a] = packed
+                continue
+            x, y = full(a), full(b)
+            both = len(x & y)
+            if 100 * both >= PERCENT * (len(x) + len(y) - both):
                 out[0].append(a)
                 out[1].append(b)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
+def _alike(n_a: str, n_b: str):
+    """Whether sizes allow a link and the odd sketches `odd*_a` and `odd*_b` suggest one."""
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (_differing() <= _most(LEAST_ESTIMATE))
+
+
+def _differing():
+    return sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _ODD), F.lit(0))
+
+
+def _most(least: float) -> int:
+    """The most differing bits that stand for a similarity of `least`."""
+    return max(i for i in range(BITS + 1) if estimate(np.array([i]))[0] >= least)
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes allow a link and whose odd sketches suggest one."""
     of = lambda x: nodes.select(F.col("sid").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _ODD))
-    z = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _ODD), F.lit(0))
-    most = max(i for i in range(BITS + 1) if estimate(np.array([i]))[0] >= LEAST_ESTIMATE)
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where((100 * small >= PERCENT * large) & (z <= most)).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("n_a", "n_b")).select("a", "b")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among `pairs`, on full sets; both texts travel with a pair, so a node of many pairs can be split."""
-    return (
-        pairs.join(texts.select(F.col("sid").alias("b"), F.col("packed").alias("text_b")), "b")
-        .join(texts.select(F.col("sid").alias("a"), F.col("packed").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirmed, "a long, b long")
-    )
+def _confirm(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links among `pairs` (a, b), on full sets; `n`: the number of texts.
 
+    Nodes are dealt to n / TOGETHER parts; pairs of the same two parts meet
+    under one key, and each text goes there once, however many pairs it is in.
+    """
+    parts = F.lit(n // TOGETHER + 1)
+    key = F.pmod(F.xxhash64("a"), parts) * parts + F.pmod(F.xxhash64("b"), parts)
+    keyed = pairs.select(key.alias("key"), "a", "b")
+    needed = keyed.select("key", F.explode(F.array("a", "b")).alias("sid")).distinct().join(texts, "sid")
+    rows = needed.select("key", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "packed").unionByName(keyed.withColumn("packed", F.lit(None).cast("binary")))
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", F.col("b").asc_nulls_first()).mapInArrow(_confirmed, "a long, b long")
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of a block that are in different components, each once."""
-    own, other = group[group.side == 0], group[group.side == 1]
-    if not len(other):
-        other = own
-    x, y = own[_ODD].to_numpy(np.int64).view(np.uint64), other[_ODD].to_numpy(np.int64).view(np.uint64)
-    out = []
-    for i in range(len(own)):
-        z = np.bitwise_count(y ^ x[i]).sum(axis=1, dtype=np.int64)
-        n, m = own.n_shingles.iat[i], other.n_shingles.to_numpy()
-        good = (estimate(z) >= LEAST_ESTIMATE) & (other.component.to_numpy() != own.component.iat[i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-        if own is other:
-            good[: i + 1] = False
-        if good.any():
-            b = other.sid.to_numpy()[good]
-            a = np.full(len(b), own.sid.iat[i])
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+def _across(shared: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) that share a band and are in different components.
+
+    The nodes of a band are dealt to blocks of about BLOCK, and every two
+    blocks meet under a key of their own, so that a band of any size is spread
+    over tasks; what isn't likely never leaves the join.
+    """
+    member = (
+        shared.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left")
+        .select("band", "sid", "size", F.coalesce("component", "sid").alias("component"))
+    )
+    divided = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    dealt = (
+        member.join(divided, "band").join(nodes.select("sid", "n_shingles", *_ODD), "sid")
+        .withColumn("of", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("of")))
+        .withColumn("other", F.explode(F.expr("sequence(0L, `of` - 1)")))
+        .select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "component", "n_shingles", *_ODD)
+    )
+    side = lambda x: dealt.select("band", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("mine", "sid", "component", "n_shingles", *_ODD)))
+    ordered = F.when(F.col("i") == F.col("j"), F.col("sid_a") < F.col("sid_b")).otherwise((F.col("mine_a") == F.col("i")) & (F.col("mine_b") == F.col("j")))
+    found = side("a").join(side("b"), ["band", "i", "j"]).where(ordered & (F.col("component_a") != F.col("component_b")) & _alike("n_shingles_a", "n_shingles_b"))
+    return found.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"), _differing().alias("differing")).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -213,19 +245,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
         docs.select(_row(), "text").join(wanted, "row").select("text", "sid").mapInArrow(_packed, "sid long, packed binary").dropDuplicates(["sid"]),
         "op9-texts",
     )
-    links = written(_confirm(first, texts), "op9-links")
-    parts = connected(links)
-    member = shared.select("band", "sid", "size").join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_bands = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))
-    dealt = (
-        member.join(open_bands, "band").join(nodes.select("sid", "n_shingles", *_ODD), "sid")
-        .withColumn("of", blocks).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("of")))
-        .withColumn("other", F.explode(F.expr("sequence(0L, `of` - 1)")))
-        .select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "sid", "component", "n_shingles", *_ODD)
-    )
-    more = written(dealt.groupBy("band", "i", "j").applyInPandas(_across, "a long, b long").distinct(), "op9-more")
-    links = links.unionByName(_confirm(more, texts))
+    n = texts.count()
+    links = written(_confirm(first, texts, n), "op9-links")
+    parts = written(connected(links), "op9-parts")
+    more = written(_across(shared, parts, nodes), "op9-more")
+    sure = F.col("differing") <= _most(SURE_ESTIMATE)
+    links = links.unionByName(written(_confirm(more.where(sure), texts, n), "op9-links"))
+    parts = written(connected(links), "op9-parts")
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    rest = more.where(~sure).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    links = links.unionByName(written(_confirm(rest, texts, n), "op9-links"))
     parts = connected(links)
     named = parts.join(nodes.select(F.col("sid").alias("node"), "first_id"), "node")
     label = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component_id")
