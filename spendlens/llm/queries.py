@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html, iblt, langid, media, neardup, packing, suffix
+from . import html, iblt, langid, media, mixing, neardup, packing, suffix, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,114 @@ def op2_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+#: Domains of sources, and target weights by level: listed values, and the weight of others.
+MIX_WEIGHTS = {
+    "domain": ({"crawl": 20, "news": 30, "books": 30}, 20),
+    "language": ({"en": 40, "de": 20, "fr": 20, "es": 20}, 5),
+    "source": ({}, 1),
+}
+MIX_SEED = 7
+
+
+def domain_of_source():
+    source = F.coalesce(F.col("source"), F.lit(""))
+    return (
+        F.when(source == "src0", "crawl").when(source.isin("src1", "src2", "src3", "src4", "src5", "src6"), "news")
+        .when(source.isin("src7", "src8", "src9", "src10", "src11", "src12"), "books").otherwise("other")
+    )
+
+
+def _mix_sql() -> str:
+    """The budgeting of `mixing` level by level, and the prefix of the last epoch, as one statement."""
+    keys = ["domain", "language", "source"]
+    weight = {
+        "domain": "CASE domain WHEN 'crawl' THEN 20 WHEN 'news' THEN 30 WHEN 'books' THEN 30 ELSE 20 END",
+        "language": "CASE language WHEN 'en' THEN 40 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 20 ELSE 5 END",
+        "source": "1",
+    }
+    sql = r"""WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN source IN ('src1','src2','src3','src4','src5','src6') THEN 'news'
+      WHEN source IN ('src7','src8','src9','src10','src11','src12') THEN 'books' ELSE 'other' END AS domain, coalesce(lang, '') AS language,
+      coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM documents)"""
+    above = "(SELECT sum(tokens)::HUGEINT FROM d)"
+    for i, k in enumerate(keys):
+        own, parent = ", ".join(keys[: i + 1]), keys[:i]
+        part = f"PARTITION BY {', '.join(parent)} " if parent else ""
+        order = f"{part}ORDER BY capacity / weight, {k}"
+        budget = "b.quota" if parent else above
+        join = f" JOIN q{i - 1} b USING ({', '.join(parent)})" if parent else ""
+        sql += f""",
+      n{i} AS (SELECT *, {weight[k]} AS weight FROM (SELECT {own}, sum(tokens)::HUGEINT AS tokens, 4 * sum(tokens)::HUGEINT AS capacity FROM d GROUP BY {own}) WHERE capacity > 0),
+      s{i} AS (SELECT n.*, greatest({budget} - coalesce(sum(n.capacity) OVER ({order.replace('capacity', 'n.capacity')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::HUGEINT AS have,
+        (sum(weight) OVER ({order.replace('capacity', 'n.capacity')} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS share FROM n{i} n{join}),
+      f{i} AS (SELECT *, capacity * share <= have * weight AS is_full FROM s{i}),
+      w{i} AS (SELECT *, first(CASE WHEN NOT is_full THEN have END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_have,
+        first(CASE WHEN NOT is_full THEN share END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_share FROM f{i}),
+      q{i} AS (SELECT {own}, tokens, CASE WHEN at_have IS NULL THEN capacity ELSE at_have * weight // at_share END AS quota FROM w{i})"""
+    sql += """,
+      p AS (SELECT domain, language, source, quota // tokens AS epochs, quota % tokens AS rest FROM q2 WHERE quota > 0),
+      r AS (SELECT d.*, epochs, rest, coalesce(sum(d.tokens) OVER (PARTITION BY domain, language, source ORDER BY md5(concat('7:', epochs::VARCHAR, ':', doc_id::VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+        FROM d JOIN p USING (domain, language, source) WHERE d.tokens > 0)
+      SELECT doc_id, domain, language, source, tokens, epochs::BIGINT AS epochs, greatest(least(tokens, rest - place), 0)::BIGINT AS taken,
+        (epochs * tokens + greatest(least(tokens, rest - place), 0))::BIGINT AS drawn FROM r WHERE epochs * tokens + greatest(least(tokens, rest - place), 0) > 0"""
+    return sql
+
+
+@query("op6_hierarchical_mixing", _mix_sql())
+def op6_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX_WEIGHTS, 1.0, 4, MIX_SEED)
+    return mixed.select("doc_id", "domain", "language", "source", "tokens", "epochs", "taken", "drawn")
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A made history of list entries for the hosts, domains and first path segments of a crawl: list, key, action, at."""
+    number = lambda key, first: F.conv(F.substring(F.md5(key), first, 6), 16, 10).cast("long")
+    day = lambda n: F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(days=n.cast("int"))
+    host = urls.host_of(F.col("url"))
+    keys = pages.select(host.alias("host"), urls.path_of(F.col("url")).alias("path")).where("host <> ''")
+    labels = F.split("host", r"\.")
+    listed = (
+        keys.select(F.lit("hosts").alias("list"), F.col("host").alias("key"))
+        .unionByName(keys.select(F.lit("domains").alias("list"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("key")))
+        .unionByName(keys.select(F.lit("paths").alias("list"), F.concat("host", F.regexp_extract("path", "^/[^/]+/", 0)).alias("key")).where("key like '%/'"))
+        .distinct()
+    )
+    a, b = number(F.col("key"), 1), number(F.col("key"), 7)
+    events = F.array(
+        F.struct(F.lit("add").alias("action"), day(b % 300).alias("at")),
+        F.struct(F.lit("remove").alias("action"), day(b % 300 + 45 + a % 100).alias("at")),
+        F.struct(F.lit("add").alias("action"), day(b % 300 + 200).alias("at")),
+    )
+    return listed.where(a % 3 == 0).withColumn("e", F.explode(F.slice(events, F.lit(1), (1 + b % 3).cast("int")))).select("list", "key", "e.action", "e.at")
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """page_id, url and a made fetch time in 2024 for each page."""
+    seconds = (F.coalesce(F.col("page_id"), F.lit(0)) * 40_009) % (365 * 86_400)
+    return pages.select("page_id", "url", (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)).alias("fetched_at"))
+
+
+_URL_SQL = r"""WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((coalesce(page_id, 0) * 40009) % 31536000) AS fetched_at,
+    lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+  k AS (SELECT 'hosts' AS list, host AS key FROM c WHERE host <> '' UNION SELECT 'domains', regexp_extract(host, '[^.]*(\.[^.]*)?$') FROM c WHERE host <> ''
+    UNION SELECT 'paths', host || regexp_extract(path, '^/[^/]+/') FROM c WHERE host <> '' AND regexp_extract(path, '^/[^/]+/') <> ''),
+  m AS (SELECT list, key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS a, ('0x' || substr(md5(key), 7, 6))::BIGINT AS b FROM k),
+  e AS (SELECT list, key, 1 AS state, TIMESTAMP '2024-01-01' + to_days((b % 300)::INTEGER) AS at FROM m WHERE a % 3 = 0
+    UNION ALL SELECT list, key, 0, TIMESTAMP '2024-01-01' + to_days((b % 300 + 45 + a % 100)::INTEGER) FROM m WHERE a % 3 = 0 AND b % 3 >= 1
+    UNION ALL SELECT list, key, 1, TIMESTAMP '2024-01-01' + to_days((b % 300 + 200)::INTEGER) FROM m WHERE a % 3 = 0 AND b % 3 >= 2),
+  asked AS (SELECT DISTINCT page_id, url, fetched_at, host AS key FROM c UNION SELECT page_id, url, fetched_at, regexp_extract(host, '[^.]*\.[^.]*$') FROM c
+    UNION SELECT page_id, url, fetched_at, regexp_extract(host, '[^.]*\.[^.]*\.[^.]*$') FROM c
+    UNION SELECT page_id, url, fetched_at, host || regexp_extract(path, '^/[^/]+/') FROM c WHERE regexp_extract(path, '^/[^/]+/') <> ''),
+  hit AS (SELECT q.page_id, q.url, q.fetched_at, e.list, e.key, arg_max(e.state, e.at) AS state FROM asked q JOIN e ON e.key = q.key AND e.at <= q.fetched_at
+    WHERE q.key <> '' GROUP BY ALL)
+  SELECT c.page_id, c.url, strftime(c.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, coalesce(string_agg(DISTINCT h.list, ',' ORDER BY h.list), '') AS lists,
+    count(h.list)::BIGINT AS n_entries, count(h.list) = 0 AS allowed
+  FROM c LEFT JOIN hit h ON h.page_id = c.page_id AND h.url = c.url AND h.state = 1 GROUP BY c.page_id, c.url, c.fetched_at"""
+
+
+@query("op8_temporal_url_filter", _URL_SQL)
+def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.evaluate(captures_of(pages), dated_entries(pages)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
