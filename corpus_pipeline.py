@@ -1,4 +1,65 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five stages over `documents`, each applying one operator of `spendlens.llm`.
 
-STAGES: list = []
+1. language_id labels every text; texts without a language (`und`) go, and the
+   label becomes the row's `lang`.
+2. near_dedup keeps one document of each group of near duplicates.
+3. substring_dedup removes every string of 400 bytes that starts twice in what
+   is left; texts may become empty, no row goes.
+4. mixing draws documents to the target weights of domains, languages and
+   sources; a document drawn in several epochs is as many rows, and the last
+   of a leaf may be cut after a word. Texts without words are never drawn.
+5. packing gives the place of each piece in sequences of 2048 tokens.
+
+Each stage but the last returns the columns of its input. Nulls, empty texts,
+repeated rows and extra columns are treated as the operators say.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spendlens.llm import langid, mixing, neardup, packing, queries, suffix
+from spendlens.llm.common import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = docs.columns
+    labelled = langid.label(docs, langid.fit(docs), *names).toDF(*names, "__pred", "__score", "__spans").where(F.col("__pred") != langid.UNKNOWN)
+    return labelled.select(*(F.col("__pred").alias("lang") if c == "lang" else F.col(c) for c in names))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = neardup.near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, queries.domain_of_source(), queries.MIX_WEIGHTS, 1.0, 4, queries.MIX_SEED)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, queries.vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
+#: Models, shingle sets, substrings and bins are beyond SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -226,17 +226,18 @@ def label(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns `keep`, and lang_pred, score, spans: one row per row of `docs` (text)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    own = keep.index("text") if "text" in keep else None  # a kept text isn't sent twice
+    kept = docs.select(*keep) if own is not None else docs.select(*keep, F.col("text").alias("__text"))
     types = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
         for batch in batches:
-            found = [predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [predict(t) for t in batch.column(batch.num_columns - 1 if own is None else own).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array([[dict(zip(("lang", "start", "end"), s)) for s in f[2]] for f in found], types)],
+                [*batch.columns[: len(keep)], pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array([[dict(zip(("lang", "start", "end"), s)) for s in f[2]] for f in found], types)],
                 [*keep, "lang_pred", "score", "spans"],
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "lang_pred string", "score double", f"spans {_SPANS}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)]), "lang_pred string", "score double", f"spans {_SPANS}"])
     return kept.mapInArrow(run, schema)

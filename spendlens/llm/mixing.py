@@ -122,3 +122,28 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, tuple[dict[str, int]
     rows = written(leaves_of(docs, domain), "op6-leaves")
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     return draw(rows, quotas(rows.select(*LEVELS, "tokens"), total * round(1000 * share) // 1000, epochs, weights), seed)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    space = "\\x20\\x09-\\x0D"
+    return F.array_join(F.slice(F.split(text, f"(?<=[^{space}])(?=[{space}])"), F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, domain: Column, weights: dict[str, tuple[dict[str, int], int]], share: float, epochs: int, seed: int) -> DataFrame:
+    """The columns of `docs`, one row for each time a row is drawn: its whole text for each epoch, and the text's prefix where the last epoch ends in it.
+
+    n_chars, if there, is counted anew. Rows of equal doc_id and text share the first one's fate.
+    """
+    drawn = (
+        mix(docs, domain, weights, share, epochs, seed).groupBy("doc_id", "row_hash")
+        .agg(F.max("epochs").cast("int").alias("__epochs"), F.max("taken").alias("__taken"), F.max("tokens").alias("__tokens"))
+        .withColumnsRenamed({"doc_id": "__id", "row_hash": "__hash"})
+    )
+    rows = docs.join(drawn, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
+    turns = F.sequence(F.lit(1), F.col("__epochs") + F.when(F.col("__taken") > 0, 1).otherwise(0))
+    each = rows.withColumn("__turn", F.explode(turns))
+    last = (F.col("__turn") > F.col("__epochs")) & (F.col("__taken") < F.col("__tokens"))
+    text = F.when(last, first_words(docs["text"], F.col("__taken"))).otherwise(docs["text"])
+    new = {"text": text, "n_chars": F.when(last, F.length(text)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return each.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))

@@ -112,15 +112,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             odd.append(odd_sketch(m))
         words = np.stack(odd) if odd else np.zeros((0, len(_ODD)), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(bands, pa.list_(pa.int64()))] + [pa.array(words[:, i].copy()) for i in range(len(_ODD))],
-            ["doc_id", "row", "n_shingles", "sid", "bands", *_ODD],
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(bands, pa.list_(pa.int64()))] + [pa.array(words[:, i].copy()) for i in range(len(_ODD))],
+            ["doc_id", "row", "row_hash", "n_shingles", "sid", "bands", *_ODD],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a key), n_shingles, sid (digest of the set, null if empty), bands, odd0..odd7: one row per row of `docs`."""
-    return docs.select(F.col("doc_id").cast("long"), _row(), "text").mapInArrow(
-        _sketches, "doc_id long, row long, n_shingles long, sid long, bands array<long>, " + ", ".join(f"{c} long" for c in _ODD)
+    """doc_id, row (a key), row_hash (of the text), n_shingles, sid (digest of the set, null if empty), bands, odd0..odd7: one row per row of `docs`."""
+    return docs.select(F.col("doc_id").cast("long"), _row(), "text", F.xxhash64("text").alias("row_hash")).mapInArrow(
+        _sketches, "doc_id long, row long, row_hash long, n_shingles long, sid long, bands array<long>, " + ", ".join(f"{c} long" for c in _ODD)
     )
 
 
@@ -226,7 +226,7 @@ def _across(shared: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of `docs` (doc_id, text)."""
+    """doc_id, row_hash (of the text), n_shingles, component_id, kept: one row per row of `docs` (doc_id, text)."""
     small_batches(docs.sparkSession)
     rows = written(sketches(docs), "op9-sketches")
     some = rows.where("sid is not null")
@@ -263,7 +263,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return (
         rows.join(label, "sid", "left")
         .withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "row_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
 

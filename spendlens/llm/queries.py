@@ -32,7 +32,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_minhash_odd_sketch")
 def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_groups(table(spark, sf_dir, "documents"))
+    return neardup.near_groups(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def vocabulary() -> str:
@@ -187,3 +187,10 @@ _URL_SQL = r"""WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_secon
 def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.evaluate(captures_of(pages), dated_entries(pages)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

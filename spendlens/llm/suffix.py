@@ -318,6 +318,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows and columns of `docs` (doc_id, text, ...) with what is left of each text, and n_chars, if there, counted anew.
+
+    A character whose bytes are cut apart goes as a whole; a null text stays null.
+    """
+    spans = repeated_spans(docs, length, gram).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").drop("__id", "__hash")
+    names = docs.columns
+    own, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns_ = list(batch.columns[:-1])
+            kept = [
+                remove_spans(t, s, length)[0].decode("utf-8", "ignore") if s else t.decode()
+                for t, s in zip(utf8(columns_[own]), batch.column(len(names)).to_pylist())
+            ]
+            valid = columns_[own].is_valid().to_pylist()
+            if chars is not None:
+                columns_[chars] = pa.array([len(t) if v else n for t, v, n in zip(kept, valid, columns_[chars].to_pylist())], columns_[chars].type)
+            columns_[own] = pa.array([t if v else None for t, v in zip(kept, valid)], columns_[own].type)
+            yield pa.RecordBatch.from_arrays(columns_, names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
     """n_bytes, n_removed, n_spans, kept_sha256 of each text, by counting every window; for tests."""
     from collections import Counter
