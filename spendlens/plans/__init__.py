@@ -2,4 +2,6 @@
 
 from spendlens.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES"]
+from . import changes, ledger, planning, shopping, texts
+
+__all__ = ["ORACLE", "QUERIES", "changes", "ledger", "planning", "shopping", "texts"]
