@@ -28,9 +28,9 @@ def stores_of_category(offers: DataFrame, category: str | None, store_ids: list[
     return out.where(F.col("store_id").isin(store_ids)) if store_ids else out
 
 
-def _per_name(offers: DataFrame, asked: list[tuple], schema: list[str], verdict: Column, keep: Column) -> DataFrame:
+def _per_name(offers: DataFrame, asked: list[tuple], schema: dict[str, str], verdict: Column, keep: Column) -> DataFrame:
     """Distinct names x asked rows with a verdict: each name is judged once, however many stores offer it."""
-    rows = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(schema, a))) for a in asked))
+    rows = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(schema, a))) for a in asked)).cast(f"array<struct<{','.join(f'{c}:{t}' for c, t in schema.items())}>>")
     names = offers.select("name").distinct().withColumn("asked", F.explode(rows)).select("name", *(F.col(f"asked.{c}").alias(c) for c in schema))
     return names.withColumn("verdict", verdict).where(keep)
 
@@ -45,7 +45,7 @@ def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> D
     asked = [(q,) for q in queries if len(q.strip()) >= 2]
     words = text.keywords(F.col("query"))
     verdict = text.search_score(text.fold(F.col("query")), words, text.fold(F.col("name")))
-    judged = _per_name(offers, asked, ["query"], verdict, F.lit(True)).withColumn("n", F.size(words))
+    judged = _per_name(offers, asked, {"query": "string"}, verdict, F.lit(True)).withColumn("n", F.size(words))
     every = F.col("n") == 0
     strict = (F.col("verdict.score") > 0) & (F.col("verdict.matched") >= F.col("n"))
     relaxed = (F.col("n") > 1) & (F.col("verdict.score") > 0) & F.col("verdict.first_keyword") & F.col("verdict.main_noun")
@@ -71,7 +71,7 @@ def best_offers(offers: DataFrame, items: list[tuple[int, str, int]]) -> DataFra
     """item_id, item, quantity, store_id, name, price, score: each store's best relevant offer for each item."""
     words = text.tokens(F.col("item"))
     name = text.product_key(F.col("name"))
-    judged = _per_name(offers, items, ["item_id", "item", "quantity"], text.relevance(words, name), text.is_relevant(words, name))
+    judged = _per_name(offers, items, {"item_id": "int", "item": "string", "quantity": "int"}, text.relevance(words, name), text.is_relevant(words, name))
     order = W.partitionBy("item_id", "store_id").orderBy(F.col("score").desc(), "price", "ordinal")
     return (
         offers.join(judged.withColumnRenamed("verdict", "score"), "name").withColumn("place", F.row_number().over(order)).where("place = 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions import dates, numbers, rules, text
 
-DAY = F.lit(dt.date(2024, 1, 20))
+DAY = dt.date(2024, 1, 20)
 
 
 def values(spark, cases, f):
@@ -27,7 +27,7 @@ def values(spark, cases, f):
     (text.upload_category, {"NETFLIX.COM": "Streaming", "Pizza Rappi": "Restaurantes", "CLÍNICA": "Salud", "Computer shop": "Otros"}),
     (text.manual_category, {"NETFLIX.COM": "Streaming", "Pizza Rappi": "Comida", "CLÍNICA": "Otros", "Computer shop": "Servicios"}),
     (text.merchant, {"PEDIDOS YA 1": "PedidosYa+", "antelope": None, "ANTEL 2": "Antel", "nothing": None}),
-    (lambda c: dates.parse_date(c, DAY), {"05/03/2024": "2024-03-05", "5-3-24": "2024-03-05", "2024.03.05": "2024-03-05", "05/03": "2024-01-20", None: "2024-01-20", "31/02/2024": "2024-02-31"}),
+    (lambda c: dates.parse_date(c, F.lit(DAY)), {"05/03/2024": "2024-03-05", "5-3-24": "2024-03-05", "2024.03.05": "2024-03-05", "05/03": "2024-01-20", None: "2024-01-20", "31/02/2024": "2024-02-31"}),
 ])
 def test_cases(spark, f, cases):
     assert values(spark, list(cases), f) == list(cases.values())
