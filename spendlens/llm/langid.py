@@ -122,6 +122,43 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(t[some])], ["lang", "bucket", "n"])
 
 
+def _two(lead: np.ndarray, penalty: float) -> np.ndarray:
+    """Best path between two labels: whether each word has the second, which leads the first by `lead`.
+
+    The second's lead over all words so far, cut to the penalty on either
+    side, says where each label is reached from; in between a label stays.
+    """
+    d, lead_so_far = 0.0, []
+    for x in lead.tolist():
+        d = (penalty if d > penalty else -penalty if d < -penalty else d) + x
+        lead_so_far.append(d)
+    sums = np.array(lead_so_far)
+    decided = np.where(sums > penalty, 1, np.where(sums < -penalty, 0, -1))
+    decided[-1] = sums[-1] > 0
+    # Each word takes the label of the next decided one.
+    at = np.where(decided >= 0, np.arange(len(sums)), len(sums))
+    return decided[np.minimum.accumulate(at[::-1])[::-1]] == 1
+
+
+def _many(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """Best path between any number of labels."""
+    value, values = [0.0] * scores.shape[1], []
+    for row in scores.tolist():
+        bar = max(value) - penalty
+        value = [(v if v > bar else bar) + r for v, r in zip(value, row)]
+        values.append(value)
+    sums = np.array(values)
+    top = sums.argmax(axis=1).tolist()
+    stays = (sums >= sums.max(axis=1, keepdims=True) - penalty).tolist()
+    label = top[-1]
+    labels = [label]
+    for t in range(len(top) - 2, -1, -1):
+        if not stays[t][label]:
+            label = top[t]
+        labels.append(label)
+    return np.array(labels[::-1], np.int64)
+
+
 class Model:
     def __init__(self, langs: list[str], log_p: np.ndarray, allowed: np.ndarray):
         """log_p: BUCKETS x languages; allowed: scripts x languages."""
@@ -153,7 +190,7 @@ class Model:
         return out, starts, ends
 
     def path(self, scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-        """The labels of the words on the best path."""
+        """The labels of the words on the best path. Languages that nowhere gain on the text's best one what a switch costs are no candidates."""
         n, k = scores.shape
         best = int(np.argmax(scores.sum(axis=0, dtype=np.float64)))
         # No stretch of words gains as much by another language as one switch costs: one label is the best path.
@@ -161,18 +198,11 @@ class Model:
         low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
         if (gain - low).max() <= penalty:
             return np.full(n, best)
-        back = np.empty((n, k), np.int16)
-        value = [0.0] * k
-        for t, row in enumerate(scores.tolist()):
-            top = max(range(k), key=value.__getitem__)
-            bar = value[top] - penalty
-            back[t] = [s if value[s] >= bar else top for s in range(k)]
-            value = [max(v, bar) + r for v, r in zip(value, row)]
-        labels = np.empty(n, np.int64)
-        labels[-1] = max(range(k), key=value.__getitem__)
-        for t in range(n - 1, 0, -1):
-            labels[t - 1] = back[t, labels[t]]
-        return labels
+        able = np.flatnonzero((gain - low).max(axis=0) > penalty)
+        if len(able) == 1:
+            return np.where(_two(scores[:, able[0]] - scores[:, best], penalty), able[0], best)
+        kept = np.sort(np.append(able, best))
+        return kept[_many(scores[:, kept], penalty)]
 
     def predict(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """Language, score and spans (language, start, end in code points)."""
