@@ -2,12 +2,16 @@
 
 A page falls into blocks at block-level tags. The first pass decides a block
 where it can: structure (menus, page headers, footers, sidebars, forms, ads,
-notices, reader comments and what is outside an article that the page marks)
-and link density make it bad; the article that the page marks, or length with
-the density of stop words, makes it good. Short blocks and those of middling
-density stay ambiguous. The second pass gives an ambiguous block the label of
-its nearest decided neighbour; between a good and a bad one as near, a block
-of middling density is good and a short one bad.
+notices, reader comments) and link density make it bad; length with the density
+of stop words makes it good. Short blocks and those of middling density stay
+ambiguous. An article that the page marks is evidence only: in it a dense block
+need not be long, and one of few stop words stays ambiguous. Where stop words
+are rare on the whole page, its language is not known and length alone speaks.
+The second pass gives an ambiguous block the label of its nearest decided
+neighbour on the same side of an article's edge; between a good and a bad one
+as near, a block of middling density is good and a short one bad. A short
+heading goes with the block after it. A page of short blocks has the unlinked
+ones of its article.
 
 A null page has the empty text, as has a page without good blocks. Markup that
 is cut off ends with the page. Very long pages are read in one pass over their
@@ -19,13 +23,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches
 
-# Frequent function words of English, German, French and Spanish.
+# Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
 STOP_WORDS = frozenset(
     """
     a about after all also an and are as at be been but by can do for from had has have he her his how if in into is it its more no
@@ -35,6 +40,12 @@ STOP_WORDS = frozenset(
     au aux avec ce cette ces comme dans de du elle en est et il ils je la le les leur lui mais ne nous ou où par pas plus pour qu que
     qui sa se ses son sont sur tout un une vous y été être
     al con como cuando el ella entre era esta este ha hay lo los las más muy o para pero por porque sin sobre su sus también una unos ya
+    agli ai alla alle anche che chi ci col come con cui da dal dalla degli dei del della delle di e gli ha hanno il io la le lo ma mi nel nella non o per
+    più quando questa questo se si sono sul sulla suo tra un una uno
+    ao aos as até com da das de depois dos ela em entre essa eu foi isso já mais mas mesmo muito na nas no nos num não os ou pela pelo por quem
+    sem ser seu sua são só também tem uma você à é
+    aan als bij dan dat de deze die dit door een en er haar heeft het hij hun ik je kan maar met naar niet nog of om onder ook op over te tot
+    uit van voor was wat werd wij worden wordt ze zich zij zijn zou
     """.split()
 )
 BLOCK_TAGS = frozenset(
@@ -63,12 +74,15 @@ SHORT = 70
 LONG = 200
 SOME_STOPS = 0.30
 MANY_STOPS = 0.32
+#: Stop words are rarer than this on a page of none of the languages above.
+KNOWN_STOPS = 0.08
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _ENDS: dict[str, re.Pattern] = {}
 
@@ -161,25 +175,31 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, NEAR, SHORT_BLOCK = "good", "bad", "near", "short"
 
 
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def first_pass(found: list[Block]) -> list[str]:
     """good, bad, near (of middling density) or short for each block."""
-    marked = any(b.article and not b.bad for b in found)
+    open_ = [b for b in found if not b.bad and b.linked <= LINKED * len(b.text)]
+    counts = {id(b): _stops(b.text) for b in open_}
+    known = sum(s for s, _ in counts.values()) >= KNOWN_STOPS * sum(n for _, n in counts.values())
     out = []
     for b in found:
-        density = b.linked / len(b.text)
-        if b.bad or (marked and not b.article) or density > (0.8 if b.article else LINKED):
+        if id(b) not in counts:
             out.append(BAD)
-        elif b.article:
-            out.append(GOOD)
         elif len(b.text) < SHORT:
-            out.append(BAD if b.linked else SHORT_BLOCK)
+            out.append(BAD if b.linked and not b.article else SHORT_BLOCK)
+        elif not known:
+            out.append(GOOD if len(b.text) > LONG else NEAR)
         else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-            if stops >= MANY_STOPS:
-                out.append(GOOD if len(b.text) > LONG else NEAR)
+            stops, words = counts[id(b)]
+            if stops >= MANY_STOPS * max(words, 1):
+                out.append(GOOD if b.article or len(b.text) > LONG else NEAR)
             else:
-                out.append(NEAR if stops >= SOME_STOPS else BAD)
+                out.append(NEAR if b.article or stops >= SOME_STOPS * max(words, 1) else BAD)
     return out
 
 
@@ -206,9 +226,27 @@ def second_pass(labels: list[str]) -> list[str]:
     return out
 
 
+def labels(found: list[Block]) -> list[str]:
+    """good or bad for each block, by both passes; the second stays on one side of an article's edge."""
+    out: list[str] = []
+    for article, run in groupby(zip(found, first_pass(found)), lambda x: x[0].article):
+        part = list(run)
+        given = [label for _, label in part]
+        if article and GOOD not in given and BAD not in given:  # the mark decides for what may be text
+            given = [GOOD if label == NEAR else label for label in given]
+        decided = second_pass(given)
+        for i in range(len(part) - 2, -1, -1):
+            if given[i] == SHORT_BLOCK and part[i][0].heading and decided[i + 1] == GOOD:
+                decided[i] = GOOD
+        out += decided
+    if GOOD not in out:  # nothing but short blocks: those of the article
+        out = [GOOD if b.article and not b.bad and not b.linked else BAD for b in found]
+    return out
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n\n".join(b.text for b, label in zip(found, second_pass(first_pass(found))) if label == GOOD)
+    return "\n\n".join(b.text for b, label in zip(found, labels(found)) if label == GOOD)
 
 
 def main_texts(pages: DataFrame, *keep: str) -> DataFrame:

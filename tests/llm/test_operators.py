@@ -244,6 +244,19 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p") == ""
 
 
+PROSE = "It was the best of times for all of us, and what he said to me in the end is not what they had in the book about it. "
+
+
+def test_article_is_evidence_only():
+    links = "".join(f"<li><a href=/{i}>Another story about a thing {i}</a> today</li>" for i in range(9))
+    page = f"<article><p>Read more here.</p></article><div>{PROSE * 3}</div><article><p>{PROSE}</p><div>{'<a href=/x>More of it here</a> now. ' * 5}</div>{links}</article>"
+    assert html.main_text(page) == f"{(PROSE * 3).strip()}\n\n{PROSE.strip()}"
+    found = html.blocks(f"<article><p>{PROSE}</p><p>{'Lorem ipsum dolor ' * 9}</p><p>Short.</p></article>")
+    assert html.first_pass(found) == [html.GOOD, html.NEAR, html.SHORT_BLOCK]
+    for text in ("Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. " * 3, "Minä olen täällä ja sinä olet siellä " * 9):
+        assert html.main_text(f"<nav>x</nav><div>{text}</div>") == text.strip()
+
+
 def test_ambiguous_blocks_take_the_nearest_label():
     good, bad, near, short = html.GOOD, html.BAD, html.NEAR, html.SHORT_BLOCK
     assert html.second_pass([good, short, short, bad]) == [good, good, bad, bad]
