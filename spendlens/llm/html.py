@@ -13,6 +13,12 @@ as near, a block of middling density is good and a short one bad. A short
 heading goes with the block after it. A page of short blocks has the unlinked
 ones of its article.
 
+A name that speaks of a menu, an advert and the like makes a container bad,
+unless it holds the page's article (the largest, if larger than the text outside
+articles), or most of the page's text while no such article of some size lies
+outside it; blocks of links don't count. Tags of what is never text that are
+left open end at the next block tag.
+
 A null page has the empty text, as has a page without good blocks. Markup that
 is cut off ends with the page. Very long pages are read in one pass over their
 tags. Repeated rows give repeated rows; other columns pass if named.
@@ -59,6 +65,8 @@ BLOCK_TAGS = frozenset(
 RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math select button canvas audio video noembed noframes xmp".split())
 #: What is inside them is not the article.
 BAD_TAGS = frozenset("nav footer aside form menu search dialog fieldset".split())
+#: Of RAW_TAGS, those that can be left open: without an end they go up to the next block tag.
+SOFT_TAGS = frozenset("button select object svg math canvas audio video".split())
 CONTAINERS = BAD_TAGS | frozenset("article main header section div ul ol dl table figure blockquote details body".split())
 #: Parts of class, id or role that mark menus, adverts, notices, comments and the like.
 BAD_NAMES = frozenset(
@@ -85,18 +93,18 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _ENDS: dict[str, re.Pattern] = {}
+_STARTS: dict[str, re.Pattern] = {}
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
 
 
 class Block:
-    __slots__ = ("article", "bad", "heading", "linked", "text")
+    __slots__ = ("article", "bad", "heading", "linked", "mark", "named", "text")
 
-    def __init__(self, text: str, linked: int, bad: bool, article: bool, heading: bool):
-        self.text, self.linked, self.bad, self.article, self.heading = text, linked, bad, article, heading
+    def __init__(self, text: str, linked: int, bad: bool, article: bool, heading: bool, named: int, mark: int):
+        self.text, self.linked, self.bad, self.article, self.heading, self.named, self.mark = text, linked, bad, article, heading, named, mark
 
 
 def _bad_names(attributes: str, inside: bool) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
     for m in _NAMES.finditer(attributes):
         parts = {p.lower() for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
         if parts & BAD_NAMES or (not inside and "header" in parts):
@@ -104,10 +112,67 @@ def _bad_names(attributes: str, inside: bool) -> bool:
     return False
 
 
+def _condemn(found: list[Block], named: list[int], marks: list[tuple[int, int]]) -> None:
+    """Make bad the blocks in badly named containers, but for those that hold the page's text.
+
+    named: the next such container around each; marks: the next named container around (or itself) and the next mark around each
+    article or main. An index of -1 is none; those around come first.
+    """
+    chars, sizes = [0] * len(named), [0] * len(marks)  # of text that isn't mostly links
+    direct = [0] * (len(marks) + 1)  # without the marks inside; last, outside all
+    total = 0
+    for b in found:
+        if not b.bad and b.linked <= LINKED * len(b.text):
+            total += len(b.text)
+            direct[b.mark] += len(b.text)
+            if b.named >= 0:
+                chars[b.named] += len(b.text)
+            if b.mark >= 0:
+                sizes[b.mark] += len(b.text)
+    for i in range(len(named) - 1, -1, -1):
+        if named[i] >= 0:
+            chars[named[i]] += chars[i]
+    for i in range(len(marks) - 1, -1, -1):
+        if marks[i][1] >= 0:
+            sizes[marks[i][1]] += sizes[i]
+    largest = [-1] * (len(marks) + 1)
+    for i, (_, around) in enumerate(marks):
+        if largest[around] < 0 or sizes[i] > sizes[largest[around]]:
+            largest[around] = i
+    best = -1  # the article of the page: where most text of those around it lies
+    while (inner := largest[best]) >= 0 and sizes[inner] > direct[best]:
+        best = inner
+    holders, within = set(), set()
+    if best >= 0:
+        i = marks[best][0]
+        while i >= 0:
+            holders.add(i)
+            i = named[i]
+        inside = [False] * len(marks)
+        for i, (_, around) in enumerate(marks):
+            inside[i] = i == best or (around >= 0 and inside[around])
+        within = {b.named for b in found if b.mark >= 0 and inside[b.mark]}
+        for i in range(len(named) - 1, -1, -1):
+            if i in within:
+                within.add(named[i])
+    bad = [False] * len(named)
+    for i, around in enumerate(named):
+        apart = best >= 0 and i not in within and sizes[best] >= LONG and 4 * sizes[best] >= chars[i]
+        spared = i in holders or (chars[i] > LONG and 2 * chars[i] >= total and not apart)
+        bad[i] = not spared or (around >= 0 and bad[around])
+    for b in found:
+        b.bad = b.bad or (b.named >= 0 and bad[b.named])
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with what their tags say about them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, article: of the open containers, each with those around it
+    # tag, bad, article, named, mark: of the open containers, each with those around it
+    stack: list[tuple[str, bool, bool, int, int]] = []
+    outside = ("", False, False, -1, -1)
+    named: list[int] = []
+    marks: list[tuple[int, int]] = []
+    ends: dict[str, re.Match | None] = {}
     text: list[str] = []
     linked = 0
     link = heading = False
@@ -118,8 +183,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                _, bad, article = stack[-1] if stack else ("", False, False)
-                out.append(Block(joined, linked, bad, article, heading))
+                _, bad, article, name, mark = stack[-1] if stack else outside
+                out.append(Block(joined, linked, bad, article, heading, name, mark))
             text = []
         linked = breaks = 0
 
@@ -146,8 +211,17 @@ def blocks(page: str) -> list[Block]:
         tag, ending, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW_TAGS:
             if not ending and not attributes.endswith("/"):
-                end = _ENDS.setdefault(tag, re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)).search(page, at)
-                at = end.end() if end else n
+                if tag not in ends or (ends[tag] and ends[tag].start() < at):
+                    ends[tag] = _ENDS.setdefault(tag, re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)).search(page, at)
+                end = ends[tag]
+                stop = end.end() if end else n
+                if tag in SOFT_TAGS:
+                    # Open: another one, or no end at all, comes after a block tag.
+                    again = _STARTS.setdefault(tag, re.compile(rf"<{tag}\b", re.I)).search(page, at, end.start() if end else n)
+                    if again or not end:
+                        block = _BLOCK.search(page, at, again.start() if again else n)
+                        stop = block.start() if block else again.start() if again and not end else stop
+                at = stop
         elif tag == "a":
             link = not ending
         elif tag == "br":
@@ -162,13 +236,22 @@ def blocks(page: str) -> list[Block]:
             heading = tag[0] == "h" and tag[1:].isdigit() and not ending
             if tag in CONTAINERS:
                 if not ending:
-                    _, bad, article = stack[-1] if stack else ("", False, False)
-                    own = tag in BAD_TAGS or (tag == "header" and not article) or (bool(attributes) and tag != "body" and _bad_names(attributes, article))
-                    stack.append((tag, bad or own, article or tag in ("article", "main")))
-                elif any(t == tag for t, _, _ in stack):
+                    _, bad, article, name, mark = stack[-1] if stack else outside
+                    own = tag in BAD_TAGS or (tag == "header" and not article)
+                    if attributes and tag != "body":
+                        own = own or bool(_HIDDEN.search(attributes))
+                        if _bad_names(attributes, article):
+                            named.append(name)
+                            name = len(named) - 1
+                    if tag in ("article", "main"):
+                        marks.append((name, mark))
+                        mark = len(marks) - 1
+                    stack.append((tag, bad or own, article or tag in ("article", "main"), name, mark))
+                elif any(s[0] == tag for s in stack):
                     while stack.pop()[0] != tag:
                         pass
     close()
+    _condemn(out, named, marks)
     return out
 
 

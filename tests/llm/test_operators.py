@@ -257,6 +257,19 @@ def test_article_is_evidence_only():
         assert html.main_text(f"<nav>x</nav><div>{text}</div>") == text.strip()
 
 
+@pytest.mark.parametrize("opening, closing", [
+    ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='page no-sidebar'><article>", "</article></div>"), ("<main class='has-sidebar'>", "</main>"),
+    ("<article class='post has-comments'>", "</article>"), ("<article><button>Menu", "</article>"), ("<select><option>One<div>", "</div>"),
+    ("<button>A<div><button>B</button></div><div>", "</div><div><button>C</button></div>"), ("<article><svg><path/>", "</article>"),
+])
+def test_wrappers_keep_their_text(opening, closing):
+    text = (PROSE * 3).strip()
+    comments = f"<section class=comments><article class=comment><p>{PROSE}</p></article></section>"
+    assert html.main_text(f"<nav>x</nav>{opening}<p>{text}</p>{closing}<div class='ad'>Buy this and that, it is for you.</div>{comments}") == text
+    menu = "<li><a href=/a>A page of this site with a name</a></li>" * 30
+    assert html.main_text(f"<div class=sidebar><ul>{menu}</ul></div>{opening}<p>{text}</p>{closing}") == text
+
+
 def test_ambiguous_blocks_take_the_nearest_label():
     good, bad, near, short = html.GOOD, html.BAD, html.NEAR, html.SHORT_BLOCK
     assert html.second_pass([good, short, short, bad]) == [good, good, bad, bad]
