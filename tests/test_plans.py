@@ -19,6 +19,21 @@ def test_queries_without_sql(spark, sf_dir):
     assert all(r.title for r in found)
 
 
+def test_statements_of_all_parsers(spark, sf_dir):
+    rows = plans.QUERIES["d9_statement_ingest_all"](spark, sf_dir).collect()
+    orders = {}
+    for o in spark.read.parquet(f"{sf_dir}/orders.parquet").collect():
+        orders.setdefault(o.o_custkey, []).append(("SHOP" + o.o_orderpriority[0], round(float(o.o_totalprice), 2), "credit" if o.o_orderstatus == "O" else "debit"))
+    expected = {c: sorted(x) for c, x in orders.items() if c % 3 != 1 or len(x) > 2}
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append((r.description, r.amount, r.type))
+    assert {c: sorted(x) for c, x in found.items()} == expected
+    assert any(c % 3 == 2 for c in found)
+    counted = plans.QUERIES["d9_statement_counters_all"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.total, r.inserted, r.skipped) for r in counted} == {c: (len(x), len(x), 0) for c, x in expected.items()}
+
+
 def test_month_filter_reaches_the_scan(spark, sf_dir):
     plan = plans.QUERIES["a2_summary_by_category"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
