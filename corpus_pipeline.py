@@ -2,7 +2,9 @@
 
 1. language_id labels every text; texts without a language (`und`) go, and the
    label becomes the row's `lang`.
-2. near_dedup keeps one document of each group of near duplicates.
+2. near_dedup keeps one row of each group of near duplicates: of the least
+   doc_id (null if there is no other), the text of the least hash, once. Texts
+   without words are in no group and stay.
 3. substring_dedup removes every string of 400 bytes that starts twice in what
    is left; texts may become empty, no row goes.
 4. mixing draws documents to the target weights of domains, languages and
@@ -31,8 +33,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
+    rows = neardup.near_components(docs).where("component is not null")
+    texts = written(rows.groupBy("component", "kept", F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).agg(F.count("*").alias("n")), "pipeline-near")
+    # What is kept has its component's id; of several such texts the least hash stays, and one copy of it.
+    several = texts.where("kept").groupBy("component").agg(F.min("__hash").alias("least"), F.count("*").alias("of")).where("of > 1")
+    kept = texts.where("kept").join(several, "component", "left").withColumn("stays", F.coalesce(F.col("__hash") == F.col("least"), F.lit(True)))
+    gone = texts.where("not kept").select("__id", "__hash").unionByName(kept.where("not stays or n > 1").select("__id", "__hash"))
+    repeated = kept.where("stays and n > 1").select("__id", "__hash")
+    same = lambda some: docs["doc_id"].cast("long").eqNullSafe(some["__id"]) & (F.xxhash64(docs["text"]) == some["__hash"])
+    copies = docs.join(repeated, same(repeated)).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return docs.join(gone, same(gone), "left_anti").unionByName(copies)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,6 +227,11 @@ def _across(shared: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash (of the text), n_shingles, component_id, kept: one row per row of `docs` (doc_id, text)."""
+    return near_components(docs).drop("component")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """The columns of `near_groups`, and component (a node of it; null without words), which tells components of one id, or of none, apart."""
     small_batches(docs.sparkSession)
     rows = written(sketches(docs), "op9-sketches")
     some = rows.where("sid is not null")
@@ -258,12 +263,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = links.unionByName(written(_confirm(rest, texts, n), "op9-links"))
     parts = connected(links)
     named = parts.join(nodes.select(F.col("sid").alias("node"), "first_id"), "node")
-    label = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component_id")
-    label = nodes.select("sid", "first_id").join(label, "sid", "left").select("sid", F.coalesce("component_id", "first_id").alias("component_id"))
+    label = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component", "component_id")
+    label = nodes.select("sid", "first_id").join(label, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
     return (
         rows.join(label, "sid", "left")
         .withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "row_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "row_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component")
     )
 
 

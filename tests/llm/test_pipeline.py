@@ -45,6 +45,27 @@ def test_stages(spark, sf_dir, tmp_path):
     assert n <= 1.02 * packing.lower_bound([r.length for r in after]) + 1
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, sf_dir):
+    text = lambda k, n=60: " ".join(f"word{k}x{i}" for i in range(n))
+    rows = [
+        (1, text("a")), (1, text("a")), (1, text("a", 58)), (7, text("a", 59)),  # repeated rows, near texts of one id, another id
+        (5, text("b")), (5, text("c")),  # two groups of one id
+        (None, text("d")), (None, text("d")), (None, text("d", 58)), (None, text("e")), (None, text("f")), (9, text("f")),
+        (3, ""), (3, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    after = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    groups = {}
+    for k, (n, component) in neardup.brute_force([(k, t) for k, (_, t) in enumerate(rows)]).items():
+        groups.setdefault(component, []).append(rows[k])
+    assert len(groups) == 9 and len(after) == 9
+    least = lambda x: (x[0] is None, x[0] or 0)
+    for group in groups.values():
+        of = [x for x in after if x in group]
+        assert of and all(least(x) == min(map(least, group)) for x in of)
+        assert len(of) == 1 or not group[0][1]
+
+
 def test_empty_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
