@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html, iblt, langid, media, mixing, neardup, packing, suffix, urls
+from . import chunks, html, iblt, langid, media, mixing, neardup, packing, suffix, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +189,11 @@ def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.evaluate(captures_of(pages), dated_entries(pages)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("op10_gear_chunk_dedup")
+def op10_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup_chunks(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

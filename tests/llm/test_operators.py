@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spendlens.llm import html, iblt, jpeg, langid, media, mixing, neardup, packing, queries, suffix, urls
+from spendlens.llm import chunks, html, iblt, jpeg, langid, media, mixing, neardup, packing, queries, suffix, urls
 
 from .. import oracle
 
@@ -130,6 +130,58 @@ def test_without_repeats_keeps_rows_and_columns(docs):
     assert rows[28].text is None and all(r.n_chars == len(r.text) for r in rows.values() if r.text is not None)
 
 
+# chunks
+
+
+def by_chunks(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_chunks, r.n_removed, r.n_spans, r.text) for r in df.collect())
+
+
+def expected_chunks(rows):
+    found = chunks.brute_force([(r[0], r[1]) for r in rows])
+    return sorted((r[0] is None, r[0] or 0, *f) for r, f in zip(rows, found))
+
+
+def test_chunks(docs):
+    assert by_chunks(chunks.dedup_chunks(docs)) == expected_chunks(corpus())
+    assert any(r[4] for r in by_chunks(chunks.dedup_chunks(docs)))
+
+
+def test_chunks_of_the_given_documents(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert by_chunks(queries.QUERIES["op10_gear_chunk_dedup"](spark, sf_dir)) == expected_chunks(rows)
+
+
+def test_chunks_resist_insertions():
+    rng = random.Random(6)
+    text = words(rng, 3000).encode()
+
+    def parts(t):
+        ends = chunks.chunk_ends(np.frombuffer(t, np.uint8))
+        return [t[a:b] for a, b in zip([0, *ends], ends)]
+
+    plain, shifted = parts(text), parts(b"just in" + text)
+    assert b"".join(shifted) == b"just in" + text and shifted[-len(plain) + 10 :] == plain[10:]
+    assert all(chunks.LEAST <= len(p) <= chunks.MOST for p in plain[:-1])
+    assert len(set(map(len, parts(b"a" * 5000)[1:-1]))) == 1
+
+
+def test_chunks_of_a_long_text_are_hashed_in_pieces(monkeypatch):
+    data = np.frombuffer(words(random.Random(7), 2000).encode(), np.uint8)
+    whole = chunks.chunk_ends(data)
+    monkeypatch.setattr(chunks, "_PIECE", 100)
+    assert chunks.chunk_ends(data) == whole and chunks.chunk_ends(data[:0]) == []
+
+
+def test_chunks_awkward(spark, awkward, none):
+    found = by_chunks(chunks.dedup_chunks(awkward))
+    assert [r[4] for r in found if r[2] > 600] == [0, 0, found[-1][2]]  # rows of one id and text count as one; the null id comes last
+    assert chunks.dedup_chunks(none).count() == 0
+    clash = awkward.withColumn("d1", F.lit(1)).withColumn("first", F.lit("x")).withColumn("row_hash", F.lit(0.5)).withColumn("__of", F.lit(3))
+    out = chunks.without_repeated_chunks(clash)
+    assert out.columns == clash.columns and out.count() == 5 and {r.kept for r in out.collect()} == {r.kept for r in clash.collect()}
+
+
 # packing
 
 
