@@ -7,22 +7,31 @@ of 0.75 or more are linked; the components of the links are the groups.
    MinHash samples, of which 128 form 32 bands of 4, and the odd sketch: 512
    parity bits, one of which each sample toggles. At similarity 0.75 two
    documents share no band with probability (1 - 0.75**4)**32 = 5e-6.
-2. Documents with equal sets become one node by partial aggregation.
-3. Nodes that share a band are compared with the band's least node. The XOR of
+2. Documents with equal sets become one node by partial aggregation. Nodes
+   are named by 64 bits of the set's 128-bit digest; sets whose names collide
+   are told apart by the other 64 bits and named anew.
+3. Rounds of pivots: in each band the node that shares most with others is
+   compared with all that aren't yet in its component; the next round takes a
+   new pivot among the nodes outside the band's largest component. The XOR of
    two odd sketches has as many ones as samples differ, twice over, less
    coincidences, which gives the similarity within 0.034 (one deviation);
    pairs estimated under 0.61, four deviations below 0.75, are dropped, the
-   others are confirmed on their full sets.
-4. Nodes of a band that are still in different components are compared with
-   each other, blockwise: blocks of about `BLOCK` nodes meet under keys of
-   their own, so no group is collected whole. Only likely pairs leave the
-   join. Those estimated over 0.75 are confirmed first; of the others those
-   that are still between components follow.
+   others are confirmed on their full sets. A round makes at most a row per
+   node and band.
+4. What the pivots leave in different components of a band is compared in
+   full: the stragglers outside the largest component with every node of the
+   band, block against block. A task compares the sketches of two blocks as
+   arrays and returns the nodes that are in a likely pair; these meet again
+   under the same key with their texts, are confirmed, most alike first, and
+   only links that join two components of the block leave the task. So rows
+   grow with nodes, never with pairs, and no group is collected whole: blocks
+   are dealt by number and by size of the sets.
 
 Null or empty texts and texts without words have an empty set and link with
 nothing. Repeated rows are copies of each other. A null doc_id stays null and
 is never a component's id; a component of such rows alone has a null id, and
-its rows are all kept. Other columns are ignored. Nodes are 64-bit digests.
+its rows are all kept. Other columns are ignored. Very long texts are read
+whole; they weigh more, so fewer of them meet in a task.
 """
 
 from __future__ import annotations
@@ -48,11 +57,13 @@ SAMPLES = 512
 BANDS, ROWS = 32, 4
 BITS = 512
 LEAST_ESTIMATE = 0.61
-#: Pairs estimated over this are confirmed first.
-SURE_ESTIMATE = 0.75
-BLOCK = 512
-#: Nodes, about, whose texts meet under one key when pairs are confirmed.
-TOGETHER = 256
+PIVOTS = 3
+#: Nodes, and shingles of their sets, of a block, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Nodes, and shingles of their sets, about, whose texts meet under one key when pairs are confirmed.
+TOGETHER, TOGETHER_SHINGLES = 256, 1 << 20
+#: Shingles that a task holds unpacked.
+_HELD = 1 << 22
 
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -86,19 +97,22 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 - _DIFFER[differing] / SAMPLES
 
 
-def digest(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit digest, as two signed numbers."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(shingles.tobytes()), 1 << 64)
+    return low - (1 << 63), high - (1 << 63)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
-        size, sid, bands, odd = [], [], [], []
+        size, sid, other, bands, odd = [], [], [], [], []
         for text in utf8(batch.column(2)):
             s = shingle_set(text, WORDS)
             size.append(len(s))
             if not len(s):
                 sid.append(None)
+                other.append(None)
                 bands.append(None)
                 odd.append(np.zeros(len(_ODD), np.int64))
                 continue
@@ -107,20 +121,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 key = (key ^ m[i : BANDS * ROWS : ROWS]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
-            sid.append(digest(s))
+            one, two = digest(s)
+            sid.append(one)
+            other.append(two)
             bands.append(key.view(np.int64))
             odd.append(odd_sketch(m))
         words = np.stack(odd) if odd else np.zeros((0, len(_ODD)), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(bands, pa.list_(pa.int64()))] + [pa.array(words[:, i].copy()) for i in range(len(_ODD))],
-            ["doc_id", "row", "row_hash", "n_shingles", "sid", "bands", *_ODD],
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(other, pa.int64()), pa.array(bands, pa.list_(pa.int64()))] + [pa.array(words[:, i].copy()) for i in range(len(_ODD))],
+            ["doc_id", "row", "row_hash", "n_shingles", "sid", "other", "bands", *_ODD],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a key), row_hash (of the text), n_shingles, sid (digest of the set, null if empty), bands, odd0..odd7: one row per row of `docs`."""
+    """doc_id, row (a key), row_hash (of the text), n_shingles, sid and other (digest of the set, null if empty), bands, odd0..odd7: one row per row of `docs`."""
     return docs.select(F.col("doc_id").cast("long"), _row(), "text", F.xxhash64("text").alias("row_hash")).mapInArrow(
-        _sketches, "doc_id long, row long, row_hash long, n_shingles long, sid long, bands array<long>, " + ", ".join(f"{c} long" for c in _ODD)
+        _sketches, "doc_id long, row long, row_hash long, n_shingles long, sid long, other long, bands array<long>, " + ", ".join(f"{c} long" for c in _ODD)
     )
 
 
@@ -134,48 +150,58 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         sid, packed = [], []
-        for text, want in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-            if digest(shingle_set(text, WORDS)) == want:
+        for text, want, other in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if digest(shingle_set(text, WORDS))[1] == other:
                 sid.append(want)
                 packed.append(pack.compress(text))
         yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(packed, pa.binary())], ["sid", "packed"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: first texts (a: node), then pairs (a, b); the pairs that the full sets link."""
-    unpack = zstandard.ZstdDecompressor()
-    now, texts, sets = None, {}, {}
+class _Sets:
+    """Full sets of the nodes of one key, unpacked when they are asked for."""
+
+    def __init__(self):
+        self.unpack = zstandard.ZstdDecompressor()
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts: dict[int, bytes] = {}
+        self.sets: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def of(self, node: int) -> np.ndarray:
+        if node not in self.sets:
+            if self.held > _HELD:
+                self.sets, self.held = {}, 0
+            self.sets[node] = shingle_set(self.unpack.decompress(self.texts[node]), WORDS)
+            self.held += len(self.sets[node])
+        return self.sets[node]
 
-    def full(node: int) -> frozenset:
-        if node not in sets:
-            sets[node] = frozenset(shingle_set(unpack.decompress(texts[node]), WORDS).tolist())
-        return sets[node]
+    def linked(self, a: int, b: int) -> bool:
+        x, y = self.of(a), self.of(b)
+        both = np.concatenate([x, y])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= PERCENT * (len(both) - common)
 
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: first texts (a: node), then pairs (a, b); the pairs that the full sets link."""
+    now, sets = None, _Sets()
     for batch in batches:
         out: tuple[list, list] = ([], [])
         for key, a, b, packed in zip(*(c.to_pylist() for c in batch.columns)):
             if key != now:
-                now, texts, sets = key, {}, {}
+                now = key
+                sets.clear()
             if b is None:
-                texts[a] = packed
-                continue
-            x, y = full(a), full(b)
-            both = len(x & y)
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                sets.texts[a] = packed
+            elif sets.linked(a, b):
                 out[0].append(a)
                 out[1].append(b)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
-def _alike(n_a: str, n_b: str):
-    """Whether sizes allow a link and the odd sketches `odd*_a` and `odd*_b` suggest one."""
-    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (_differing() <= _most(LEAST_ESTIMATE))
-
-
-def _differing():
-    return sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _ODD), F.lit(0))
-
-
 def _most(least: float) -> int:
     """The most differing bits that stand for a similarity of `least`."""
     return max(i for i in range(BITS + 1) if estimate(np.array([i]))[0] >= least)
@@ -184,45 +210,150 @@ def _most(least: float) -> int:
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes allow a link and whose odd sketches suggest one."""
     of = lambda x: nodes.select(F.col("sid").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _ODD))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("n_a", "n_b")).select("a", "b")
+    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _ODD), F.lit(0))
+    able = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (differing <= _most(LEAST_ESTIMATE))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(able).select("a", "b")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Links among `pairs` (a, b), on full sets; `n`: the number of texts.
+def _confirm(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Links among `pairs` (a, b), on full sets.
 
-    Nodes are dealt to n / TOGETHER parts; pairs of the same two parts meet
-    under one key, and each text goes there once, however many pairs it is in.
+    Nodes are dealt to `parts` parts; pairs of the same two parts meet under
+    one key, and each text goes there once, however many pairs it is in.
     """
-    parts = F.lit(n // TOGETHER + 1)
-    key = F.pmod(F.xxhash64("a"), parts) * parts + F.pmod(F.xxhash64("b"), parts)
+    many = F.lit(parts)
+    key = F.pmod(F.xxhash64("a"), many) * many + F.pmod(F.xxhash64("b"), many)
     keyed = pairs.select(key.alias("key"), "a", "b")
     needed = keyed.select("key", F.explode(F.array("a", "b")).alias("sid")).distinct().join(texts, "sid")
     rows = needed.select("key", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "packed").unionByName(keyed.withColumn("packed", F.lit(None).cast("binary")))
     return rows.repartition(F.col("key")).sortWithinPartitions("key", F.col("b").asc_nulls_first()).mapInArrow(_confirmed, "a long, b long")
 
 
-def _across(shared: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) that share a band and are in different components.
+def _members(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The nodes of the bands that hold more than one component, with their components and the band's largest."""
+    if parts is None:
+        return shared.withColumn("component", F.col("sid")).withColumn("main", F.lit(None).cast("long"))
+    member = shared.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    each = member.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = each.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("most")).where("kinds > 1")
+    return member.join(largest.select("band", F.col("most.component").alias("main")), "band")
 
-    The nodes of a band are dealt to blocks of about BLOCK, and every two
-    blocks meet under a key of their own, so that a band of any size is spread
-    over tasks; what isn't likely never leaves the join.
-    """
-    member = (
-        shared.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        .select("band", "sid", "size", F.coalesce("component", "sid").alias("component"))
-    )
-    divided = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    dealt = (
-        member.join(divided, "band").join(nodes.select("sid", "n_shingles", *_ODD), "sid")
-        .withColumn("of", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("of")))
-        .withColumn("other", F.explode(F.expr("sequence(0L, `of` - 1)")))
-        .select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "component", "n_shingles", *_ODD)
-    )
-    side = lambda x: dealt.select("band", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("mine", "sid", "component", "n_shingles", *_ODD)))
-    ordered = F.when(F.col("i") == F.col("j"), F.col("sid_a") < F.col("sid_b")).otherwise((F.col("mine_a") == F.col("i")) & (F.col("mine_b") == F.col("j")))
-    found = side("a").join(side("b"), ["band", "i", "j"]).where(ordered & (F.col("component_a") != F.col("component_b")) & _alike("n_shingles_a", "n_shingles_b"))
-    return found.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"), _differing().alias("differing")).distinct()
+
+def _pivot_pairs(member: DataFrame) -> DataFrame:
+    """Of each band the best connected node outside the largest component, with each node of another component than its own."""
+    pivots = member.where("main is null or component <> main").groupBy("band").agg(F.max(F.struct("score", "sid", "component")).alias("p"))
+    with_pivot = member.join(pivots.select("band", F.col("p.sid").alias("pivot"), F.col("p.component").alias("own")), "band").where("component <> own")
+    return with_pivot.select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
+
+
+_BLOCK_KEY = ["band", "i", "j"]
+_ROW = [*_BLOCK_KEY, "straggler", "sid", "component", "n_shingles", *_ODD]
+
+
+def _pairs_of(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a block key (columns of _ROW), the likely pairs between components and their differing bits."""
+    straggler, sid, component, n = cols[3].astype(bool), cols[4], cols[5], cols[6]
+    words = np.stack(cols[7:], axis=1).view(np.uint64)
+    left, right = np.flatnonzero(straggler), np.flatnonzero(~straggler)
+    most, found = _most_bits(), []
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64, None]
+        y = right[None, :]
+        differing = np.bitwise_count(words[x] ^ words[y]).sum(axis=2, dtype=np.int64)
+        able = (differing <= most) & (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+        i, j = np.nonzero(able)
+        found.append((left[at + i], right[j], differing[i, j]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+_MOST: list[int] = []
+
+
+def _most_bits() -> int:
+    if not _MOST:
+        _MOST.append(_most(LEAST_ESTIMATE))
+    return _MOST[0]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block key, one record batch for each key."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if held and now != tuple(keys[a]):
+                yield pa.concat_batches(held)
+                held = []
+            now = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _in_likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        a, b, _ = _pairs_of([c.to_numpy(zero_copy_only=False) for c in block.columns])
+        yield block.take(pa.array(np.unique(np.concatenate([a, b]))))
+
+
+def _joining_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join components of a block, on the full sets."""
+    for block in _blocks(batches):
+        cols = [c.to_numpy(zero_copy_only=False) for c in block.columns[:-1]]
+        a, b, differing = _pairs_of(cols)
+        sid, component = cols[4].tolist(), cols[5].tolist()
+        sets = _Sets()
+        sets.texts = dict(zip(sid, block.column(block.num_columns - 1).to_pylist()))
+        root = {c: c for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out: tuple[list, list] = ([], [])
+        for k in np.argsort(differing, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            x, y = find(component[i]), find(component[j])
+            if x != y and sets.linked(sid[i], sid[j]):
+                root[x] = y
+                out[0].append(sid[i])
+                out[1].append(sid[j])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+
+def _across(member: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each band, as many as join them: stragglers against all nodes of the band, by blocks."""
+    rows = member.select("band", "sid", "component", (~F.col("component").eqNullSafe(F.col("main"))).alias("straggler")).join(nodes.select("sid", "n_shingles", *_ODD), "sid")
+    blocks = lambda some: F.ceil(F.greatest(F.count(F.when(some, 1)) / BLOCK, F.sum(F.when(some, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("long")
+    of = rows.groupBy("band").agg(blocks(F.lit(True)).alias("of"), blocks(F.col("straggler")).alias("few"))
+    dealt = rows.join(of, "band")
+    mine = lambda many: F.pmod(F.xxhash64("sid"), F.col(many))
+    # As a straggler a node meets every block of the band, as a node every block of stragglers.
+    left = dealt.where("straggler").withColumn("i", mine("few")).withColumn("j", F.explode(F.expr("sequence(0L, `of` - 1)")))
+    right = dealt.withColumn("straggler", F.lit(False)).withColumn("j", mine("of")).withColumn("i", F.explode(F.expr("sequence(0L, few - 1)")))
+    both = left.select(*_ROW).unionByName(right.select(*_ROW))
+    schema = "band long, i long, j long, straggler boolean, sid long, component long, n_shingles long, " + ", ".join(f"{c} long" for c in _ODD)
+    sorted_ = lambda df: df.repartition(*(F.col(k) for k in _BLOCK_KEY)).sortWithinPartitions(*_BLOCK_KEY)
+    some = written(sorted_(both).mapInArrow(_in_likely_pairs, schema), "op9-likely")
+    return sorted_(some.join(texts.select("sid", "packed"), "sid").select(*_ROW, "packed")).mapInArrow(_joining_links, "a long, b long")
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows of sets that share the first 64 bits of their digests, but not the others, are named by the others."""
+    clashing = rows.where("sid is not null").groupBy("sid").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least <> most").select("sid", "least")
+    if not clashing.limit(1).count():
+        return rows
+    anew = F.when(F.col("least").isNotNull() & (F.col("other") != F.col("least")), F.xxhash64("sid", "other")).otherwise(F.col("sid"))
+    return written(rows.join(clashing, "sid", "left").withColumn("sid", anew).drop("least"), "op9-told-apart")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -233,35 +364,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame) -> DataFrame:
     """The columns of `near_groups`, and component (a node of it; null without words), which tells components of one id, or of none, apart."""
     small_batches(docs.sparkSession)
-    rows = written(sketches(docs), "op9-sketches")
+    rows = _told_apart(written(sketches(docs), "op9-sketches"))
     some = rows.where("sid is not null")
     nodes = written(
-        some.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.max("n_shingles").alias("n_shingles"), *(F.max(c).alias(c) for c in _ODD)), "op9-nodes"
+        some.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.max("other").alias("other"), F.max("n_shingles").alias("n_shingles"), *(F.max(c).alias(c) for c in _ODD)), "op9-nodes"
     )
     bands = some.select("sid", F.explode("bands").alias("band")).distinct()
-    shared = written(
-        bands.join(bands.groupBy("band").agg(F.count("*").alias("size"), F.min("sid").alias("pivot")).where("size > 1"), "band"), "op9-bands"
-    )
-    near = shared.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    first = _likely(near, nodes)
+    in_bands = bands.join(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
+    shared = written(in_bands.join(in_bands.groupBy("sid").agg(F.sum("size").alias("score")), "sid"), "op9-bands")
     # The nodes of shared bands, each with the text of one of its rows.
-    wanted = shared.select("sid").distinct().join(nodes, "sid").select("sid", "row")
+    wanted = shared.select("sid").distinct().join(nodes, "sid").select("sid", "other", "row")
     texts = written(
-        docs.select(_row(), "text").join(wanted, "row").select("text", "sid").mapInArrow(_packed, "sid long, packed binary").dropDuplicates(["sid"]),
+        docs.select(_row(), "text").join(wanted, "row").select("text", "sid", "other").mapInArrow(_packed, "sid long, packed binary").dropDuplicates(["sid"])
+        .join(nodes.select("sid", "n_shingles"), "sid"),
         "op9-texts",
     )
-    n = texts.count()
-    links = written(_confirm(first, texts, n), "op9-links")
-    parts = written(connected(links), "op9-parts")
-    more = written(_across(shared, parts, nodes), "op9-more")
-    sure = F.col("differing") <= _most(SURE_ESTIMATE)
-    links = links.unionByName(written(_confirm(more.where(sure), texts, n), "op9-links"))
-    parts = written(connected(links), "op9-parts")
-    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
-    rest = more.where(~sure).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-    links = links.unionByName(written(_confirm(rest, texts, n), "op9-links"))
-    parts = connected(links)
+    size = texts.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
+    dealt = 1 + max(size["n"] // TOGETHER, (size["shingles"] or 0) // TOGETHER_SHINGLES)
+    links = parts = None
+    for turn in range(PIVOTS + 1):
+        member = _members(shared, parts)
+        new = _confirm(_likely(_pivot_pairs(member), nodes), texts.select("sid", "packed"), dealt) if turn < PIVOTS else _across(member, nodes, texts)
+        new = written(new, "op9-links")
+        links = new if links is None else links.unionByName(new)
+        parts = written(connected(links), "op9-parts")
     named = parts.join(nodes.select(F.col("sid").alias("node"), "first_id"), "node")
     label = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component", "component_id")
     label = nodes.select("sid", "first_id").join(label, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))

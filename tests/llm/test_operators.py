@@ -70,6 +70,29 @@ def test_near_groups_of_many_kinds(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == neardup.brute_force(rows)
 
 
+def test_near_groups_across_blocks(spark, monkeypatch):
+    """No pivots and small blocks: the comparison of blocks alone finds every component."""
+    monkeypatch.setattr(neardup, "PIVOTS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(10)
+    rows = []
+    for k in range(4):
+        base = words(rng, 80).split()
+        for i in range(30):
+            w = list(base)
+            for _ in range(i % 4):
+                w[rng.randrange(80)] = f"new{rng.randrange(99)}"
+            rows.append((100 * k + i, " ".join(w)))
+    found = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == neardup.brute_force(rows)
+
+
+def test_near_groups_tell_clashing_digests_apart(docs, monkeypatch):
+    rows = neardup.sketches(docs).withColumn("sid", F.when(F.col("sid").isNotNull(), F.pmod("sid", F.lit(7))))
+    apart = neardup._told_apart(rows).where("sid is not null")
+    assert apart.select("sid").distinct().count() == apart.select("sid", "other").distinct().count() >= rows.where("sid is not null").select("sid").distinct().count()
+
+
 def test_near_groups_awkward(awkward, none):
     found = neardup.near_groups(awkward).collect()
     assert len(found) == 5 and {r.component_id for r in found if r.doc_id == 7 and r.n_shingles > 100} == {7}
