@@ -17,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a folder of our own only where that is unset."""
+    """The shared folder of `spark.checkpoint.dir`, with its scheme.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster
+    it is an error, as executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spendlens-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-"))
         base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -347,6 +347,21 @@ def _across(member: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return sorted_(some.join(texts.select("sid", "packed"), "sid").select(*_ROW, "packed")).mapInArrow(_joining_links, "a long, b long")
 
 
+def _joined_up(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component after `links`: later turns link components, of which there are few."""
+    if parts is None:
+        return written(connected(links), "op9-parts")
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    named = written(named.distinct(), "op9-named")
+    if not named.limit(1).count():
+        return parts
+    over = written(connected(named).select(F.col("node").alias("component"), F.col("component").alias("over")).distinct(), "op9-over")
+    alone = over.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("over").alias("component"))
+    moved = parts.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+    return written(moved.unionByName(alone), "op9-parts")
+
+
 def _told_apart(rows: DataFrame) -> DataFrame:
     """Rows of sets that share the first 64 bits of their digests, but not the others, are named by the others."""
     clashing = rows.where("sid is not null").groupBy("sid").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least <> most").select("sid", "least")
@@ -381,13 +396,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     size = texts.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
     dealt = 1 + max(size["n"] // TOGETHER, (size["shingles"] or 0) // TOGETHER_SHINGLES)
-    links = parts = None
+    parts = None
     for turn in range(PIVOTS + 1):
-        member = _members(shared, parts)
+        member = written(_members(shared, parts), "op9-members")
+        if not member.limit(1).count():
+            break
         new = _confirm(_likely(_pivot_pairs(member), nodes), texts.select("sid", "packed"), dealt) if turn < PIVOTS else _across(member, nodes, texts)
-        new = written(new, "op9-links")
-        links = new if links is None else links.unionByName(new)
-        parts = written(connected(links), "op9-parts")
+        parts = _joined_up(parts, written(new, "op9-links"))
+    if parts is None:
+        parts = nodes.select(F.col("sid").alias("node"), F.col("sid").alias("component")).limit(0)
     named = parts.join(nodes.select(F.col("sid").alias("node"), "first_id"), "node")
     label = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component", "component_id")
     label = nodes.select("sid", "first_id").join(label, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))

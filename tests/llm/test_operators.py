@@ -120,11 +120,34 @@ def test_repeats(docs, length):
     assert [found[i] for i in range(len(expected))] == expected
 
 
-def test_repeats_by_hot_anchors(docs, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT_KINDS", 1)
-    expected = suffix.brute_force([(r[1] or "").encode() for r in corpus()], 60)
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove_repeats(docs, 60, 20).collect()}
-    assert [found[i] for i in range(len(expected))] == expected
+@pytest.mark.parametrize("first", [False, True])
+def test_repeats_of_split_anchors(spark, monkeypatch, first):
+    """Anchors of many kinds are split by columns until they fit; here none fits before single columns."""
+    monkeypatch.setattr(suffix, "TOGETHER", 1)
+    rng = random.Random(12)
+    middle = words(rng, 8)
+    rows = [(i, f"{words(rng, 5)} {middle[i % 4 :]} {words(rng, 5)}") for i in range(12)] + [(20, "x" * 150), (21, f"{'x' * 90} {middle}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = suffix.brute_force([t.encode() for _, t in rows], 30, first)
+    found = {r.doc_id: r.text.encode() for r in suffix.without_repeats(docs, 30, 24, first).collect()}
+    assert [hashlib.sha256(found[i]).hexdigest() for i, _ in rows] == [e[3] for e in expected]
+    assert any(e[1] for e in expected)
+
+
+@pytest.mark.parametrize("length", [256, 60])
+def test_repeats_but_the_first(docs, length):
+    rows = [r for r in corpus() if r[1]]
+    expected = suffix.brute_force([r[1].encode() for r in rows], length, True)
+    found = {r.doc_id: r.text for r in suffix.without_repeats(docs, length, length // 4, True).collect()}
+    for r, (n_bytes, removed, _, _) in zip(rows, expected):
+        assert n_bytes - removed - len(found[r[0]].encode()) in range(7), r[0]
+
+
+def test_rounds_go_through_files(tmp_path):
+    rng = random.Random(13)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 12))) for _ in range(30)]
+    plain, filed = ([tuple(x.tolist() if hasattr(x, "tolist") else x for x in c) for c in suffix.columns(strings, [2] * 30, np.zeros(30, np.int64), f)] for f in (None, f"file://{tmp_path}"))
+    assert plain == filed and not list(tmp_path.iterdir())
 
 
 def test_repeats_awkward(awkward, none):

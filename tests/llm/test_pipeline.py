@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a brute-force version of its decisions."""
 
+import random
+
 import numpy as np
 
 import corpus_pipeline
@@ -28,7 +30,8 @@ def test_stages(spark, sf_dir, tmp_path):
     assert sorted(r.doc_id for r in after) == sorted(i for i, (_, c) in groups.items() if i == c)
 
     before, after, _ = seen["substring_dedup"]
-    expected = {r.doc_id: b for r, b in zip(before, suffix.brute_force([(r.text or "").encode() for r in before]))}
+    before = sorted(before, key=lambda r: r.doc_id)
+    expected = {r.doc_id: b for r, b in zip(before, suffix.brute_force([(r.text or "").encode() for r in before], corpus_pipeline.PASSAGE, True))}
     for r in after:
         n_bytes, removed, _, _ = expected[r.doc_id]
         assert n_bytes - removed - len(r.text.encode()) in range(7)  # a cut character goes as a whole
@@ -66,6 +69,33 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, sf_dir):
         assert len(of) == 1 or not group[0][1]
 
 
+def test_stages_on_awkward_rows(spark, sf_dir, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, copies of a passage, and columns named like helper columns."""
+    rng = random.Random(4)
+    words = [r.text.split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and length(text) > 500").orderBy("doc_id").limit(4).collect()]
+    prose = lambda n: " ".join(rng.choice(rng.choice(words)) for _ in range(n))
+    passage, twice = prose(60), prose(200)
+    rows = [(1, f"{prose(80)} {passage} {prose(80)}"), (2, f"{prose(80)} {passage} {prose(80)}"), (3, f"{passage} {prose(90)}"), (4, prose(20_000)), (5, twice), (5, twice), (None, prose(150)), (None, None), (6, ""), (None, twice), (7, "12 34 !")]
+    names = ["__id", "__hash", "__turn", "__spans", "component", "kept", "score", "sid", "row_hash", "anchor", "place", "piece", "epochs", "tokens", "domain"]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", None if i == 4 else "src1", len(t or ""), *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or docs.columns == columns
+        if name == "language_id":
+            assert docs.count() == 8
+        elif name == "near_dedup":
+            assert docs.count() == 6 and docs.where("doc_id = 5").count() == 1
+        elif name == "substring_dedup":
+            left = {r.doc_id: r.text for r in docs.collect()}
+            assert docs.count() == 6 and passage in left[1] and all(passage not in left[i] for i in (2, 3)) and left[5] == twice
+        elif name == "mixing":
+            assert 0 < docs.count() <= 4 * before.count()
+        else:
+            packing.check_packing([(r.sequence_id, r.offset, r.length) for r in docs.collect()])
+
+
 def test_empty_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
