@@ -5,19 +5,23 @@
 2. near_dedup keeps one row of each group of near duplicates: of the least
    doc_id (null if there is no other), the text of the least hash, once. Texts
    without words are in no group and stay.
-3. substring_dedup removes every string of 400 bytes that starts twice in what
-   is left; texts may become empty, no row goes.
+3. substring_dedup removes every string of PASSAGE bytes that starts earlier in
+   what is left, in a text of less doc_id or in the text itself; its first copy
+   stays. 50 words take more bytes than that. Texts may become empty, no row goes.
 4. mixing draws documents to the target weights of domains, languages and
    sources; a document drawn in several epochs is as many rows, and the last
    of a leaf may be cut after a word. Texts without words are never drawn.
 5. packing gives the place of each piece in sequences of 2048 tokens.
 
-Each stage but the last returns the columns of its input. Nulls, empty texts,
-repeated rows and extra columns are treated as the operators say.
+Each stage but the last returns the columns of its input, extra ones of any
+name included. Rows of null or empty text have no language and go in the first
+stage; repeated rows, and rows of null id with one text, become one in the
+second; very long texts are treated whole throughout.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,13 +29,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spendlens.llm import langid, mixing, neardup, packing, queries, suffix
 from spendlens.llm.common import table, written
 
+#: The bytes of a repeated passage.
+PASSAGE = 256
+OWN = ["doc_id", "text", "lang", "source", "n_chars"]
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_columns(stage: Stage) -> Stage:
+    """The stage for tables whose further columns may have any names: they pass through it under plain ones."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*(c if c in OWN else f"c{i}" for i, c in enumerate(names))), sf_dir).toDF(*names)
+
+    return run_stage
+
+
+@any_columns
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     labelled = langid.label(docs, langid.fit(docs), *names).toDF(*names, "__pred", "__score", "__spans").where(F.col("__pred") != langid.UNKNOWN)
     return labelled.select(*(F.col("__pred").alias("lang") if c == "lang" else F.col(c) for c in names))
 
 
+@any_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = neardup.near_components(docs).where("component is not null")
     texts = written(rows.groupBy("component", "kept", F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).agg(F.count("*").alias("n")), "pipeline-near")
@@ -45,10 +68,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, same(gone), "left_anti").unionByName(copies)
 
 
+@any_columns
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(docs)
+    return suffix.without_repeats(docs, PASSAGE, PASSAGE // 4, first=True)
 
 
+@any_columns
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, queries.domain_of_source(), queries.MIX_WEIGHTS, 1.0, 4, queries.MIX_SEED)
 
@@ -57,7 +82,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.vocabulary())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
