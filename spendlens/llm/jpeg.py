@@ -148,7 +148,12 @@ def _follow(windows: _Windows, totals: list[np.ndarray], p: int, most: int) -> n
 def _values(windows: _Windows, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The signed values of `size` bits (0 to 15) at offsets `at`."""
     raw = windows[at].astype(np.int64) >> (16 - size)
-    return np.where((size > 0) & (raw < (1 << np.maximum(size - 1, 0))), raw - (1 << size) + 1, np.where(size > 0, raw, 0))
+    return raw - _SPAN[size] * (raw < _HALF[size])
+
+
+#: By size: the values from which on bits stand for themselves, and what the others are less by.
+_HALF = np.array([0, *(1 << n for n in range(15))])
+_SPAN = np.array([(1 << n) - 1 for n in range(16)])
 
 
 class _Bits:
@@ -386,23 +391,33 @@ def plane(image: Image, c: Component) -> np.ndarray:
 
 def rgb(image: Image) -> np.ndarray:
     """height x width x 3, chroma upsampled to full resolution."""
-    full = []
-    for c in image.components:
-        p = np.clip(plane(image, c), 0, 255)
-        up_v, up_h = image.v // c.v, image.h // c.h
-        if up_v > 1 or up_h > 1:
-            p = np.broadcast_to(p[:, None, :, None], (p.shape[0], up_v, p.shape[1], up_h)).reshape(p.shape[0] * up_v, p.shape[1] * up_h)
-        full.append(p[: image.height, : image.width])
     out = np.empty((image.height, image.width, 3), np.uint8)
-    if len(full) < 3:
-        out[:] = np.rint(full[0])[:, :, None].astype(np.uint8)
+    planes = [np.clip(plane(image, c), 0, 255) for c in image.components]
+    if len(planes) < 3:
+        out[:] = np.rint(_upsampled(image, image.components[0], planes[0])[: image.height, : image.width, None]).astype(np.uint8)
         return out
-    y, cb, cr = full[0], full[1] - np.float32(128), full[2] - np.float32(128)
-    for i, x in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
-        out[:, :, i] = np.clip(np.rint(x), 0, 255).astype(np.uint8)
+    first, second, third = image.components[:3]
+    y = _upsampled(image, first, planes[0])
+    cb, cr = planes[1] - np.float32(128), planes[2] - np.float32(128)
+    alike = (second.h, second.v) == (third.h, third.v)
+    up = lambda c, x: _upsampled(image, c, x)
+    # What chroma adds is computed at its own resolution.
+    green = up(second, np.float32(0.344136) * cb + np.float32(0.714136) * cr) if alike else up(second, np.float32(0.344136) * cb) + up(third, np.float32(0.714136) * cr)
+    for i, x in enumerate((y + up(third, np.float32(1.402) * cr), y - green, y + up(second, np.float32(1.772) * cb))):
+        np.rint(x, out=x)
+        np.clip(x, 0, 255, out=x)
+        out[:, :, i] = x[: image.height, : image.width]
     return out
 
 
+def _upsampled(image: Image, c: Component, p: np.ndarray) -> np.ndarray:
+    """A component's plane at full resolution, each sample repeated."""
+    v, h = image.v // c.v, image.h // c.h
+    if v == h == 1:
+        return p
+    return np.broadcast_to(p[:, None, :, None], (p.shape[0], v, p.shape[1], h)).reshape(p.shape[0] * v, p.shape[1] * h)
+
+
 # ---- Writing
 
 

@@ -29,6 +29,8 @@ UNIT = 576
 FILL = 255
 _BASE = 256
 _MCU = 6 * 64
+#: MCUs of the widest image of the format.
+_ROW_MCUS = 65535 // 16
 _ONES = {0: np.ones(64, np.int32)}
 #: Output bytes that one batch gathers before it is sent on.
 _SEND = 8 << 20
@@ -46,7 +48,7 @@ def _frame(wide: int, high: int) -> jpeg.Image:
 def store(payload: bytes) -> bytes:
     """A progressive JPEG file whose coefficients hold the payload."""
     mcus = -(-len(payload) // _MCU)
-    wide = math.isqrt(mcus - 1) + 1
+    wide = mcus if mcus <= _ROW_MCUS else math.isqrt(mcus - 1) + 1  # one row has no MCUs of padding
     image = _frame(wide, -(-mcus // wide))
     values = np.full(image.mcus_wide * image.mcus_high * _MCU, _BASE + FILL, np.int32)
     values[: len(payload)] = np.frombuffer(payload, np.uint8)

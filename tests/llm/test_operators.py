@@ -290,6 +290,125 @@ def test_media_round_trip(text):
     assert jpeg.rgb(image).shape == (image.height, image.width, 3)
 
 
+def plain_decoder(data):
+    """Pixels of a progressive file, bit by bit, block by block and sample by sample."""
+    import math
+
+    at, tables, comps, size = 2, {}, {}, None
+    while data[at + 1] != 0xD9:
+        marker, n = data[at + 1], data[at + 2] * 256 + data[at + 3]
+        body, at = data[at + 4 : at + 2 + n], at + 2 + n
+        if marker == 0xC4:
+            k = 0
+            while k < len(body):
+                code, places = 0, {}
+                many = list(body[k + 1 : k + 17])
+                values = iter(body[k + 17 : k + 17 + sum(many)])
+                for bits, m in enumerate(many, 1):
+                    for _ in range(m):
+                        places[bits, code] = next(values)
+                        code += 1
+                    code *= 2
+                tables[body[k] >> 4, body[k] & 15] = places
+                k += 17 + sum(many)
+        elif marker == 0xC2:
+            size = body[3] * 256 + body[4], body[1] * 256 + body[2]
+            for i in range(body[5]):
+                comps[body[6 + 3 * i]] = (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, {})
+        elif marker == 0xDA:
+            end = at
+            while data[end] != 0xFF or data[end + 1] == 0:
+                end += 1
+            stream = "".join(f"{b:08b}" for b in data[at:end].replace(b"\xff\x00", b"\xff"))
+            at, p = end, 0
+            who = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            start, stop, high, low = body[-3], body[-2], body[-1] >> 4, body[-1] & 15
+            wide, tall = size[0] // 16, size[1] // 16
+
+            def take(m):
+                nonlocal p
+                p += m
+                return int(stream[p - m : p], 2) if m else 0
+
+            def symbol(table):
+                code, bits = 0, 0
+                while (bits, code) not in table:
+                    code, bits = 2 * code + take(1), bits + 1
+                return table[bits, code]
+
+            def signed(m):
+                v = take(m)
+                return v if m == 0 or v >> (m - 1) else v - (1 << m) + 1
+
+            if start == 0:
+                before = dict.fromkeys(comps, 0)
+                for my in range(tall):
+                    for mx in range(wide):
+                        for c, t in who:
+                            h, v, blocks = comps[c]
+                            for y in range(v):
+                                for x in range(h):
+                                    b = blocks.setdefault((my * v + y, mx * h + x), [0] * 64)
+                                    if high:
+                                        b[0] |= take(1) << low
+                                    else:
+                                        before[c] += signed(symbol(tables[0, t >> 4]))
+                                        b[0] = before[c] << low
+            else:
+                c, t = who[0]
+                h, v, blocks = comps[c]
+                run = 0
+                for y in range(tall * v):
+                    for x in range(wide * h):
+                        b, k = blocks[y, x], start
+                        while k <= stop and not run:
+                            rs = symbol(tables[1, t & 15])
+                            if rs & 15 == 0 and rs >> 4 < 15:
+                                run = (1 << (rs >> 4)) + take(rs >> 4)
+                                break
+                            assert not high
+                            k += rs >> 4
+                            b[k] = signed(rs & 15) << low
+                            k += 1
+                        if run:
+                            run -= 1
+                            for k in range(k, stop + 1):
+                                if b[k] and high:
+                                    b[k] += take(1) << low if b[k] > 0 else -(take(1) << low)
+    cosine = [[(math.sqrt(0.125) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
+    zigzag = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    planes = {}
+    for c, (h, v, blocks) in comps.items():
+        planes[c] = {
+            (8 * by + y, 8 * bx + x): min(255, max(0, 128 + sum(q * cosine[r][y] * cosine[s][x] for (r, s), q in zip(zigzag, b) if q)))
+            for (by, bx), b in blocks.items() for y in range(8) for x in range(8)
+        }
+    out = np.zeros((size[1], size[0], 3))
+    for y in range(size[1]):
+        for x in range(size[0]):
+            a, cb, cr = planes[1][y, x], planes[2][y // 2, x // 2] - 128, planes[3][y // 2, x // 2] - 128
+            out[y, x] = a + 1.402 * cr, a - 0.344136 * cb - 0.714136 * cr, a + 1.772 * cb
+    return {c: [blocks[k] for k in sorted(blocks)] for c, (_, _, blocks) in comps.items()}, np.clip(out, 0, 255)
+
+
+@pytest.mark.parametrize("text", [b"", "plain words, ñandú and 漢字 ".encode() * 25])
+def test_media_against_a_plain_decoder(text):
+    """Coefficients, payload, tensor and feature from the stored bytes, by a decoder of its own."""
+    stored = media.store(media.payload_of(text))
+    blocks, pixels = plain_decoder(stored)
+    image = jpeg.decode(stored)
+    assert [c.blocks.tolist() for c in image.components] == [blocks[c.ident] for c in image.components]
+    data = bytes(v - 256 for c in (1, 2, 3) for b in blocks[c] for v in b)
+    assert data.rstrip(b"\xff") == text and media.read(stored)[0] == media.payload_of(text)
+    tensor = jpeg.rgb(image)
+    assert np.abs(tensor.astype(float) - pixels).max() <= 0.51
+    parts = media.feature(tensor).partition(":")[2].split(",")
+    for i, part in enumerate(parts):
+        mean, deviation, step = map(float, part.split("/"))
+        channel = tensor[:, :, i].astype(float)
+        assert (mean, deviation, step) == pytest.approx((channel.mean(), channel.std(), np.abs(np.diff(channel, axis=1)).sum() / channel.size), abs=0.002)
+
+
 def test_media_columns(docs, none):
     rows = media.media_columns(docs, "doc_id", "kept").collect()
     by = {r.doc_id: r for r in rows}
