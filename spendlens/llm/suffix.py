@@ -355,7 +355,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, firs
     """doc_id, row_hash, spans array<struct<first, last>>: starts, by runs, of strings that start elsewhere too; with `first`, that start earlier too."""
     small_batches(docs.sparkSession)
     every = segments(docs, length, gram)
-    twice = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join reads two exchanges and the adaptive plan can split a skewed anchor.
+    twice = written(every.groupBy("anchor").count().where("count > 1").select("anchor"), "op3-twice")
     found = written(every.join(twice, "anchor", "left_semi"), "op3-segments")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "place")).alias("one")
     kinds = written(found.groupBy(*_KIND).agg(F.count("*").alias("n"), least), "op3-kinds")
