@@ -7,17 +7,17 @@ and the XOR of their check values. Cell by cell, one sketch less another is the
 sketch of what differs. `peel` recovers that: a cell of one digest (count 1 or
 -1 and a check value that fits) gives it away, it leaves its other cells, and
 so on until nothing is left. If peeling gets stuck, the sketch was too small:
-`differing` tries sketches of 4, 16 and 64 times the cells, with other hashes,
-for documents of many paragraphs split by digest into parts of about `PART`,
-so that the work grows with the paragraphs. A part that still doesn't peel is
-compared exactly. The likeness is the Jaccard similarity of the two sets,
+`differing` tries sketches of 4 times the cells, then twice as many again and
+again, each with other hashes, until one peels; documents of many paragraphs
+are split by digest into parts of about `PART`. The likeness is the Jaccard similarity of the two sets,
 from their sizes and the number of digests that differ.
 
 `with_next` puts each row beside the next one in descending order of doc_id
 (then of a hash of the text; null ids last; the first follows the last). Rows
-are dealt by ranges of ids, of about max(1024, sqrt(rows)) rows each, and the
-first row of each range is copied to the range before, so that no window holds
-more than a range; at most sqrt(rows) range heads are broadcast.
+are dealt by ranges of ids between quantiles, of about max(1024, rows / 4096)
+rows each, null ids by ranges of the hash, and the first row of each range is
+copied to the range before, so that no window holds more than a range and the
+rows of its last id; the heads of at most 8192 ranges are broadcast.
 
 Null texts count as empty, and two empty sets are alike (1). Repeated rows
 follow each other. Other columns are dropped.
@@ -31,8 +31,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CELLS = 24
 ROWS = 3
-RETRIES = (4, 16, 64)
+RETRY, DOUBLINGS = 4, 12
 PART = 256
+#: Rows of a range of ids, at least, and ranges, at most.
+LEAST_RANGE, RANGES = 1024, 4096
 #: Rounds of peeling after which a sketch counts as stuck; each round frees at least one digest.
 ROUNDS = 40
 
@@ -115,9 +117,10 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     parts = F.ceil((F.size(a) + F.size(b)) / PART).cast("long")
 
     def larger(x: Column, y: Column) -> Column:
-        tries = [_count_if_peeled(subtract(sketch(x, F.lit(CELLS * t)), sketch(y, F.lit(CELLS * t))), F.lit(CELLS * t)) for t in RETRIES]
-        exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
-        return F.coalesce(*tries, exact)
+        start = F.struct(F.lit(None).cast("int").alias("n"), F.lit(CELLS * RETRY).alias("cells"))
+        again = lambda a: F.struct(_count_if_peeled(subtract(sketch(x, a["cells"]), sketch(y, a["cells"])), a["cells"]).alias("n"), (a["cells"] * 2).alias("cells"))
+        tries = F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), start, lambda a, _: F.when(a["n"].isNotNull(), a).otherwise(again(a)), lambda a: a["n"])
+        return F.coalesce(tries, F.raise_error(F.lit("a sketch didn't peel")).cast("int"))
 
     own = lambda keys, s: F.filter(keys, lambda k: F.pmod(k, parts) == s)
     retried = F.aggregate(F.sequence(F.lit(0).cast("long"), parts - 1), F.lit(0), lambda n, s: n + larger(own(a, s), own(b, s)))
@@ -135,15 +138,30 @@ def written_out(keys: Column, base: Column) -> Column:
     return F.concat(F.size(keys).cast("string"), F.lit("/"), F.array_join(F.transform(base, lambda x: F.when((x["n"] == 0) & (x["k"] == 0), F.lit("-")).otherwise(cell(x))), " "))
 
 
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the value (null if it is null), in two steps of about sqrt(cuts) comparisons."""
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    if not groups:
+        return value * 0
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    lists = F.array(*(F.array(*(F.lit(c).cast("long") for c in g)) for g in groups))
+    k = upto(F.array(*(F.lit(g[0]).cast("long") for g in groups)))
+    found = F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + upto(F.get(lists, k - 1)))
+    return F.when(value.isNotNull(), found)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: null texts as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    stats = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    n, low, high = stats["n"], stats["low"] or 0, stats["high"] or 0
-    wide = max(1024, math.isqrt(n))
-    width = max(1, math.ceil((high - low + 1) * wide / max(n, 1)), 1)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    keyed = rows.withColumn("row_hash", F.xxhash64("text")).withColumn("bucket", bucket)
+    stats = rows.agg(F.count("doc_id").alias("n"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    ranges = lambda n: max(1, min(RANGES, -(-n // LEAST_RANGE)))
+    many, of_nulls = ranges(stats["n"]), ranges(stats["nulls"])
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 4 * RANGES)).first()[0] if many > 1 else None
+    keyed = rows.withColumn("row_hash", F.xxhash64("text"))
+    # Null ids come last, in the order of their hashes: their ranges count down from -1.
+    of_hash = F.least(F.floor((F.col("row_hash") / F.lit(2.0**64) + 0.5) * of_nulls), F.lit(of_nulls - 1))
+    keyed = keyed.withColumn("bucket", F.coalesce(_range_of(F.col("doc_id"), sorted(set(cuts or []))), -1 - of_hash).cast("long"))
     heads = keyed.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("row_hash").alias("low_hash"))).alias("head"))
     every = W.orderBy("bucket")
     around = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -238,7 +238,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -273,7 +272,7 @@ def test_local_search_only_improves():
 def test_single_spaced_texts_encode_alike():
     encode = packing.encoder(vocabulary())
     rng = random.Random(8)
-    texts = ["a b's don't x1 22,3 !?", "a  b\n\nc \t d ", "<|endoftext|> x", "ñandú über 漢字 😀", ""] + ["".join(rng.choice("ab 1.,'\n\té<|>") for _ in range(60)) for _ in range(200)]
+    texts = ["a <|endoftext|> b", "<|endoftext", "a b's don't x1 22,3 !?", "a  b\n\nc \t d ", "<|endoftext|> x", "ñandú über 漢字 😀", ""] + ["".join(rng.choice("ab 1.,'\n\té<|>") for _ in range(60)) for _ in range(200)]
     for t in texts:
         assert encode.encode(t) == np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -442,6 +441,17 @@ def test_sketch_peels_and_retries(spark):
     assert found[1].near_next == pytest.approx(260 / 330)
 
 
+def test_next_rows_with_far_and_missing_ids(spark, monkeypatch):
+    """Ranges follow the rows, not the ids: a far id, null ids and repeated ids, over many small ranges."""
+    monkeypatch.setattr(iblt, "LEAST_RANGE", 8)
+    rows = [(i, f"text {i}") for i in range(300)] + [(10**12, "far"), (-5, "low"), (7, "again"), (7, "again")] + [(None, f"none {i % 40}") for i in range(50)]
+    found = iblt.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    hashed = {r.text: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    expected = sorted((str(a), b[1]) for a, b in zip(order, [*order[1:], order[0]]))
+    assert sorted((str((r.doc_id, r.text)), r.next_text) for r in found.collect()) == expected
+
+
 def test_fingerprints_awkward(awkward, none):
     assert iblt.fingerprints(awkward).count() == 5
     assert iblt.fingerprints(none).count() == 0
