@@ -55,3 +55,8 @@ def days_to_expiry(expires: Column, as_of: Column) -> Column:
     """Whole days, rounded up, until a plan expires; null if it has no end or is over."""
     seconds = F.unix_timestamp(expires.cast("timestamp")) - F.unix_timestamp(as_of.cast("timestamp"))
     return F.when(seconds > 0, F.ceil(seconds / 86400))
+
+
+def month_step(day: Column, months: int) -> Column:
+    """The first day of the month that many months on (negative: before)."""
+    return F.add_months(F.trunc(day, "MM"), months)

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from . import rules
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+_MARKS = ("\u0300", "\u036f")
+
+
+def _decomposed() -> tuple[str, str]:
+    """Lower-case letters below U+2000 whose canonical decomposition is one letter and combining marks, and those letters."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x2000)):
+        first, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and all(_MARKS[0] <= m <= _MARKS[1] for m in marks):
+            pairs.append((c, first))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+_ACCENTED, _PLAIN = _decomposed()
 #: A word boundary between ASCII word characters and others, whatever the engine thinks of accented letters.
 _W = "[A-Za-z0-9_]"
 EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -20,8 +33,8 @@ def squeeze(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents (search normaliser)."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Lower case without accents, composed or combining (search normaliser)."""
+    return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), f"[{_MARKS[0]}-{_MARKS[1]}]", "")
 
 
 def subscription_key(text: Column) -> Column:
@@ -54,6 +67,11 @@ def _in_product(token: Column, name: Column) -> Column:
     return F.contains(name, token) | F.coalesce(F.exists(F.try_element_at(synonyms, token), lambda s: F.contains(name, s)), F.lit(False))
 
 
+def in_product(token: Column, name: Column) -> Column:
+    """Whether a product's normalised name has the token or one of its synonyms."""
+    return _in_product(token, name)
+
+
 def relevance(query_tokens: Column, name: Column) -> Column:
     """The share of the tokens that a product's normalised name has, itself or by a synonym."""
     hits = F.size(F.filter(query_tokens, lambda t: _in_product(t, name)))

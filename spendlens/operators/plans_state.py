@@ -30,3 +30,12 @@ def rate_windows(events: DataFrame, minutes: int = 15, limit: int = 100) -> Data
     """Requests of each user by fixed window, and how many were over the limit."""
     counted = events.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "user_id").agg(F.count("*").alias("requests"))
     return counted.select(F.col("w.start").alias("window_start"), "user_id", "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"))
+
+
+#: What a plan opens.
+FLAGS = ["isPremium", "canUpload", "canUseAI", "canComparePrices", "canAddGoal", "canAddBill", "canShopping"]
+
+
+def flags(premium):
+    """The feature flags of a plan, each open to premium users only."""
+    return F.struct(*(premium.alias(name) for name in FLAGS))

@@ -80,3 +80,13 @@ def known_merchants(charges: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "merchant").agg(
         F.max_by(F.col("amount").cast("double"), F.struct("date", -F.col("id"))).alias("amount"), F.max("date").alias("last_charged"), F.count("*").alias("charges")
     )
+
+
+def without_dismissed(candidates: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """The candidates (user_id, description, ...) that their user hasn't dismissed (user_id, description); null descriptions stay."""
+    return candidates.join(dismissed.select("user_id", "description").distinct(), ["user_id", "description"], "left_anti")
+
+
+def billing_days(charges: DataFrame) -> DataFrame:
+    """user_id, description, billing_day: the day of the month of each description's last charge."""
+    return charges.where("type = 'debit'").groupBy("user_id", "description").agg(F.dayofmonth(F.max("date")).alias("billing_day"))

@@ -2,6 +2,6 @@
 
 from spendlens.registry import ORACLE, QUERIES
 
-from . import changes, ledger, planning, shopping, texts
+from . import changes, inputs, ledger, planning, shopping, texts
 
-__all__ = ["ORACLE", "QUERIES", "changes", "ledger", "planning", "shopping", "texts"]
+__all__ = ["ORACLE", "QUERIES", "changes", "inputs", "ledger", "planning", "shopping", "texts"]
