@@ -35,8 +35,8 @@ def _per_name(offers: DataFrame, asked: list[tuple], schema: dict[str, str], ver
     return names.withColumn("verdict", verdict).where(keep)
 
 
-def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:
-    """query, place, store_id, name, price, score of each query's offers, best first.
+def matching(offers: DataFrame, queries: list[str]) -> DataFrame:
+    """The offers that each query finds, with query and score, in no order.
 
     Strict: all keywords. If nothing at all passes and there are several
     keywords: the first keyword in the name and a keyword in its first word.
@@ -52,9 +52,13 @@ def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> D
     some = judged.where(every | strict | relaxed).withColumn("strict", strict)
     level = some.groupBy("query").agg(F.max("strict").alias("any_strict"))
     chosen = some.join(level, "query").where(every | (F.col("strict") == F.col("any_strict")))
-    found = offers.join(chosen.select("query", "name", F.when(every, 0).otherwise(F.col("verdict.score")).alias("score")), "name")
+    return offers.join(chosen.select("query", "name", F.when(every, 0).otherwise(F.col("verdict.score")).alias("score")), "name")
+
+
+def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:
+    """query, place, store_id, name, price, score of each query's offers, best first."""
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "price", "ordinal", "store_id")
-    ranked = found.withColumn("place", F.row_number().over(order))
+    ranked = matching(offers, queries).withColumn("place", F.row_number().over(order))
     if limit:
         ranked = ranked.where(F.col("place") <= limit)
     return ranked.select("query", "place", "store_id", "name", "price", "score")

@@ -37,7 +37,7 @@ def d7_price_search(spark, sf_dir):
 
 @query("a7_price_stats", f"""{named(OFFERS, _Q, _SEARCH)} SELECT query, min(price) AS min_price, max(price) AS max_price, floor(avg(price) + 0.5)::BIGINT AS avg_price, count(*) AS n, count(DISTINCT store_id) AS stores FROM found GROUP BY 1""")
 def a7_price_stats(spark, sf_dir):
-    return op.price_stats(op.search(all_offers(spark, sf_dir), QUERIES))
+    return op.price_stats(op.matching(all_offers(spark, sf_dir), QUERIES))
 
 
 _BEST = """t AS (SELECT item_id, item, quantity, string_split(lower(item), ' ') AS words FROM i), r AS (SELECT DISTINCT name FROM offers),

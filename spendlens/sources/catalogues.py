@@ -105,14 +105,22 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, left = [], list(reversed(self.children))
+        while left:
+            c = left.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                left.extend(reversed(c.children))
+        return "".join(out)
 
     def all(self, tag: str = "", cls: str = "", **attrs: str) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                if (not tag or c.tag == tag) and set(cls.split()) <= set(c.attrs.get("class", "").split()) and all(v in c.attrs.get(k, "") for k, v in attrs.items()):
-                    yield c
-                yield from c.all(tag, cls, **attrs)
+        left = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while left:
+            c = left.pop()
+            if (not tag or c.tag == tag) and set(cls.split()) <= set(c.attrs.get("class", "").split()) and all(v in c.attrs.get(k, "") for k, v in attrs.items()):
+                yield c
+            left.extend(x for x in reversed(c.children) if isinstance(x, Node))
 
     def first(self, tag: str = "", cls: str = "", **attrs: str) -> Node:
         return next(self.all(tag, cls, **attrs), Node("", {}))
@@ -126,7 +134,12 @@ class _Tree(HTMLParser):
         self.root = Node("", {})
         self.stack = [self.root]
 
+    #: What an element that is left open ends at: the next of its kind, and of those around it.
+    ENDS = {"p": ("p",), "li": ("li",), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+
     def handle_starttag(self, tag, attrs):
+        while len(self.stack) > 1 and self.stack[-1].tag in self.ENDS.get(tag, ()):
+            self.stack.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].children.append(node)
         if tag not in self.VOID:

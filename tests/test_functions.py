@@ -88,3 +88,11 @@ def test_amounts_come_back(spark, cents):
 
 def test_rule_tables():
     assert (len(rules.UPLOAD_RULES), len(rules.MANUAL_RULES), len(rules.MERCHANTS)) == (15, 9, 37)
+
+
+def test_deep_and_open_pages():
+    from spendlens.sources import catalogues
+
+    page = catalogues.tree("<div>" * 5000 + "".join(f"<p>x{i}" for i in range(3000)) + "<table><tr><td>a<td>b<tr><td>c</table>")
+    assert len(list(page.all("p"))) == 3000 and page.text().endswith("x2999abc")
+    assert [len(r.children) for r in page.all("tr")] == [2, 1] and page.first("td").text() == "a"
