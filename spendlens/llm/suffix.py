@@ -20,6 +20,7 @@ so that each anchor is a collection of its own with a few hundred columns.
    the neighbours' common prefixes; a common prefix of 400 marks both starts.
    They go from round to round through sequential files in the shared folder
    (`Rounds`): a round reads the last one's once, in order, and writes the next.
+   A round of at most `BUFFER` bytes stays in the task's write buffer.
 4. An anchor with more than `TOGETHER` kinds is split (`_halves`): its columns
    into two ranges, and the strings by what all windows of a range share, which
    equal windows do. This is repeated until the parts fit; at a single column
@@ -50,6 +51,8 @@ LENGTH = 400
 GRAM = 100
 #: Segments that one call of `repeated_starts` sorts together, about, and at most of one anchor.
 TOGETHER = 8192
+#: Bytes of one round that are held without a file; opening two files a round costs more than sorting so few.
+BUFFER = 1 << 16
 
 #: Texts are searched for anchors in pieces of this size; positions must fit 24 bits.
 _PIECE = 1 << 22
@@ -122,23 +125,25 @@ def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 
 class Rounds:
-    """The arrays of the last round, in a sequential file of a folder that Spark's tasks share."""
+    """The arrays of the last round, in a sequential file of a folder that Spark's tasks share, or in the buffer if they are small."""
 
     def __init__(self, folder: str | None):
-        self.fs = None
+        self.fs, self.filed = None, False
         if folder:
             from pyarrow import fs
 
             self.fs, path = fs.FileSystem.from_uri(folder)
             self.base = f"{path}/{uuid.uuid4().hex}"
-            self.fs.create_dir(self.base)
         self.last: list[np.ndarray] = []
         self.turn = 0
 
     def write(self, *arrays: np.ndarray) -> None:
-        if not self.fs:
+        if not self.fs or sum(a.nbytes for a in arrays) <= BUFFER:
             self.last = list(arrays)
             return
+        if not self.filed:
+            self.fs.create_dir(self.base)
+            self.filed = True
         self.kinds = [(a.dtype, len(a)) for a in arrays]
         self.turn += 1
         with self.fs.open_output_stream(f"{self.base}/{self.turn % 2}") as out:
@@ -146,13 +151,13 @@ class Rounds:
                 out.write(a.tobytes())
 
     def read(self) -> list[np.ndarray]:
-        if not self.fs:
+        if not self.filed:
             return self.last
         with self.fs.open_input_stream(f"{self.base}/{self.turn % 2}") as some:
             return [np.frombuffer(some.read(kind.itemsize * n), kind) for kind, n in self.kinds]
 
     def close(self) -> None:
-        if self.fs:
+        if self.filed:
             self.fs.delete_dir(self.base)
 
 

@@ -143,9 +143,10 @@ def test_repeats_but_the_first(docs, length):
         assert n_bytes - removed - len(found[r[0]].encode()) in range(7), r[0]
 
 
-def test_rounds_go_through_files(tmp_path):
+def test_rounds_go_through_files(tmp_path, monkeypatch):
     rng = random.Random(13)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 12))) for _ in range(30)]
+    monkeypatch.setattr(suffix, "BUFFER", 0)
     plain, filed = ([tuple(x.tolist() if hasattr(x, "tolist") else x for x in c) for c in suffix.columns(strings, [2] * 30, np.zeros(30, np.int64), f)] for f in (None, f"file://{tmp_path}"))
     assert plain == filed and not list(tmp_path.iterdir())
 
