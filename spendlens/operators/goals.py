@@ -53,6 +53,11 @@ def insights(goals: DataFrame, deposits: DataFrame, as_of: dt.datetime) -> DataF
     )
 
 
+def with_surplus(insight: DataFrame, surplus: DataFrame) -> DataFrame:
+    """Insights with what the goal's user spent less than usual (`ledger.surplus`), the same for all of a user's goals; 0 without spending."""
+    return insight.join(surplus.select("user_id", "surplus"), "user_id", "left").withColumn("surplus", F.coalesce("surplus", F.lit(0)).cast("long"))
+
+
 def totals(insight: DataFrame, goals: DataFrame) -> DataFrame:
     """Each user's saved and wanted sums, their ratio and the open and completed goals."""
     rows = insight.join(goals.select("goal_id", F.col("target_amount").cast("double").alias("target")), "goal_id")

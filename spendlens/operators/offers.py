@@ -71,6 +71,19 @@ def price_stats(found: DataFrame) -> DataFrame:
     )
 
 
+def merged_stats(found: DataFrame) -> DataFrame:
+    """query, store_id, n, min_price, max_price, avg_price: the statistics of a query's offers as its stores' results come in, in order of store.
+
+    Offers are summed by store first, so that a query's window has a row for each store.
+    """
+    of_store = found.groupBy("query", "store_id").agg(F.count("*").alias("k"), F.min("price").alias("low"), F.max("price").alias("high"), F.sum("price").alias("sum"))
+    so_far = W.partitionBy("query").orderBy("store_id")
+    return of_store.select(
+        "query", "store_id", F.sum("k").over(so_far).alias("n"), F.min("low").over(so_far).alias("min_price"), F.max("high").over(so_far).alias("max_price"),
+        half_up(F.sum("sum").over(so_far) / F.sum("k").over(so_far)).alias("avg_price"),
+    )
+
+
 def best_offers(offers: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:
     """item_id, item, quantity, store_id, name, price, score: each store's best relevant offer for each item."""
     words = text.tokens(F.col("item"))

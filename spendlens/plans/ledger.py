@@ -94,6 +94,10 @@ _PACE = """pace AS (SELECT user_id, sum(total)::DOUBLE / count(*) AS avg_monthly
   (SELECT user_id, date_trunc('month', date)::DATE AS month, sum(abs(amount)) AS total FROM ledger WHERE {range} AND type = 'debit' GROUP BY 1, 2) GROUP BY 1)"""
 
 
+SURPLUS = _PACE.format(now="DATE '1998-08-01'", range=_LONG_RANGE.format(12)) + """, surplus AS (SELECT user_id, CASE WHEN avg_monthly > 0 AND current_month < avg_monthly
+  THEN floor(avg_monthly - current_month + 0.5)::BIGINT ELSE 0 END AS surplus FROM pace)"""
+
+
 @query("a6_spending_pace", f"""{named(LONG_LEDGER, _PACE.format(now="DATE '1998-08-01'", range=_LONG_RANGE.format(12)))} SELECT user_id, floor(avg_monthly * 100 + 0.5) / 100 AS avg_monthly, current_month,
   CASE WHEN avg_monthly > 0 AND current_month < avg_monthly THEN floor(avg_monthly - current_month + 0.5)::BIGINT ELSE 0 END AS surplus FROM pace""")
 def a6_spending_pace(spark, sf_dir):

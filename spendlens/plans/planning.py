@@ -7,10 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from spendlens.functions.numbers import rounded
-from spendlens.operators import calendar, goals as goal_op, recurring
+from spendlens.operators import calendar, goals as goal_op, ledger as ledger_op, recurring
 from spendlens.registry import query
 from spendlens.sources import domain
 
+from .ledger import LONG_AS_OF, SURPLUS
 from .views import BILLS, CHARGES, DEPOSITS, GOALS, LONG_LEDGER, SUBSCRIPTIONS, USERS, named
 
 END = dt.datetime(1998, 12, 31)
@@ -115,6 +116,12 @@ def d4_goal_insights(spark, sf_dir):
     return goal_insights(spark, sf_dir)
 
 
+# The users' spending and their goals' deposits lie years apart in the given tables, so each has its own date.
+@query("j7_goal_surplus", f"""{named(GOALS, _EARLY, _EARLY_STREAK, _INSIGHTS, LONG_LEDGER, SURPLUS)} SELECT insight.* EXCLUDE (target), coalesce(surplus, 0) AS surplus FROM insight LEFT JOIN surplus USING (user_id)""")
+def j7_goal_surplus(spark, sf_dir):
+    return goal_op.with_surplus(goal_insights(spark, sf_dir), ledger_op.surplus(ledger_op.spending_pace(domain.long_ledger(spark, sf_dir), LONG_AS_OF, 12)))
+
+
 @query("a11_goal_totals", f"""{named(GOALS, _EARLY, _EARLY_STREAK, _INSIGHTS)} SELECT user_id, sum(current) AS saved, sum(target) AS wanted, floor(sum(current) / sum(target) * 1000000 + 0.5) / 1000000 AS ratio,
   count(*) FILTER (status <> 'completed') AS open, count(*) FILTER (status = 'completed') AS completed FROM insight GROUP BY 1""")
 def a11_goal_totals(spark, sf_dir):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spendlens.functions import rules
 from spendlens.functions.numbers import rounded
 from spendlens.operators import offers as op
 from spendlens.registry import query
 from spendlens.sources import domain
 
+from .texts import STORE_OFFERS, store_offers
 from .views import OFFERS, named
 
 QUERIES = ["red plate", "small widget", "the cold bolt", "gear red", "zzz ring"]
@@ -101,3 +103,47 @@ def d14_typeahead(spark, sf_dir):
     terms = parts.select(F.col("p_name").alias("term"), F.col("p_partkey").alias("ordinal"))
     live = parts.select(F.lower("p_type").alias("term"), F.col("p_partkey").alias("ordinal"))
     return op.typeahead(terms, live, "r")
+
+
+@query("u2_store_offers", f"WITH {STORE_OFFERS} SELECT * FROM offers")
+def u2_store_offers(spark, sf_dir):
+    return store_offers(spark, sf_dir).select("store_id", "ordinal", "name", "price")
+
+
+MARKETS = [2, 3, 4, 9, 12, 13, 14, 15, 24]
+_PRUNED = f"{STORE_OFFERS.replace('offers AS', 'every_offer AS')}, offers AS (SELECT * FROM every_offer WHERE store_id % 12 <= 5 AND store_id IN ({', '.join(map(str, MARKETS))}))"
+
+
+def market_offers(spark, sf_dir):
+    return op.stores_of_category(store_offers(spark, sf_dir), "supermercado", MARKETS)
+
+
+@query("s17_store_search", f"{named(_PRUNED, _Q, _SEARCH)} SELECT query, place, store_id, name, price, score::INTEGER AS score FROM found WHERE place <= 24")
+def s17_store_search(spark, sf_dir):
+    """The 24 best of each search over what the parsers found in the chosen stores; the limit is the feature."""
+    return op.search(market_offers(spark, sf_dir), QUERIES, 24)
+
+
+@query("a7_listed_stats", f"""{named(_PRUNED, _Q, _SEARCH)} SELECT query, min(price) AS min_price, max(price) AS max_price, floor(avg(price) + 0.5)::BIGINT AS avg_price, count(*) AS n, count(DISTINCT store_id) AS stores
+  FROM found WHERE place <= 24 GROUP BY 1""")
+def a7_listed_stats(spark, sf_dir):
+    return op.price_stats(s17_store_search(spark, sf_dir))
+
+
+@query("t9_merged_stats", f"""{named(STORE_OFFERS, _Q, _SEARCH)}, per_store AS (SELECT query, store_id, count(*) AS k, min(price) AS low, max(price) AS high, sum(price) AS total FROM found GROUP BY 1, 2)
+  SELECT query, store_id, (sum(k) OVER w)::BIGINT AS n, min(low) OVER w AS min_price, max(high) OVER w AS max_price, floor(sum(total) OVER w / sum(k) OVER w + 0.5)::BIGINT AS avg_price
+  FROM per_store WINDOW w AS (PARTITION BY query ORDER BY store_id)""")
+def t9_merged_stats(spark, sf_dir):
+    return op.merged_stats(op.matching(store_offers(spark, sf_dir), QUERIES))
+
+
+_PRODUCTS = f"t AS (SELECT term, min(ordinal) AS ordinal FROM (SELECT unnest({rules.PRODUCTS}) AS term, unnest(range({len(rules.PRODUCTS)})) AS ordinal) GROUP BY 1)"
+
+
+@query("s21_product_typeahead", f"""WITH {_PRODUCTS}, own AS (SELECT term FROM t WHERE contains(term, 'pa') ORDER BY starts_with(term, 'pa') DESC, ordinal LIMIT 6),
+  more AS (SELECT p_name AS term, min(p_partkey) AS ordinal FROM part WHERE p_name NOT IN (SELECT term FROM own) GROUP BY 1 ORDER BY 2 LIMIT 2)
+  SELECT term, 0 AS source FROM own UNION ALL SELECT term, 1 FROM more""")
+def s21_product_typeahead(spark, sf_dir):
+    terms = spark.createDataFrame(list(enumerate(rules.PRODUCTS)), "ordinal long, term string")
+    live = domain.table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_partkey").alias("ordinal"))
+    return op.typeahead(terms, live, "pa")

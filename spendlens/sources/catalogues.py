@@ -2,12 +2,13 @@
 
 Each page or payload gives at most its first 12 offers, as the feature is
 defined; a payload that can't be read gives none. Every function returns
-store_id, ordinal (place in the payload), name, price, list_price, url, image,
-available.
+store_id, page (where the payloads have one), ordinal (place in the payload),
+name, price, list_price, url, image, available.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -25,14 +26,27 @@ _GRAPH_NODE = (
 )
 
 
+def keys(rows: DataFrame) -> list[str]:
+    return ["store_id", "page"] if "page" in rows.columns else ["store_id"]
+
+
 def first_offers(rows: DataFrame) -> DataFrame:
     """Numbers each payload's offers in their order and keeps the first 12: arrays of one payload, never a whole store."""
     kept = F.slice("offers", 1, FIRST)
-    return rows.select("store_id", F.posexplode(kept).alias("pos", "o")).select(
-        "store_id", F.col("pos").alias("ordinal"), *(F.col(f"o.{c}").alias(c) for c in ("name", "price", "list_price", "url", "image", "available"))
+    return rows.select(*keys(rows), F.posexplode(kept).alias("pos", "o")).select(
+        *keys(rows), F.col("pos").alias("ordinal"), *(F.col(f"o.{c}").alias(c) for c in ("name", "price", "list_price", "url", "image", "available"))
     )
 
 
+def union(found: list[DataFrame]) -> DataFrame:
+    """The offers of several parsers' pages (with `page`) as one relation: store_id, ordinal long (unique in a store), name, price, url, available.
+
+    A parser that finds nothing adds nothing; no store's rows meet in one task.
+    """
+    parts = [f.select("store_id", (F.col("page") * FIRST + F.col("ordinal")).cast("long").alias("ordinal"), "name", "price", "url", "available") for f in found]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _offer(name: Column, price: Column, list_price: Column, url: Column, image: Column, available: Column) -> Column:
     return F.struct(name.alias("name"), price.alias("price"), list_price.cast("double").alias("list_price"), url.alias("url"), image.alias("image"), available.alias("available"))
 
@@ -83,14 +97,18 @@ def bracketed(text: str, mark: str) -> str | None:
     return None
 
 
+def _own(pages: DataFrame) -> DataFrame:
+    return pages.select(*(F.col(c).cast("long") for c in keys(pages)), "base_url", "payload")
+
+
 def embedded_json(pages: DataFrame) -> DataFrame:
     """Products in a script of a page (`"Product":[...]`); those not for sale or sold out go; every digit of a price counts; codes have six digits at least."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"store_id": b.store_id, "base_url": b.base_url, "payload": [bracketed(t or "", '"Product":[') for t in b.payload]})
+            yield b.assign(payload=[bracketed(t or "", '"Product":[') for t in b.payload])
 
-    found = pages.select("store_id", "base_url", "payload").mapInPandas(find, "store_id long, base_url string, payload string")
+    found = _own(pages).mapInPandas(find, _own(pages).schema)
     listed = F.from_json("payload", "array<struct<Name:string,Code:string,Price:string,Image:string,NotForSale:boolean,Soldout:boolean>>")
     code = lambda p: F.when(F.length(p["Code"]) < 6, F.lpad(p["Code"], 6, "0")).otherwise(p["Code"])
     price = lambda p: F.regexp_replace(p["Price"], "[^0-9]", "").try_cast("double")
@@ -209,19 +227,19 @@ LAYOUTS: dict[str, Callable[[Node], Iterator[Found]]] = {
 
 
 def html_pages(pages: DataFrame, layout: str) -> DataFrame:
-    """The offers of catalogue pages of a layout of LAYOUTS. Columns store_id, base_url, payload (html)."""
+    """The offers of catalogue pages of a layout of LAYOUTS, each page in the task that reads it. Columns store_id, base_url, payload (html), page if wanted."""
     find = LAYOUTS[layout]
+    own = _own(pages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(s, base, i, *f) for s, base, page in zip(b.store_id, b.base_url, b.payload) for i, f in enumerate(find(tree(page)))]
-            yield pd.DataFrame(rows, columns=["store_id", "base_url", "at", "name", "text", "url", "image"])
-
-    found = pages.select("store_id", "base_url", "payload").mapInPandas(run, "store_id long, base_url string, at int, name string, text string, url string, image string")
-    whole = F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat("base_url", "url"))
-    good = found.withColumn("price", numbers.parse_price(F.col("text"))).where("price > 0 and name <> ''")
-    listed = good.groupBy("store_id", "base_url").agg(F.array_sort(F.collect_list(F.struct("at", _offer(F.col("name"), F.col("price"), F.lit(None), whole, F.nullif("image", F.lit("")), F.lit(True)).alias("o")))).alias("all"))
-    return first_offers(listed.select("store_id", F.transform("all", lambda x: x["o"]).alias("offers")))
+            yield b.drop(columns="payload").assign(found=[[dict(zip(("name", "text", "url", "image"), f)) for f in find(tree(page))] for page in b.payload])
+
+    kept = ", ".join(f"{c} long" for c in keys(pages))
+    found = own.mapInPandas(run, f"{kept}, base_url string, found array<struct<name:string,text:string,url:string,image:string>>")
+    whole = lambda o: F.when(o["url"].startswith("http"), o["url"]).otherwise(F.concat("base_url", o["url"]))
+    offers = F.transform("found", lambda o: _offer(o["name"], numbers.parse_price(o["text"]), F.lit(None), whole(o), F.nullif(o["image"], F.lit("")), F.lit(True)))
+    return first_offers(found.withColumn("offers", F.filter(offers, lambda o: F.coalesce((o["price"] > 0) & (o["name"] != ""), F.lit(False)))))
 
 
 def outline(pages: DataFrame) -> DataFrame:

@@ -193,3 +193,17 @@ def test_wrong_key_gives_null(spark):
 def test_month_range_is_half_open(spark):
     rows = spark.sql("select cast(x as timestamp_ntz) t from values ('2024-01-31 23:59:59'), ('2024-02-01 00:00:00'), ('2024-01-01') as v(x)")
     assert rows.where(dates.month_range(F.col("t"), "2024-01")).count() == 2
+
+
+def test_catalogue_pages_and_union(spark):
+    item = '<div class="product-item"><div class="prod-desc"><h3><a href="/{0}">n{0}</a></h3></div><b class="desc-prices"><b class="val">$ {1}</b></b></div>'
+    first = "".join(item.format(i, i) for i in range(20))  # a price of 0 is no offer
+    pages = spark.createDataFrame([(1, 0, "u", first), (1, 1, "u", item.format("x", "1.250")), (2, 0, "u", None)], "store_id long, page long, base_url string, payload string")
+    found = catalogues.html_pages(pages, "keyword")
+    both = catalogues.union([found, catalogues.product_json(pages.withColumn("payload", F.lit("not json")))])
+    rows = sorted((r.store_id, r.ordinal, r.name, r.price) for r in both.collect())
+    assert rows == [(1, i, f"n{i + 1}", float(i + 1)) for i in range(12)] + [(1, 12, "nx", 1250.0)]
+
+    insight = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "goal_id long, user_id long")
+    spent = spark.createDataFrame([(7, 40)], "user_id long, surplus long")
+    assert sorted(map(tuple, goals.with_surplus(insight, spent).select("goal_id", "surplus").collect())) == [(1, 40), (2, 40), (3, 0)]
