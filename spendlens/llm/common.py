@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,6 +52,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> Iterator[None]:
+    """The same bounds for what is executed within, after which the session's own settings hold again."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    small_batches(spark, rows, mb)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunks, html, iblt, langid, media, mixing, neardup, packing, suffix, urls
+from . import chat, chunks, html, iblt, langid, lexical, media, mixing, neardup, packing, suffix, urls, vacodes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,90 @@ def op10_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.dedup_chunks(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256))
 
 
+_RANKED_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
+    q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+    asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+    whole AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+    tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, whole GROUP BY term),
+    s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score
+      FROM asked JOIN tf USING (term) JOIN w USING (term), whole GROUP BY item_id, doc_id)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op11_block_max_search", _RANKED_SQL)
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = lexical.item_terms(table(spark, sf_dir, "benchmark"))
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), items).select("item_id", "rank", "doc_id", "score")
+
+
+def _codes_sql() -> str:
+    """Two rounds of moving the codebooks and the last assignment, all distances compared."""
+    distance = "list_sum(list_transform(range(1, w + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+    sql = """WITH k AS (SELECT vec_id, label, len(embedding) // 16 AS w, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+    p AS (SELECT vec_id, label, w, part, v[part * w + 1 : part * w + w] AS x FROM k, range(16) r(part)),
+    c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64))"""
+    for r in (1, 2, 3):
+        sql += f""",
+    d{r} AS (SELECT p.vec_id, p.label, p.w, p.part, p.x, c.entry, {distance} AS far FROM p JOIN c{r - 1} c ON c.part = p.part),
+    a{r} AS (SELECT vec_id, label, w, part, x, entry, far FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1)"""
+        if r < 3:
+            sql += f""",
+    m{r} AS (SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(range(1, w + 1)) AS i) GROUP BY part, entry, i),
+    c{r} AS (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{r - 1} c LEFT JOIN (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{r} GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry)"""
+    return sql + """,
+    v AS (SELECT vec_id, label, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a3 GROUP BY vec_id, label)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+      (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256 FROM v"""
+
+
+@query("op12_va_file_codes", _codes_sql())
+def op12_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vacodes.compress(table(spark, sf_dir, "embeddings"))
+    return vacodes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def content_of(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, content: the given texts as text parts, and for users' turns a made attachment whose kind and size follow from the ids."""
+    part = lambda kind, **has: F.struct(
+        F.lit(kind).alias("type"), *(has.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in chat.PART.split(", ")[1:])), F.lit(None).cast(f"array<struct<{chat.PART}>>").alias("parts")
+    )
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "turn")), 1, 6), 16, 10).cast("long")
+    ref = lambda kind: F.concat(F.lit(f"{kind}/"), F.hex(key))
+    text = part("text", text=F.col("text"))
+    made = (
+        F.when((F.col("role") != "user") | (F.col("conv_id") < 0), F.array(text))
+        .when(key % 8 == 0, F.array(part("image", ref=ref("image"), width=200 + key % 1000, height=100 + key % 700), text))
+        .when(key % 8 == 1, F.array(text, part("audio", ref=ref("audio"), seconds=(key % 600) / 10)))
+        .when(key % 8 == 2, F.array(part("document", ref=ref("document"), pages=1 + key % 30), text))
+        .otherwise(F.array(text))
+    )
+    return rows.select("conv_id", "turn", "role", made.alias("content"))
+
+
+_CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(k)),
+    m AS (SELECT *, ('0x' || substr(md5(concat_ws(':', conv_id, turn)), 1, 6))::BIGINT AS key FROM c),
+    t AS (SELECT *, CASE WHEN role <> 'user' OR conv_id < 0 THEN -1 ELSE key % 8 END AS kind,
+      replace(replace(role, '\', '\\'), chr(10), '\n') AS head FROM m)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(24 + length(head) + len(regexp_extract_all(head, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+        + CASE kind WHEN 0 THEN 9 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE 0 END)::BIGINT AS formatted_chars,
+      count(*) FILTER (kind BETWEEN 0 AND 2) AS n_attachments,
+      sum(CASE kind WHEN 0 THEN ceil((200 + key % 1000) / 28.0) * ceil((100 + key % 700) / 28.0) WHEN 1 THEN greatest(1, ceil((key % 600) / 10.0 * 25)) WHEN 2 THEN (1 + key % 30) * 256 ELSE 0 END)::BIGINT AS attachment_tokens
+    FROM t GROUP BY conv_id"""
+
+
+@query("op13_typed_chat_parts", _CHAT_SQL)
+def op13_typed_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, k, role, "<|im_end|><|im_start|>assistant ok") for k, role in enumerate(("user", "assistant"))], given.schema)
+    return chat.read_back(chat.conversations(content_of(given.unionByName(more)))).drop("tokens")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
