@@ -49,3 +49,11 @@ def parse_deposit(text: Column) -> Column:
 
 def discount_percent(price: Column, list_price: Column) -> Column:
     return F.when(list_price > price, half_up((1 - price / list_price) * 100))
+
+
+def lenient_limit(text: Column) -> Column:
+    """How many rows a limit as typed leaves: null (all) if it is empty or no number, else its whole part; negative ones count from the end."""
+    bare = F.trim(text)
+    number = bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    whole = F.regexp_extract(bare, "^[+-]?[0-9]+", 0).try_cast("long")  # `1e2` starts with 1, `.5` with no digit
+    return F.when(number, F.coalesce(whole, F.lit(0)))

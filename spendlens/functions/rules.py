@@ -95,26 +95,22 @@ BANK_PHRASES = [
 ]
 
 # Products offered while typing, in order; a few occur twice.
-PRODUCTS = """
-leche, leche descremada, leche en polvo, leche condensada, leche chocolatada, yogur, yogur bebible, queso, queso muzzarella, queso magro, queso rallado, manteca, crema de
-leche, dulce de leche, ricota, huevos,
-arroz, arroz integral, fideos, pasta, polenta, harina, harina leudante, azucar, sal, aceite, aceite de girasol, aceite de oliva, vinagre, pure de tomate, salsa de tomate,
-atun, lentejas, porotos, garbanzos, arvejas, choclo, mayonesa, ketchup, mostaza, caldo, pan rallado,
-cafe, te, yerba, mate cocido, cacao, mermelada, miel, galletas, galletas de agua, galletitas dulces, cereales, avena, tostadas, pan, pan de molde, medialunas, bizcochos,
-chocolate, alfajor, caramelos, chicles, papas fritas, palitos, turron,
-agua, agua con gas, agua sin gas, refresco, gaseosa, jugo, jugo en polvo, cerveza, vino, energizante, agua tonica,
-carne, carne picada, pollo, milanesas, hamburguesas, salchichas, chorizo, jamon, jamon cocido, mortadela, panceta, bondiola, pescado, merluza,
-banana, manzana, naranja, mandarina, limon, frutilla, pera, uva, tomate, papa, cebolla, zanahoria, lechuga, morron, zapallo, boniato, ajo, palta, pepino, apio, espinaca,
-brocoli,
-helado, verduras congeladas, medallones de pollo, papas congeladas,
-detergente, lavandina, jabon liquido, jabon en polvo, suavizante, limpiador, desinfectante, esponja, papel higienico, rollo de cocina, servilletas, bolsas de residuo,
-lustramuebles, limpiavidrios,
-shampoo, acondicionador, jabon, jabon de tocador, pasta dental, cepillo de dientes, desodorante, papel higienico, toallitas, algodon, hisopos, afeitadora, crema de
-enjuague, protector solar, crema corporal,
-paracetamol, ibuprofeno, alcohol, alcohol en gel, curitas, gasas, termometro, protector labial, repelente,
-panales, toallitas humedas, leche de formula, shampoo para bebe,
-alimento para perros, alimento para gatos, arena para gatos
-""".strip().replace(",\n", ", ").split(", ")
+PRODUCTS = [
+    "leche", "leche descremada", "leche en polvo", "leche condensada", "leche chocolatada", "yogur", "yogur bebible", "queso", "queso muzzarella", "queso magro",
+    "queso rallado", "manteca", "crema de leche", "dulce de leche", "ricota", "huevos", "arroz", "arroz integral", "fideos", "pasta", "polenta", "harina",
+    "harina leudante", "azucar", "sal", "aceite", "aceite de girasol", "aceite de oliva", "vinagre", "pure de tomate", "salsa de tomate", "atun", "lentejas", "porotos",
+    "garbanzos", "arvejas", "choclo", "mayonesa", "ketchup", "mostaza", "caldo", "pan rallado", "cafe", "te", "yerba", "mate cocido", "cacao", "mermelada", "miel",
+    "galletas", "galletas de agua", "galletitas dulces", "cereales", "avena", "tostadas", "pan", "pan de molde", "medialunas", "bizcochos", "chocolate", "alfajor",
+    "caramelos", "chicles", "papas fritas", "palitos", "turron", "agua", "agua con gas", "agua sin gas", "refresco", "gaseosa", "jugo", "jugo en polvo", "cerveza",
+    "vino", "energizante", "agua tonica", "carne", "carne picada", "pollo", "milanesas", "hamburguesas", "salchichas", "chorizo", "jamon", "jamon cocido", "mortadela",
+    "panceta", "bondiola", "pescado", "merluza", "banana", "manzana", "naranja", "mandarina", "limon", "frutilla", "pera", "uva", "tomate", "papa", "cebolla",
+    "zanahoria", "lechuga", "morron", "zapallo", "boniato", "ajo", "palta", "pepino", "apio", "espinaca", "brocoli", "helado", "verduras congeladas",
+    "medallones de pollo", "papas congeladas", "detergente", "lavandina", "jabon liquido", "jabon en polvo", "suavizante", "limpiador", "desinfectante", "esponja",
+    "papel higienico", "rollo de cocina", "servilletas", "bolsas de residuo", "lustramuebles", "limpiavidrios", "shampoo", "acondicionador", "jabon", "jabon de tocador",
+    "pasta dental", "cepillo de dientes", "desodorante", "papel higienico", "toallitas", "algodon", "hisopos", "afeitadora", "crema de enjuague", "protector solar",
+    "crema corporal", "paracetamol", "ibuprofeno", "alcohol", "alcohol en gel", "curitas", "gasas", "termometro", "protector labial", "repelente", "panales",
+    "toallitas humedas", "leche de formula", "shampoo para bebe", "alimento para perros", "alimento para gatos", "arena para gatos",
+]
 
 # Store categories (id, label) and, by number of a store, the categories it sells.
 STORE_CATEGORIES = [("supermercado", "Supermercado"), ("farmacia", "Farmacia"), ("belleza", "Belleza"), ("ropa", "Ropa")]

@@ -62,9 +62,17 @@ def search_query(text: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(tokens(text), " "), F.lit("")), product_key(text))
 
 
+def _synonyms(token: Column) -> Column:
+    return F.try_element_at(F.create_map(*(x for k, v in rules.SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), token)
+
+
+def with_synonyms(token: Column) -> Column:
+    """The token and its synonyms, each once."""
+    return F.array_distinct(F.concat(F.array(token), F.coalesce(_synonyms(token), F.array().cast("array<string>"))))
+
+
 def _in_product(token: Column, name: Column) -> Column:
-    synonyms = F.create_map(*(x for k, v in rules.SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    return F.contains(name, token) | F.coalesce(F.exists(F.try_element_at(synonyms, token), lambda s: F.contains(name, s)), F.lit(False))
+    return F.contains(name, token) | F.coalesce(F.exists(_synonyms(token), lambda s: F.contains(name, s)), F.lit(False))
 
 
 def in_product(token: Column, name: Column) -> Column:

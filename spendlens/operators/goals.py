@@ -71,3 +71,9 @@ def over_quota(users: DataFrame, goals: DataFrame, free_goals: int = 1) -> DataF
     """Users without the paid plan who may not add a goal; the plan's expiry isn't looked at here."""
     counts = goals.groupBy("user_id").agg(F.count("*").alias("goals"))
     return users.join(counts, "user_id").where((F.col("plan") != "premium") & (F.col("goals") >= free_goals)).select("user_id", "goals")
+
+
+def deposits_of(goals: DataFrame, deposits: DataFrame, goal_id: int, user_id: int, n: int = 50) -> DataFrame:
+    """The n newest deposits of a goal that is the user's own; ties by id."""
+    own = goals.where((F.col("goal_id") == goal_id) & (F.col("user_id") == user_id)).select("goal_id")
+    return deposits.join(own, "goal_id", "left_semi").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)

@@ -46,14 +46,29 @@ def category_months(ledger: DataFrame, as_of: dt.datetime, months: int = 3, *key
     return rows.groupBy(*keys, "category", dates.month_key(F.col("date")).alias("month")).agg(F.sum("amount").cast("double").alias("total"))
 
 
-def page(ledger: DataFrame, user_id: int, limit: int = 50, offset: int = 0, month: str | None = None, category: str | None = None) -> DataFrame:
-    """One page of a user's entries, newest first, ties by id; optional month and category."""
+def entries_of(ledger: DataFrame, user_id: int, month: str | None = None, category: str | None = None) -> DataFrame:
+    """A user's entries, of a month and a category if given."""
     rows = ledger.where(F.col("user_id") == user_id)
     if month:
         rows = rows.where(dates.month_range(F.col("ts"), month))
-    if category:
-        rows = rows.where(F.col("category") == category)
-    return rows.orderBy(F.col("date").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    return rows.where(F.col("category") == category) if category else rows
+
+
+def page(ledger: DataFrame, user_id: int, limit: int = 50, offset: int = 0, month: str | None = None, category: str | None = None) -> DataFrame:
+    """One page of a user's entries, newest first, ties by id; optional month and category."""
+    return entries_of(ledger, user_id, month, category).orderBy(F.col("date").desc(), F.col("id").desc()).offset(offset).limit(limit)
+
+
+def page_with_total(ledger: DataFrame, user_id: int, limit: int = 50, offset: int = 0, month: str | None = None, category: str | None = None) -> DataFrame:
+    """One row: total, how many entries there are, and transactions, the page of them in order (empty beyond the end)."""
+    listed = page(ledger, user_id, limit, offset, month, category).select("date", "id", F.struct("*").alias("row"))
+    on_page = listed.agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "id", "row")), asc=False), lambda x: x["row"]).alias("transactions"))  # a page: `limit` rows
+    return entries_of(ledger, user_id, month, category).agg(F.count("*").alias("total")).join(on_page)
+
+
+def owned(rows: DataFrame, row_id: int, user_id: int, key: str = "id") -> DataFrame:
+    """The row of an id, if it is the user's own."""
+    return rows.where((F.col(key) == row_id) & (F.col("user_id") == user_id))
 
 
 def count_entries(ledger: DataFrame, *keys: str) -> DataFrame:
@@ -66,10 +81,10 @@ def shares(by_category: DataFrame) -> DataFrame:
     return by_category.where("spent > 0").select("user_id", "category", "spent", (F.col("spent") / total * 100).alias("share"))
 
 
-def top_categories(by_category: DataFrame, n: int = 8) -> DataFrame:
-    """Each user's n largest categories by spending and income together; ties by name."""
+def top_categories(by_category: DataFrame, n: int = 8, of: str = "spent") -> DataFrame:
+    """Each user's first n categories with spending (or, of="income", with income), the largest sum of both first; ties by name."""
     order = W.partitionBy("user_id").orderBy((F.col("spent") + F.col("income")).desc(), "category")
-    return by_category.where("spent > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return by_category.where(F.col(of) > 0).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
 def budget_status(by_category: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -88,8 +103,9 @@ def budget_status(by_category: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def new_alerts(status: DataFrame, month: str) -> DataFrame:
-    """Categories that reached their warning tier, once per user, month and category."""
-    return status.where("tier <> 'ok'").select("user_id", F.lit(month).alias("month"), "category", "tier").dropDuplicates(["user_id", "month", "category"])
+    """Categories whose spending is above their budget, once per user, month and category; a budget of nothing is none."""
+    above = status.where("budget > 0 and spent > budget").withColumn("over", half_up(F.col("spent") - F.col("budget")))
+    return above.select("user_id", F.lit(month).alias("month"), "category", "over").dropDuplicates(["user_id", "month", "category"])
 
 
 def spending_pace(ledger: DataFrame, as_of: dt.datetime, months: int) -> DataFrame:

@@ -1,19 +1,22 @@
 """Product search and basket comparison over the offers of many stores.
 
-Offers: store_id, ordinal, name, price. Searches and items are small stated
-sets (broadcast under the engine's own size limit, else shuffled by nothing:
-each is tested against every distinct product name, which is the feature).
-Ties go to the offer with the least ordinal, then store.
+Offers: store_id, ordinal, name, price. Distinct product names are indexed by
+their grams; searches and items are looked up there, so that only names that can
+match are scored, once each however many stores offer them. Ties go to the
+offer with the least ordinal, then store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spendlens import shared
 from spendlens.functions import rules, text
-from spendlens.functions.numbers import half_up
+from spendlens.functions.numbers import half_up, lenient_limit
 from spendlens.sources.domain import store_kind
 
+from . import gram_index, ranks
+
 
 def first_per_store(offers: DataFrame, n: int = 12) -> DataFrame:
     return offers.withColumn("place", F.row_number().over(W.partitionBy("store_id").orderBy("ordinal"))).where(F.col("place") <= n).drop("place")
@@ -28,11 +31,39 @@ def stores_of_category(offers: DataFrame, category: str | None, store_ids: list[
     return out.where(F.col("store_id").isin(store_ids)) if store_ids else out
 
 
-def _per_name(offers: DataFrame, asked: list[tuple], schema: dict[str, str], verdict: Column, keep: Column) -> DataFrame:
-    """Distinct names x asked rows with a verdict: each name is judged once, however many stores offer it."""
-    rows = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(schema, a))) for a in asked)).cast(f"array<struct<{','.join(f'{c}:{t}' for c, t in schema.items())}>>")
-    names = offers.select("name").distinct().withColumn("asked", F.explode(rows)).select("name", *(F.col(f"asked.{c}").alias(c) for c in schema))
-    return names.withColumn("verdict", verdict).where(keep)
+def _asked(offers: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return offers.sparkSession.createDataFrame(rows, schema)
+
+
+def name_index(offers: DataFrame) -> DataFrame:
+    """name, folded, gram: the distinct names' postings for searches, written once; every search reads them there."""
+    names = offers.select("name").distinct().withColumn("folded", text.fold(F.col("name")))
+    return shared.written(gram_index.postings(names, "folded"), "names")
+
+
+def judged_strictly(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, name, score of the names that have all keywords of a query (query, words), found by its rarest keyword."""
+    words = queries.select("query", "words", F.explode("words").alias("word"))
+    anchor = gram_index.rarest(words, index, "word").groupBy("query", "words").agg(F.min_by(F.struct("word", "gram"), F.struct("texts", "word")).alias("a"), F.count_distinct("word").alias("known"))
+    anchor = anchor.where(F.col("known") == F.size(F.array_distinct("words"))).select("query", "words", "a.word", "a.gram")
+    return _scored(anchor.join(index, "gram")).where((F.col("verdict.score") > 0) & (F.col("verdict.matched") >= F.size("words"))).select("query", "name", "verdict.score")
+
+
+def judged_loosely(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, name, score of the names that have a query's first keyword, and one of its keywords in their first word; queries of one keyword have none."""
+    first = queries.where(F.size("words") > 1).withColumn("word", F.get("words", F.lit(0)))
+    found = _scored(gram_index.containing(first, index, "word", "folded"))
+    return found.where((F.col("verdict.score") > 0) & F.col("verdict.main_noun")).select("query", "name", "verdict.score")
+
+
+def _scored(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("verdict", text.search_score(text.fold(F.col("query")), F.col("words"), F.col("folded")))
+
+
+def with_keywords(offers: DataFrame, queries: list[str]) -> DataFrame:
+    """query, words of the searches of two characters or more."""
+    asked = _asked(offers, [(q,) for q in dict.fromkeys(queries) if len(q.strip()) >= 2], "query string")
+    return asked.withColumn("words", text.keywords(F.col("query")))
 
 
 def matching(offers: DataFrame, queries: list[str]) -> DataFrame:
@@ -40,19 +71,14 @@ def matching(offers: DataFrame, queries: list[str]) -> DataFrame:
 
     Strict: all keywords. If nothing at all passes and there are several
     keywords: the first keyword in the name and a keyword in its first word.
-    Without keywords every offer counts, by price.
+    Without keywords every offer counts, by price. Names come from an index of
+    grams, so that any number of queries can be asked at once.
     """
-    asked = [(q,) for q in queries if len(q.strip()) >= 2]
-    words = text.keywords(F.col("query"))
-    verdict = text.search_score(text.fold(F.col("query")), words, text.fold(F.col("name")))
-    judged = _per_name(offers, asked, {"query": "string"}, verdict, F.lit(True)).withColumn("n", F.size(words))
-    every = F.col("n") == 0
-    strict = (F.col("verdict.score") > 0) & (F.col("verdict.matched") >= F.col("n"))
-    relaxed = (F.col("n") > 1) & (F.col("verdict.score") > 0) & F.col("verdict.first_keyword") & F.col("verdict.main_noun")
-    some = judged.where(every | strict | relaxed).withColumn("strict", strict)
-    level = some.groupBy("query").agg(F.max("strict").alias("any_strict"))
-    chosen = some.join(level, "query").where(every | (F.col("strict") == F.col("any_strict")))
-    return offers.join(chosen.select("query", "name", F.when(every, 0).otherwise(F.col("verdict.score")).alias("score")), "name")
+    asked, index = with_keywords(offers, queries), name_index(offers)
+    strict = judged_strictly(index, asked.where(F.size("words") > 0))
+    loose = judged_loosely(index, asked.join(strict.select("query").distinct(), "query", "left_anti"))
+    every = asked.where(F.size("words") == 0).select("query", F.lit(0).alias("score"))
+    return offers.join(strict.unionByName(loose), "name").unionByName(offers.join(every))
 
 
 def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:
@@ -64,6 +90,14 @@ def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> D
     return ranked.select("query", "place", "store_id", "name", "price", "score")
 
 
+def limited(ranked: DataFrame, limits: DataFrame) -> DataFrame:
+    """Ranked rows (query, place, ...) under each limit as typed (query, limit): see `lenient_limit`."""
+    asked = limits.select("query", "limit", lenient_limit(F.col("limit")).alias("rows"))
+    counts = ranked.groupBy("query").agg(F.max("place").alias("found"))
+    cut = asked.join(counts, "query").withColumn("last", F.when(F.col("rows").isNull(), F.col("found")).when(F.col("rows") >= 0, F.col("rows")).otherwise(F.col("found") + F.col("rows")))
+    return ranked.join(cut.select("query", "limit", "last"), "query").where(F.col("place") <= F.col("last")).drop("last")
+
+
 def price_stats(found: DataFrame) -> DataFrame:
     """Least, greatest and mean price and the number of offers and stores of each query."""
     return found.groupBy("query").agg(
@@ -84,14 +118,27 @@ def merged_stats(found: DataFrame) -> DataFrame:
     )
 
 
+def relevant_names(offers: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `items` (item, ...) with name and score for each relevant name: it has the first token of the item, or a synonym of it, and half of all.
+
+    An item without tokens finds every name; its score is 0.
+    """
+    names = offers.select("name").distinct().withColumn("product", text.product_key(F.col("name")))
+    index = shared.written(gram_index.postings(names, "product", 2), "products")
+    asked = items.withColumn("words", text.tokens(F.col("item")))
+    some = asked.where(F.size("words") > 0).withColumn("word", F.explode(text.with_synonyms(F.get("words", F.lit(0)))))
+    found = gram_index.containing(some, index, "word", "product").where(text.is_relevant(F.col("words"), F.col("product")))
+    scored = found.withColumn("score", text.relevance(F.col("words"), F.col("product"))).select(*items.columns, "name", "score").distinct()
+    every = asked.where(F.size("words") == 0).select(*items.columns).join(names.select("name", F.lit(0.0).alias("score")))
+    return scored.unionByName(every)
+
+
 def best_offers(offers: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:
     """item_id, item, quantity, store_id, name, price, score: each store's best relevant offer for each item."""
-    words = text.tokens(F.col("item"))
-    name = text.product_key(F.col("name"))
-    judged = _per_name(offers, items, {"item_id": "int", "item": "string", "quantity": "int"}, text.relevance(words, name), text.is_relevant(words, name))
+    judged = relevant_names(offers, _asked(offers, items, "item_id int, item string, quantity int"))
     order = W.partitionBy("item_id", "store_id").orderBy(F.col("score").desc(), "price", "ordinal")
     return (
-        offers.join(judged.withColumnRenamed("verdict", "score"), "name").withColumn("place", F.row_number().over(order)).where("place = 1")
+        offers.join(judged, "name").withColumn("place", F.row_number().over(order)).where("place = 1")
         .select("item_id", "item", "quantity", "store_id", "name", "price", "score")
     )
 
@@ -101,14 +148,18 @@ def options(best: DataFrame, n: int = 4) -> DataFrame:
     return best.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy("price", "store_id"))).where(F.col("place") <= n)
 
 
-def store_totals(best: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:
-    """Each store's basket: total, rows found, names missing, whether it is full, and its rank: full stores by total, then others by found."""
+def store_baskets(best: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:
+    """Each store's basket: total, rows found, names missing, and whether it is full."""
     names = F.array(*map(F.lit, dict.fromkeys(i[1] for i in items)))
-    rolled = best.groupBy("store_id").agg(
+    return best.groupBy("store_id").agg(
         F.sum(F.col("price") * F.col("quantity")).alias("total"), F.count("*").alias("found"), F.array_join(F.array_sort(F.array_except(names, F.collect_set("item"))), ",").alias("missing")
     ).withColumn("is_full", F.col("found") == len(items))
-    order = W.orderBy(F.col("is_full").desc(), F.when(F.col("is_full"), F.col("total")).asc_nulls_last(), F.when(~F.col("is_full"), F.col("found")).desc_nulls_last(), "store_id")
-    return rolled.withColumn("rank", F.row_number().over(order))
+
+
+def store_totals(best: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:
+    """`store_baskets` with rank: full stores by total, then others by found."""
+    rank_by = [F.col("is_full").desc(), F.when(F.col("is_full"), F.col("total")).asc_nulls_last(), F.when(~F.col("is_full"), F.col("found")).desc_nulls_last(), F.col("store_id").asc()]
+    return ranks.ranked(store_baskets(best, items), "rank", *rank_by)
 
 
 def optimal(best: DataFrame, totals: DataFrame) -> DataFrame:

@@ -1,29 +1,28 @@
 """Recurring charges: candidates, price alerts, known merchants and subscription totals.
 
-Substring matches between names are tested only among rows of one user, so
-the user is the key of each such join. Nulls: a null description has an empty
-key and is no candidate; a null amount is no charge.
+Charges are summed by user and description first, each distinct description is
+normalised once, and a user with very many charges is summed in many tasks.
+Names that contain one another are found by their rarest gram among the user's
+names (`gram_index`). Nulls: a null description has no key and is no candidate;
+a null amount is no charge.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spendlens.functions import dates, text
 from spendlens.functions.numbers import half_up
 
+from . import gram_index
+
 LEAST_GAP, MOST_GAP = 20, 60
 DEVIATION = 0.15
 RISE = 1.02
 
 
-def either_contains(a: Column, b: Column) -> Column:
-    """Whether one of two keys contains the other; the empty key is in every key."""
-    return F.contains(a, b) | F.contains(b, a)
-
-
 def candidates(charges: DataFrame, registered: DataFrame, as_of: dt.datetime, months: int = 4, top: int = 10) -> DataFrame:
     """Groups of a user's debits with one key that recur: two or more, 20 to 60 days apart on average, within 15 % of their mean.
 
@@ -32,17 +31,21 @@ def candidates(charges: DataFrame, registered: DataFrame, as_of: dt.datetime, mo
     deviations need only the group's extremes, so one partial aggregation does.
     """
     rows = charges.where((F.col("type") == "debit") & (F.col("amount") > 0) & dates.trailing_months(F.col("ts"), as_of, months))
+    amount, day = F.col("amount").cast("double"), F.to_date("ts")
+    described = rows.groupBy("user_id", "description").agg(
+        F.count("*").alias("n"), F.min(day).alias("first"), F.max(day).alias("last"), F.sum(amount).alias("sum"), F.max(amount).alias("high"), F.min(amount).alias("low"), F.max(F.struct("ts", "id")).alias("at")
+    )
     groups = (
-        rows.withColumn("key", text.subscription_key("description")).where(F.length("key") >= 3).groupBy("user_id", "key")
-        .agg(F.count("*").alias("occurrences"), F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last_charge"),
-             F.avg(F.col("amount").cast("double")).alias("mean"), F.max(F.col("amount").cast("double")).alias("high"), F.min(F.col("amount").cast("double")).alias("low"),
-             F.max_by("description", F.struct("ts", "id")).alias("description"))
+        described.withColumn("key", text.subscription_key("description")).where(F.length("key") >= 3).groupBy("user_id", "key")
+        .agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"), F.max("last").alias("last_charge"), (F.sum("sum") / F.sum("n")).alias("mean"),
+             F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("description", "at").alias("description"))
         .where("occurrences >= 2")
     )
     gap = F.datediff("last_charge", "first") / (F.col("occurrences") - 1)
     steady = groups.where(gap.between(LEAST_GAP, MOST_GAP) & (F.greatest(F.col("high") - F.col("mean"), F.col("mean") - F.col("low")) / F.col("mean") <= DEVIATION))
-    known = registered.select(F.col("user_id").alias("owner"), text.subscription_key("name").alias("name_key"))
-    fresh = steady.join(known, (F.col("user_id") == F.col("owner")) & either_contains(F.col("key"), F.col("name_key")), "left_anti")
+    known = registered.select("user_id", "name").distinct().select("user_id", text.subscription_key("name").alias("name_key")).distinct()
+    taken = gram_index.either_containing(steady.select("user_id", "key"), known, "key", "name_key", "user_id").select("user_id", "key").distinct()
+    fresh = steady.join(taken, ["user_id", "key"], "left_anti")
     order = W.partitionBy("user_id").orderBy(F.col("amount").desc(), "key")
     return (
         fresh.withColumn("amount", half_up(F.col("mean"))).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
@@ -52,12 +55,13 @@ def candidates(charges: DataFrame, registered: DataFrame, as_of: dt.datetime, mo
 
 def latest_charges(subscriptions: DataFrame, charges: DataFrame, as_of: dt.datetime, months: int = 2) -> DataFrame:
     """Active subscriptions with an amount, and the latest matching debit of their user, if any."""
-    rows = charges.where((F.col("type") == "debit") & (F.col("amount") > 0) & dates.trailing_months(F.col("ts"), as_of, months)).select(
-        F.col("user_id").alias("payer"), "ts", F.col("id").alias("charge_id"), F.col("amount").alias("charged"), text.subscription_key("description").alias("key")
-    )
-    subs = subscriptions.where("is_active and amount is not null").withColumn("name_key", text.subscription_key("name"))
-    matched = subs.join(rows, (F.col("user_id") == F.col("payer")) & either_contains(F.col("name_key"), F.col("key")), "left")
-    return matched.groupBy("id", "user_id", "name", "amount").agg(F.max_by("charged", F.struct("ts", "charge_id")).alias("last_amount"))
+    rows = charges.where((F.col("type") == "debit") & (F.col("amount") > 0) & dates.trailing_months(F.col("ts"), as_of, months))
+    described = rows.groupBy("user_id", "description").agg(F.max(F.struct("ts", "id", "amount")).alias("last"))
+    paid = described.withColumn("key", text.subscription_key("description")).where("key is not null").groupBy("user_id", "key").agg(F.max("last").alias("last"))
+    subs = subscriptions.where("is_active and amount is not null").select("id", "user_id", "name", "amount")
+    names = subs.select("id", "user_id", text.subscription_key("name").alias("name_key")).where("name_key is not null")
+    last = gram_index.either_containing(names, paid, "name_key", "key", "user_id").groupBy("id", "user_id").agg(F.max("last").alias("last"))
+    return subs.join(last, ["id", "user_id"], "left").select("id", "user_id", "name", "amount", F.col("last.amount").alias("last_amount"))
 
 
 def price_alerts(latest: DataFrame) -> DataFrame:
@@ -90,3 +94,9 @@ def without_dismissed(candidates: DataFrame, dismissed: DataFrame) -> DataFrame:
 def billing_days(charges: DataFrame) -> DataFrame:
     """user_id, description, billing_day: the day of the month of each description's last charge."""
     return charges.where("type = 'debit'").groupBy("user_id", "description").agg(F.dayofmonth(F.max("date")).alias("billing_day"))
+
+
+def by_flag(rows: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose flag is true, and the others (null counts as false)."""
+    isset = F.coalesce(F.col(flag), F.lit(False))
+    return rows.where(isset), rows.where(~isset)

@@ -117,9 +117,34 @@ def t1_plan_state(spark, sf_dir):
     return plans_state.plan_state(domain.plan_events(spark, sf_dir))
 
 
+def arriving(spark, sf_dir, table: str, *order: str):
+    """A table's rows as a stream of several batches, one file each."""
+    return streaming.read_files(spark, streaming.as_files(domain.table(spark, sf_dir, table), BATCHES, *order), 1)
+
+
+BATCHES = 4
+
+
 @query("t1_plan_state_stream", _STATE)
 def t1_plan_state_stream(spark, sf_dir):
-    return streaming.run_plan_state(domain.plan_events_of(streaming.read_files(spark, f"{sf_dir}/events.parquet")))
+    return streaming.run_plan_state(domain.plan_events_of(arriving(spark, sf_dir, "events", "ts", "event_id"))).drop("active")
+
+
+@query("t5_job_progress_stream", "SELECT o_custkey AS job_id, count(*) AS total, count(*) AS completed, 'done' AS status FROM orders GROUP BY 1")
+def t5_job_progress_stream(spark, sf_dir):
+    """Jobs are customers, whose orders are the results that come in; the start names how many there will be."""
+    orders = domain.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), "o_orderdate")
+    starts = orders.groupBy("job_id").agg(F.count("*").alias("total"), F.min("o_orderdate").alias("at")).withColumn("kind", F.lit("start"))
+    items = orders.select("job_id", F.lit(None).cast("long").alias("total"), F.col("o_orderdate").alias("at"), F.lit("item").alias("kind"))
+    path = streaming.as_files(starts.unionByName(items), BATCHES, "at")
+    return streaming.run_jobs(streaming.read_files(spark, path, 1))
+
+
+@query("t8_budget_alerts_stream", f"""{named(LEDGER, BUDGETS)} SELECT user_id, strftime(ts, '%Y-%m') AS month, category FROM ledger JOIN budgets USING (user_id, category)
+  WHERE type = 'debit' GROUP BY ALL HAVING sum(amount) > max(budget)""")
+def t8_budget_alerts_stream(spark, sf_dir):
+    events = arriving(spark, sf_dir, "events", "ts", "event_id")
+    return streaming.run_budget_alerts(domain.ledger_of(events), domain.budgets(spark, sf_dir))[0].select("user_id", "month", "category")
 
 
 @query("p10_entitled", f"{named(USERS)} SELECT user_id, plan = 'premium' AND (plan_expires_at IS NULL OR plan_expires_at > TIMESTAMP '2024-01-20') AS entitled FROM users")
@@ -137,9 +162,9 @@ def t2_rate_windows(spark, sf_dir):
 
 @query("t2_rate_windows_stream", _WINDOWS)
 def t2_rate_windows_stream(spark, sf_dir):
-    return streaming.run_rate_windows(streaming.read_files(spark, f"{sf_dir}/events.parquet"), 24 * 60, 3, "40 days")
+    return streaming.run_rate_windows(arriving(spark, sf_dir, "events", "ts", "event_id"), 24 * 60, 3, "40 days")
 
 
 @query("t4_progress_stream", "SELECT event_type, count(*) AS n, sum(value::DECIMAL(14,2))::DOUBLE AS total FROM events GROUP BY 1")
 def t4_progress_stream(spark, sf_dir):
-    return streaming.run_progress(streaming.read_files(spark, f"{sf_dir}/events.parquet"), "event_type")
+    return streaming.run_progress(arriving(spark, sf_dir, "events", "ts", "event_id"), "event_type")

@@ -85,11 +85,32 @@ def d15_budget_status(spark, sf_dir):
     return op.budget_status(by_category(spark, sf_dir), domain.budgets(spark, sf_dir)).withColumn("bar", rounded(F.col("bar"), 3))
 
 
-@query("t8_budget_alerts", f"{named(LEDGER, BUDGETS, _BY_CATEGORY, _STATUS)} SELECT user_id, '2024-01' AS month, category, {_TIER} FROM st WHERE percent >= 75")
+@query("p14_top_income", f"""{named(LEDGER, _BY_CATEGORY)} SELECT * FROM (SELECT user_id, category, spent, income, n,
+  row_number() OVER (PARTITION BY user_id ORDER BY spent + income DESC, category) AS place FROM s WHERE income > 0) WHERE place <= 8""")
+def p14_top_income(spark, sf_dir):
+    return op.top_categories(by_category(spark, sf_dir), 8, "income")
+
+
+@query("t8_budget_alerts", f"{named(LEDGER, BUDGETS, _BY_CATEGORY, _STATUS)} SELECT user_id, '2024-01' AS month, category, floor(spent - budget + 0.5)::BIGINT AS over FROM st WHERE spent > budget")
 def t8_budget_alerts(spark, sf_dir):
     return op.new_alerts(op.budget_status(by_category(spark, sf_dir), domain.budgets(spark, sf_dir)), MONTH)
 
 
+@query("d1_page_with_total", f"""{named(LEDGER)}, own AS (SELECT * FROM ledger WHERE user_id = 7 AND category = 'view' AND {_IN_MONTH})
+  SELECT (SELECT count(*) FROM own) AS total, string_agg(id::VARCHAR, ',' ORDER BY date DESC, id DESC) AS ids FROM (SELECT * FROM own ORDER BY date DESC, id DESC LIMIT 5 OFFSET 2)""")
+def d1_page_with_total(spark, sf_dir):
+    page = op.page_with_total(domain.ledger(spark, sf_dir), 7, 5, 2, MONTH, "view")
+    return page.select("total", F.array_join(F.transform("transactions", lambda t: t["id"].cast("string")), ",").alias("ids"))
+
+
+@query("s2_owned_entries", f"""{named(LEDGER)} SELECT id, user_id, amount::DOUBLE AS amount FROM ledger WHERE (id = 25 AND user_id = (SELECT user_id FROM ledger WHERE id = 25))
+  OR (id = 26 AND user_id = -1)""")
+def s2_owned_entries(spark, sf_dir):
+    ledger = domain.ledger(spark, sf_dir)
+    owner = ledger.where("id = 25").first().user_id  # the one who asks
+    return op.owned(ledger, 25, owner).unionByName(op.owned(ledger, 26, -1)).select("id", "user_id", F.col("amount").cast("double").alias("amount"))
+
+
 _PACE = """pace AS (SELECT user_id, sum(total)::DOUBLE / count(*) AS avg_monthly, coalesce(max(CASE WHEN month = {now} THEN total END)::DOUBLE, 0) AS current_month FROM
   (SELECT user_id, date_trunc('month', date)::DATE AS month, sum(abs(amount)) AS total FROM ledger WHERE {range} AND type = 'debit' GROUP BY 1, 2) GROUP BY 1)"""
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from spendlens.functions.numbers import rounded
-from spendlens.operators import calendar, goals as goal_op, ledger as ledger_op, recurring
+from spendlens.operators import calendar, goals as goal_op, ledger as ledger_op, ranks, recurring
 from spendlens.registry import query
 from spendlens.sources import domain
 
@@ -154,3 +154,27 @@ def p16_due_soon(spark, sf_dir):
   FROM d JOIN users u ON u.user_id = d.user_id WHERE days = reminder_days AND starts_with(push_token, 'ExponentPushToken[')""")
 def d11_due_reminders(spark, sf_dir):
     return calendar.reminders(domain.bills(spark, sf_dir), domain.users(spark, sf_dir), TODAY)
+
+
+@query("p13_subscription_lists", f"{named(SUBSCRIPTIONS)} SELECT 'active' AS list, id, name FROM subscriptions WHERE is_active UNION ALL SELECT 'inactive', id, name FROM subscriptions WHERE NOT is_active")
+def p13_subscription_lists(spark, sf_dir):
+    active, inactive = recurring.by_flag(domain.subscriptions(spark, sf_dir), "is_active")
+    listed = lambda rows, name: rows.select(F.lit(name).alias("list"), "id", "name")
+    return listed(active, "active").unionByName(listed(inactive, "inactive"))
+
+
+@query("o5_goal_deposits", f"{named(GOALS, DEPOSITS)} SELECT id, amount::DOUBLE AS amount, created_at FROM deposits WHERE goal_id = 7 AND EXISTS (SELECT 1 FROM goals WHERE goal_id = 7 AND user_id = 7) ORDER BY created_at DESC, id DESC LIMIT 50")
+def o5_goal_deposits(spark, sf_dir):
+    """The 50 newest: the limit is the feature."""
+    found = goal_op.deposits_of(domain.goals(spark, sf_dir), domain.deposits(spark, sf_dir), 7, 7)
+    return found.select("id", F.col("amount").cast("double").alias("amount"), "created_at")
+
+
+@query("o13_bills_by_day", f"{named(BILLS)} SELECT id, due_day, row_number() OVER (ORDER BY due_day, id)::INTEGER AS place FROM bills")
+def o13_bills_by_day(spark, sf_dir):
+    return ranks.ranked(domain.bills(spark, sf_dir).select("id", "due_day"), "place", F.col("due_day").asc(), F.col("id").asc())
+
+
+@query("o13_goals_latest_first", f"{named(GOALS)} SELECT goal_id, target_date, row_number() OVER (ORDER BY target_date DESC NULLS LAST, goal_id)::INTEGER AS place FROM goals")
+def o13_goals_latest_first(spark, sf_dir):
+    return ranks.ranked(domain.goals(spark, sf_dir).select("goal_id", "target_date"), "place", F.col("target_date").desc_nulls_last(), F.col("goal_id").asc())

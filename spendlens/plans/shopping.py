@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spendlens import streaming
 from spendlens.functions import rules
 from spendlens.functions.numbers import rounded
 from spendlens.operators import offers as op
@@ -74,10 +75,22 @@ def o7_store_ranking(spark, sf_dir):
   f AS (SELECT min(total) AS best_store_total FROM totals WHERE is_full) SELECT floor(optimal_total * 100 + 0.5) / 100 AS optimal_total, floor(best_store_total * 100 + 0.5) / 100 AS best_store_total, floor(greatest(0, best_store_total - optimal_total) * 100 + 0.5) / 100 AS savings FROM c, f""")
 def a18_optimal_basket(spark, sf_dir):
     rows = best(spark, sf_dir)
-    out = op.optimal(rows, op.store_totals(rows, ITEMS))
+    out = op.optimal(rows, op.store_baskets(rows, ITEMS))
     return out.select(*(rounded(F.col(c), 2).alias(c) for c in out.columns))
 
 
+_LIMITS = ["3", "2.9", "", "abc", "-5", "0", " 7 ", "1e2", ".5", "100000"]
+
+
+@query("o12_typed_limits", f"""{named(OFFERS, _Q, _SEARCH)}, hit AS (SELECT * FROM found WHERE query = 'red plate'), every AS (SELECT count(*) AS total FROM hit),
+  lim(typed, last) AS (VALUES ('3', 3), ('2.9', 2), ('', NULL), ('abc', NULL), ('-5', -5), ('0', 0), (' 7 ', 7), ('1e2', 1), ('.5', 0), ('100000', 100000))
+  SELECT typed AS "limit", count(*) AS n, max(place)::INTEGER AS last FROM hit, lim, every WHERE place <= CASE WHEN lim.last IS NULL THEN total WHEN lim.last < 0 THEN total + lim.last ELSE lim.last END GROUP BY 1""")
+def o12_typed_limits(spark, sf_dir):
+    ranked = op.search(all_offers(spark, sf_dir), ["red plate"])
+    limits = spark.createDataFrame([("red plate", x) for x in _LIMITS], "query string, limit string")
+    return op.limited(ranked, limits).groupBy("limit").agg(F.count("*").alias("n"), F.max("place").alias("last"))
+
+
 @query("w5_first_offers", f"{named(OFFERS)} SELECT store_id, ordinal, name, price FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY ordinal) AS k FROM offers) WHERE k <= 12")
 def w5_first_offers(spark, sf_dir):
     return op.first_per_store(all_offers(spark, sf_dir)).select("store_id", "ordinal", "name", "price")
@@ -137,10 +150,26 @@ def t9_merged_stats(spark, sf_dir):
     return op.merged_stats(op.matching(store_offers(spark, sf_dir), QUERIES))
 
 
-_PRODUCTS = f"t AS (SELECT term, min(ordinal) AS ordinal FROM (SELECT unnest({rules.PRODUCTS}) AS term, unnest(range({len(rules.PRODUCTS)})) AS ordinal) GROUP BY 1)"
+@query("t9_search_stream", f"{named(OFFERS, _Q, _SEARCH)} SELECT query, place, store_id, name, price, score::INTEGER AS score FROM found WHERE place <= 24")
+def t9_search_stream(spark, sf_dir):
+    """d7's rows, kept up as stores arrive in several batches."""
+    path = streaming.as_files(all_offers(spark, sf_dir), 4, "store_id", "ordinal")
+    return streaming.run_search(streaming.read_files(spark, path, 1), QUERIES, 24)[0]
+
+
+@query("t9_search_stats_stream", f"""{named(OFFERS, _Q, _SEARCH)} SELECT query, min(price) AS min_price, max(price) AS max_price, floor(avg(price) + 0.5)::BIGINT AS avg_price, count(*) AS n, count(DISTINCT store_id) AS stores FROM found GROUP BY 1""")
+def t9_search_stats_stream(spark, sf_dir):
+    path = streaming.as_files(all_offers(spark, sf_dir), 4, "store_id", "ordinal")
+    return streaming.run_search(streaming.read_files(spark, path, 1), QUERIES, 24)[1]
+
+
+# The listed products that hold `pa`, in the list's order, for the SQL.
+_PA = """['pasta','pan rallado','pan','pan de molde','papas fritas','palitos','panceta','papa','zapallo','palta','papas congeladas','papel higienico','pasta dental','papel higienico',
+  'paracetamol','panales','shampoo para bebe','alimento para perros','alimento para gatos','arena para gatos']"""
 
 
-@query("s21_product_typeahead", f"""WITH {_PRODUCTS}, own AS (SELECT term FROM t WHERE contains(term, 'pa') ORDER BY starts_with(term, 'pa') DESC, ordinal LIMIT 6),
+@query("s21_product_typeahead", f"""WITH t AS (SELECT term, min(ordinal) AS ordinal FROM (SELECT unnest({_PA}) AS term, unnest(range(20)) AS ordinal) GROUP BY 1),
+  own AS (SELECT term FROM t ORDER BY starts_with(term, 'pa') DESC, ordinal LIMIT 6),
   more AS (SELECT p_name AS term, min(p_partkey) AS ordinal FROM part WHERE p_name NOT IN (SELECT term FROM own) GROUP BY 1 ORDER BY 2 LIMIT 2)
   SELECT term, 0 AS source FROM own UNION ALL SELECT term, 1 FROM more""")
 def s21_product_typeahead(spark, sf_dir):

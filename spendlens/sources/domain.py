@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ledger: id, user_id, ts, date, amount, category, type; purchases are credits."""
-    return table(spark, sf_dir, "events").select(
+    return ledger_of(table(spark, sf_dir, "events"))
+
+
+def ledger_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"), "user_id", "ts", F.to_date("ts").alias("date"), F.col("value").cast(MONEY).alias("amount"),
         F.col("event_type").alias("category"), F.when(F.col("event_type") == "purchase", "credit").otherwise("debit").alias("type"),
     )

@@ -1,81 +1,18 @@
-"""Structured Streaming forms of the plan state, the rate windows and progressive results.
+"""Structured Streaming forms: plan state, jobs, rate windows, progressive totals, budget alerts and progressive searches.
 
 Sources are folders of Parquet files. Each `run_*` processes what is there
-(`availableNow`) and returns the result as a DataFrame; state and results lie in
-the shared folder. The watermark is our own addition.
+(`availableNow`, as many batches as the source makes) and returns the result as a
+DataFrame; state, results and the log lie in a folder under the shared one. With
+the same `base` a later run goes on where the last one ended. Batches write to
+a folder of their number, so one that runs again after a failure changes
+nothing. Streams without rows give empty results. Watermarks are our own addition.
 """
 
-from __future__ import annotations
+from .alerts import run_budget_alerts
+from .files import as_files, read_files
+from .jobs import run_jobs
+from .plan import run_plan_state
+from .search import run_search
+from .windows import run_progress, run_rate_windows
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from spendlens.operators import plans_state
-
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spendlens-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet file or files at `path`, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(path.rsplit("/", 1)[0])
-
-
-def run_plan_state(events: DataFrame) -> DataFrame:
-    """user_id, plan, expires_at, changes, kept as a table that each batch replaces by a merge of one row per user.
-
-    Batches are versions: batch n reads version n - 1, so a batch that runs
-    again after a failure gives the same table.
-    """
-    spark, base = events.sparkSession, shared_folder(events.sparkSession)
-    last = {"path": None}
-
-    def merge(batch: DataFrame, n: int) -> None:
-        rows = plans_state.states(batch).groupBy("user_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"), F.count("*").alias("changes"))
-        if n:
-            rows = rows.unionByName(spark.read.parquet(f"{base}/state/{n - 1}"))
-        merged = rows.groupBy("user_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"), F.sum("changes").alias("changes"))
-        merged.write.mode("overwrite").parquet(f"{base}/state/{n}")
-        last["path"] = f"{base}/state/{n}"
-
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(last["path"]).select("user_id", "state.plan", "state.expires_at", "changes")
-
-
-def run_rate_windows(events: DataFrame, minutes: int = 15, limit: int = 100, late: str = "1 hour") -> DataFrame:
-    """`rate_windows` of a stream whose `ts` may be late by `late`; the last batch's update of a window counts."""
-    spark, base = events.sparkSession, shared_folder(events.sparkSession)
-    rows = plans_state.rate_windows(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), minutes, limit)
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/{n}")
-
-    query = rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = spark.read.parquet(f"{base}/out/*")
-    newest = found.groupBy("window_start", "user_id").agg(F.max_by(F.struct("requests", "rejected"), "batch").alias("r"))
-    return newest.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "r.requests", "r.rejected")
-
-
-def run_progress(events: DataFrame, *keys: str) -> DataFrame:
-    """Running totals (n, total of `value`) by `keys`; every batch replaces the whole small result (complete mode)."""
-    spark, base = events.sparkSession, shared_folder(events.sparkSession)
-    totals = events.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(14,2)")).cast("double").alias("total"))
-    last = {"path": None}
-
-    def keep(batch: DataFrame, n: int) -> None:
-        last["path"] = f"{base}/out/{n}"
-        batch.write.mode("overwrite").parquet(last["path"])
-
-    query = totals.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(last["path"])
+__all__ = ["as_files", "read_files", "run_budget_alerts", "run_jobs", "run_plan_state", "run_progress", "run_rate_windows", "run_search"]

@@ -207,3 +207,87 @@ def test_catalogue_pages_and_union(spark):
     insight = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "goal_id long, user_id long")
     spent = spark.createDataFrame([(7, 40)], "user_id long, surplus long")
     assert sorted(map(tuple, goals.with_surplus(insight, spent).select("goal_id", "surplus").collect())) == [(1, 40), (2, 40), (3, 0)]
+
+
+def test_listed_products(spark):
+    from spendlens.functions import rules
+
+    assert len(rules.PRODUCTS) == 162 and all(p == " ".join(p.split()) and p for p in rules.PRODUCTS)
+    terms = spark.createDataFrame(list(enumerate(rules.PRODUCTS)), "ordinal long, term string")
+    none = spark.createDataFrame([], "term string, ordinal long")
+    assert [r.term for r in offers.typeahead(terms, none, "Crema de l").collect()] == ["crema de leche"]
+
+
+def test_alerts_only_above_the_budget(spark):
+    spent = spark.createDataFrame([(1, "a", 80.0), (1, "b", 100.0), (1, "c", 120.0), (1, "z", 5.0)], "user_id long, category string, spent double")
+    wanted = spark.createDataFrame([(1, "a", 100), (1, "b", 100), (1, "c", 100), (1, "z", 0), (1, "n", None)], "user_id long, category string, budget int")
+    assert [(r.month, r.category, r.over) for r in ledger.new_alerts(ledger.budget_status(spent, wanted), "2024-01").collect()] == [("2024-01", "c", 20)]
+
+
+def test_income_list(spark):
+    rows = spark.createDataFrame([(1, "a", 5.0, 0.0), (1, "b", 1.0, 9.0), (1, "c", 0.0, 2.0)], "user_id long, category string, spent double, income double")
+    assert [r.category for r in ledger.top_categories(rows, 8, "income").orderBy("place").collect()] == ["b", "c"]
+    assert [r.category for r in ledger.top_categories(rows, 8).orderBy("place").collect()] == ["b", "a"]
+
+
+def test_page_and_total(spark):
+    rows = spark.createDataFrame([entry(i, 1, f"2024-01-{1 + i % 3:02}", "5") for i in range(7)], LEDGER)
+    found = ledger.page_with_total(rows, 1, 3, 2).first()
+    assert (found.total, [t.id for t in found.transactions]) == (7, [4, 1, 6])
+    beyond = ledger.page_with_total(rows, 1, 3, 20).first()
+    assert (beyond.total, beyond.transactions) == (7, [])
+    assert ledger.page_with_total(rows, 9).first().total == 0
+
+
+def test_ranks_over_ranges(spark):
+    from spendlens.operators import ranks
+
+    rows = spark.createDataFrame([(i, (i * 7919) % 50) for i in range(500)], "id long, v long")
+    found = ranks.ranked(rows, "place", F.col("v").desc(), F.col("id").asc())
+    expected = sorted(((-((i * 7919) % 50), i) for i in range(500)))
+    assert [(-r.v, r.id) for r in found.orderBy("place").collect()] == expected
+    assert [r.place for r in found.orderBy("place").collect()] == list(range(1, 501))
+    assert ranks.ranked(rows.where("id < 0"), "place", F.col("id").asc()).collect() == []
+
+
+def test_ranks_have_no_single_task(spark):
+    from spendlens.operators import ranks
+
+    rows = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    assert "SinglePartition" not in ranks.ranked(rows, "place", F.col("id").asc())._jdf.queryExecution().executedPlan().toString()
+
+
+def contained(a, b):
+    return sorted((u, x, y) for u, x in set(a) for v, y in set(b) if u == v and (x in y or y in x))
+
+
+def test_names_that_contain_one_another(spark):
+    import random
+
+    from spendlens.operators import gram_index
+
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(0, 6)))
+    a = {(rng.randint(1, 3), name()) for _ in range(80)} | {(1, ""), (2, "é"), (2, "\U0001f600ab")}
+    b = {(rng.randint(1, 3), name()) for _ in range(80)} | {(3, ""), (2, "xé\U0001f600ab")}
+    found = gram_index.either_containing(spark.createDataFrame(sorted(a), "user_id long, one string"), spark.createDataFrame(sorted(b), "user_id long, other string"), "one", "other", "user_id")
+    assert sorted((r.user_id, r.one, r.other) for r in found.collect()) == contained(a, b)
+
+
+def test_search_of_very_many_queries_joins_only_what_can_match(spark):
+    from spendlens.operators import gram_index
+
+    names = [f"product{i:04} kind{i % 7}" for i in range(1000)]
+    words = spark.createDataFrame([(f"product{i:04}",) for i in range(1000)], "word string")
+    posted = gram_index.postings(spark.createDataFrame([(n,) for n in names], "text string"), "text")
+    rare = gram_index.rarest(words, posted, "word")
+    assert rare.count() == 1000 and rare.agg(F.sum("texts")).first()[0] < 20_000  # of 1,000,000 pairs
+    assert gram_index.containing(words, posted, "word", "text").count() == 1000
+
+
+def test_typed_limits(spark):
+    from spendlens.functions import numbers
+
+    cases = {"3": 3, "2.9": 2, "": None, "abc": None, "-5": -5, "0": 0, " 7 ": 7, "1e2": 1, ".5": 0, None: None, "5 rows": None}
+    found = spark.createDataFrame([(k,) for k in cases], "t string").select("t", numbers.lenient_limit(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in found} == cases
