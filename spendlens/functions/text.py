@@ -150,3 +150,17 @@ def hue(text: Column) -> Column:
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
     """The template with each {{name}} replaced by its value."""
     return reduce(lambda out, kv: F.replace(out, F.lit("{{" + kv[0] + "}}"), kv[1].cast("string")), values.items(), template)
+
+
+def resolve(resources: Column, path: Column, values: Column | None = None) -> Column:
+    """The text at a dotted path of nested resources (JSON), with each {{name}} replaced by its value of a map; the path itself where there is no text.
+
+    A path's parts are names of objects. Without values nothing is replaced.
+    """
+    parts = F.transform(F.split(path, r"\."), lambda p: F.concat(F.lit("['"), p, F.lit("']")))
+    found = F.try_variant_get(F.try_parse_json(resources), F.concat(F.lit("$"), F.array_join(parts, "")), "variant")
+    plain = F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+    if values is not None:
+        fill = lambda out, v: F.replace(out, F.concat(F.lit("{{"), v["key"], F.lit("}}")), F.coalesce(v["value"], F.lit("null")))
+        plain = F.when(plain.isNotNull(), F.coalesce(F.aggregate(F.map_entries(values), plain, fill), plain))
+    return F.coalesce(plain, path)

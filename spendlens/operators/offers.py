@@ -185,3 +185,23 @@ def typeahead(terms: DataFrame, live: DataFrame, typed: str, local: int = 6, n:
     new = live.groupBy("term").agg(F.min("ordinal").alias("ordinal")).withColumn("key", text.fold(F.col("term"))).join(own.select("key"), "key", "left_anti")
     both = own.unionByName(new.select("term", "key", F.struct(F.lit(1).alias("source"), F.lit(0).cast("long").alias("late"), "ordinal").alias("order")))
     return both.orderBy("order").limit(n).select("term", F.col("order.source").alias("source"))
+
+
+#: Characters of the longest key that the table of suggestions holds.
+TYPED = 32
+
+
+def typeahead_table(terms: DataFrame, n: int = 6) -> DataFrame:
+    """key, place, term: for whatever may be typed, the n best known terms, those that start with it first, then by ordinal.
+
+    Keys are all parts of folded terms of up to TYPED characters, and the empty
+    one, so a lookup is one equality. Tasks keep n rows of a key before they are
+    dealt, so that a part that very many terms share costs no more than another.
+    """
+    own = terms.groupBy("term").agg(F.min("ordinal").alias("ordinal")).withColumn("folded", text.fold(F.col("term"))).where("folded is not null")
+    length = F.length("folded")
+    parts = lambda i: F.transform(F.sequence(F.lit(1), F.least(length - i + 1, F.lit(TYPED))), lambda k: F.substring(F.col("folded"), i, k))
+    keys = F.when(length > 0, F.flatten(F.transform(F.sequence(F.lit(1), length), parts))).otherwise(F.array().cast("array<string>"))
+    rows = own.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), keys))))
+    order = W.partitionBy("key").orderBy(F.col("folded").startswith(F.col("key")).desc(), "ordinal", "term")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("key", "place", "term")

@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from spendlens import streaming
+from spendlens import shared, streaming
 from spendlens.functions import rules
+from spendlens.functions.numbers import rounded
 from spendlens.operators import plans_state, writes
+from spendlens.operators.tables import MonthTable
 from spendlens.registry import query
 from spendlens.sources import domain
 
@@ -52,6 +54,29 @@ def k5_delete(spark, sf_dir):
     return writes.delete(rows, rows.where("user_id % 4 = 1 and category = 'view'"), "user_id", "category")
 
 
+_WRITTEN = """start AS (SELECT id, date, amount::DOUBLE AS amount FROM ledger WHERE id % 4 <> 0), appended AS (SELECT id, date, amount::DOUBLE AS amount FROM ledger WHERE id % 4 = 0 AND strftime(date, '%Y-%m') = '1997-03'),
+  held AS (SELECT * FROM start UNION ALL SELECT * FROM appended), gone AS (SELECT id FROM held WHERE id % 4 = 2 AND strftime(date, '%Y-%m') = '1993-02'),
+  upserted AS (SELECT id, date, CASE WHEN id % 4 = 1 AND strftime(date, '%Y-%m') = '1995-06' THEN amount + 1 ELSE amount END AS amount FROM held),
+  kept AS (SELECT strftime(date, '%Y-%m') AS month, amount FROM upserted WHERE id NOT IN (SELECT id FROM gone))"""
+
+
+@query("k1_written_ledger", f"""{named(LONG_LEDGER)}, {_WRITTEN} SELECT month, count(*) AS n, round(sum(amount), 2) AS total, month IN ('1993-02', '1995-06', '1997-03') AS rewritten FROM kept GROUP BY 1""")
+def k1_written_ledger(spark, sf_dir):
+    """A written ledger after a batch that came twice, an upsert and a delete: its months, and which of them have other files than at first."""
+    rows = domain.long_ledger(spark, sf_dir).select("id", "date", F.col("amount").cast("double").alias("amount"))
+    month = F.date_format("date", "yyyy-MM")
+    table = MonthTable.create(rows.where("id % 4 <> 0"))
+    first = shared.written(table.files(), "files")
+    for _ in range(2):
+        table.append(rows.where((F.col("id") % 4 == 0) & (month == "1997-03")), 1)
+    changed = rows.where((F.col("id") % 4 == 1) & (month == "1995-06")).withColumn("amount", F.col("amount") + 1).withColumn("seq", F.lit(1))
+    table.upsert(changed, 2, "id")
+    table.delete(rows.where((F.col("id") % 4 == 2) & (month == "1993-02")), "id")
+    months = table.read().groupBy("month").agg(F.count("*").alias("n"), rounded(F.sum("amount"), 2).alias("total"))
+    same = first.withColumnRenamed("files", "before")
+    return months.join(table.files(), "month").join(same, "month", "left").select("month", "n", "total", (~F.col("files").eqNullSafe(F.col("before"))).alias("rewritten"))
+
+
 _LISTS = "lists AS (SELECT o_orderkey AS list_id, o_custkey AS user_id, 'list ' || o_orderkey AS name FROM orders), items AS (SELECT l_orderkey AS list_id, l_orderkey * 10 + l_linenumber AS item_id, l_partkey AS part FROM lineitem)"
 
 

@@ -104,3 +104,16 @@ def f38_deposits(spark, sf_dir):
         .when(key % 4 == 2, F.lit("x")).otherwise(F.concat(as_text(key % 1000), F.lit(",5")))
     )
     return domain.table(spark, sf_dir, "orders").select(key.alias("id"), typed.alias("typed"), numbers.parse_deposit(typed).alias("amount"))
+
+
+@query("s22_dotted_texts", """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'Hola ' || c_name || ', ' || c_name || ': ' || c_mktsegment || ' {{other}}' WHEN 1 THEN 'user.key' WHEN 2 THEN 'user.missing.deep'
+  WHEN 3 THEN c_mktsegment WHEN 4 THEN 'user' ELSE 'title.deeper' END AS text FROM customer""")
+def s22_dotted_texts(spark, sf_dir):
+    """Texts at paths that name a text, a number, nothing, a text at the top, an object, and something below a text."""
+    greeting = F.lit("Hola {{name}}, {{name}}: {{segment}} {{other}}")
+    rows = domain.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.to_json(F.struct(F.struct(F.struct(greeting.alias("hello")).alias("greet"), F.col("c_custkey").alias("key")).alias("user"), F.col("c_mktsegment").alias("title"))).alias("resources"),
+        F.get(F.array(*map(F.lit, ("user.greet.hello", "user.key", "user.missing.deep", "title", "user", "title.deeper"))), (F.col("c_custkey") % 6).cast("int")).alias("path"),
+        F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("values"),
+    )
+    return rows.select("id", text.resolve(F.col("resources"), F.col("path"), F.col("values")).alias("text"))

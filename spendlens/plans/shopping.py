@@ -118,6 +118,14 @@ def d14_typeahead(spark, sf_dir):
     return op.typeahead(terms, live, "r")
 
 
+@query("o10_typeahead_table", """WITH t AS (SELECT p_name AS term, min(p_partkey) AS ordinal FROM part GROUP BY 1), s AS (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM t),
+  p AS (SELECT term, i, unnest(range(1, length(term) - i + 2)) AS l FROM s), keys AS (SELECT DISTINCT substr(term, i, l) AS key FROM p UNION SELECT '')
+  SELECT key, place::INTEGER AS place, term FROM (SELECT key, term, row_number() OVER (PARTITION BY key ORDER BY starts_with(term, key) DESC, ordinal, term) AS place FROM keys JOIN t ON contains(term, key)) WHERE place <= 6""")
+def o10_typeahead_table(spark, sf_dir):
+    """The six best terms for every part of every product name: the limit is the feature."""
+    return op.typeahead_table(domain.table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_partkey").alias("ordinal")))
+
+
 @query("u2_store_offers", f"WITH {STORE_OFFERS} SELECT * FROM offers")
 def u2_store_offers(spark, sf_dir):
     return store_offers(spark, sf_dir).select("store_id", "ordinal", "name", "price")

@@ -8,9 +8,11 @@ import functools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spendlens.functions import dates, numbers, rules, text
+from spendlens import shared
 from spendlens.operators import statements
+from spendlens.operators.tables import MonthTable
 from spendlens.registry import query
-from spendlens.sources import catalogues, domain, encrypted
+from spendlens.sources import catalogues, domain, encrypted, pdf
 
 TODAY = dt.date(2024, 1, 20)
 
@@ -65,6 +67,71 @@ def d9_statement_counters_all(spark, sf_dir):
     return statements.counters(statements.parse(made_statements(spark, sf_dir), TODAY))
 
 
+@query("s6_pdf_statements", f"WITH {_STATEMENTS} SELECT doc_id, date, description, amount::DOUBLE AS amount, type FROM o WHERE {_READ}")
+def s6_pdf_statements(spark, sf_dir):
+    """The statements as PDF files, sent encrypted, opened and read again."""
+    key, iv = F.sha2(F.col("doc_id").cast("string"), 256), F.md5(F.col("doc_id").cast("string"))
+    sent = pdf.made(made_statements(spark, sf_dir)).select("doc_id", key.alias("key"), iv.alias("iv"), encrypted.encrypt(key, iv, F.col("body")).alias("body"))
+    opened = sent.select("doc_id", encrypted.decrypt(F.col("key"), F.col("iv"), F.col("body")).alias("body"))
+    return statements.parse(pdf.texts(opened), TODAY).select("doc_id", "date", "description", "amount", "type")
+
+
+#: What uploads are made of; the third and fourth are no known merchants.
+SHOPS = ["NETFLIX", "SPOTIFY", "DISCO", "KIOSCO"]
+
+
+def made_uploads(spark, sf_dir) -> DataFrame:
+    """One statement per customer and year, of its orders, a line each; every eleventh order is on a day that doesn't exist."""
+    cents, key = F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_orderkey")
+    day = F.when(key % 11 == 0, F.concat(F.lit("31/02/"), F.date_format("o_orderdate", "yyyy"))).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    line = F.concat_ws(" ", day, F.get(F.array(*map(F.lit, SHOPS)), (key % 4).cast("int")), F.concat(F.when(F.col("o_orderstatus") == "O", "").otherwise("-"), _spanish(cents)), F.lit("9.000,00"))
+    orders = domain.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("doc_id"), F.struct("o_orderkey", line.alias("line")).alias("l"))
+    return orders.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+
+
+_UPLOADS = """o AS (SELECT o_custkey * 10000 + year(o_orderdate) AS doc_id, o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS date,
+    (['NETFLIX','SPOTIFY','DISCO','KIOSCO'])[o_orderkey % 4 + 1] AS shop, round(o_totalprice * 100)::BIGINT / 100.0 AS amount, o_orderstatus <> 'O' AS debit FROM orders),
+  m AS (SELECT doc_id, CASE shop WHEN 'NETFLIX' THEN 'Netflix' ELSE 'Spotify' END AS name, arg_min(amount, o_orderkey) AS amount0, min(o_orderkey) AS k0,
+    min(o_orderkey) FILTER (date IS NOT NULL) AS k1, arg_max(amount, (date, -o_orderkey)) FILTER (date IS NOT NULL) AS amount1, max(date) AS date1 FROM o WHERE debit AND shop IN ('NETFLIX', 'SPOTIFY') GROUP BY 1, 2),
+  subs AS (SELECT doc_id, name, CASE WHEN k0 IS DISTINCT FROM k1 THEN amount0 ELSE amount1 END::DOUBLE AS amount, CASE WHEN k0 IS DISTINCT FROM k1 THEN NULL ELSE date1 END AS last_charged FROM m)"""
+EMPTY_LEDGER = "doc_id long, date date, description string, amount double, type string, category string, raw_text string"
+
+
+def uploaded(spark, sf_dir):
+    """The parsed uploads, and what it takes to ingest them: an empty ledger and a folder for subscriptions."""
+    table = MonthTable.create(spark.createDataFrame([], EMPTY_LEDGER))
+    return statements.parse(made_uploads(spark, sf_dir), TODAY), table, shared.new_path(spark, "subscriptions")
+
+
+@query("a22_upload_counters", f"""WITH {_UPLOADS} SELECT doc_id, count(*) AS total, count(date) AS inserted, count(*) - count(date) AS skipped, coalesce(max(n), 0) AS subscriptions
+  FROM o LEFT JOIN (SELECT doc_id, count(*) AS n FROM subs GROUP BY 1) USING (doc_id) GROUP BY doc_id""")
+def a22_upload_counters(spark, sf_dir):
+    parsed = statements.parse(made_uploads(spark, sf_dir), TODAY)
+    found = statements.found_subscriptions(parsed).groupBy("doc_id").agg(F.count("*").alias("subscriptions"))
+    return statements.counters(parsed).join(found, "doc_id", "left").withColumn("subscriptions", F.coalesce("subscriptions", F.lit(0)))
+
+
+@query("a22_observed_counters", f"WITH {_UPLOADS} SELECT count(*) AS total, count(date) AS inserted, count(*) - count(date) AS skipped, (SELECT count(*) FROM subs) AS subscriptions FROM o")
+def a22_observed_counters(spark, sf_dir):
+    """The counts of one upload of everything, observed while its rows are written."""
+    counts = statements.ingest(*uploaded(spark, sf_dir), 1)
+    return spark.createDataFrame([tuple(counts[c] for c in ("total", "inserted", "skipped", "subscriptions"))], "total long, inserted long, skipped long, subscriptions long")
+
+
+@query("d9_uploaded_ledger", f"WITH {_UPLOADS} SELECT strftime(date, '%Y-%m') AS month, type, count(*) AS n, sum(amount)::DOUBLE AS total FROM (SELECT *, CASE WHEN debit THEN 'debit' ELSE 'credit' END AS type FROM o) WHERE date IS NOT NULL GROUP BY 1, 2")
+def d9_uploaded_ledger(spark, sf_dir):
+    """What the written ledger holds by month after an upload that came twice."""
+    parsed, table, folder = uploaded(spark, sf_dir)
+    for _ in range(2):
+        statements.ingest(parsed, table, folder, 1)
+    return table.read().groupBy("month", "type").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(14,2)")).cast("double").alias("total"))
+
+
+@query("d9_upload_subscriptions", f"WITH {_UPLOADS} SELECT doc_id, name, amount, last_charged FROM subs")
+def d9_upload_subscriptions(spark, sf_dir):
+    return statements.found_subscriptions(statements.parse(made_uploads(spark, sf_dir), TODAY))
+
+
 @query("f15_amounts", """WITH o AS (SELECT o_orderkey AS id, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
   SELECT id, (cents / 100.0)::DOUBLE AS amount, -(cents / 100.0)::DOUBLE AS english, (cents // 100)::DOUBLE AS price FROM o""")
 def f15_amounts(spark, sf_dir):
