@@ -2,16 +2,21 @@
 
 A page falls into blocks at block-level tags. The first pass decides a block
 where it can: structure (menus, page headers, footers, sidebars, forms, ads,
-notices, reader comments) and link density make it bad; length with the density
-of stop words makes it good. Short blocks and those of middling density stay
-ambiguous. An article that the page marks is evidence only: in it a dense block
-need not be long, and one of few stop words stays ambiguous. Where stop words
-are rare on the whole page, its language is not known and length alone speaks.
+notices, reader comments), link density and a copyright sign make it bad; length
+with the density of stop words makes it good. How dense prose is depends on the
+language and the kind of text, so densities are held against that of all
+unlinked text of the page (`MANY_OF`, `SOME_OF`), up to the usual thresholds. Short
+blocks, those of middling density and long ones of few stop words stay
+ambiguous; of few stop words and no great length is bad, in a marked article only
+if it is partly linked. Where stop words are rare on the whole page, its language
+is not known and length alone speaks. An article that the page marks is evidence
+only: in it a dense block need not be long.
 The second pass gives an ambiguous block the label of its nearest decided
-neighbour on the same side of an article's edge; between a good and a bad one
+neighbour on the same side of an article's edge; blocks that structure has made
+bad are in other containers and are no neighbours. Between a good and a bad one
 as near, a block of middling density is good and a short one bad. A short
 heading goes with the block after it. A page of short blocks has the unlinked
-ones of its article.
+ones of its article, or all if it marks none.
 
 A name that speaks of a menu, an advert and the like makes a container bad,
 unless it holds the page's article (the largest, if larger than the text outside
@@ -57,7 +62,7 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset(
     """
     address article aside blockquote body caption center col colgroup dd details dialog div dl dt fieldset figcaption figure footer form
-    frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table
+    frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table
     tbody td tfoot th thead tr ul
     """.split()
 )
@@ -82,6 +87,11 @@ SHORT = 70
 LONG = 200
 SOME_STOPS = 0.30
 MANY_STOPS = 0.32
+#: Shares of the page's own density that count as some and as many, where that is less.
+SOME_OF = 0.3
+MANY_OF = 0.6
+#: Linked characters from which a block of few stop words is bad in an article too.
+PARTLY = 0.15
 #: Stop words are rarer than this on a page of none of the languages above.
 KNOWN_STOPS = 0.08
 
@@ -265,13 +275,15 @@ def _stops(text: str) -> tuple[int, int]:
 
 
 def first_pass(found: list[Block]) -> list[str]:
-    """good, bad, near (of middling density) or short for each block."""
+    """good, bad, near (ambiguous though not short) or short for each block."""
     open_ = [b for b in found if not b.bad and b.linked <= LINKED * len(b.text)]
     counts = {id(b): _stops(b.text) for b in open_}
-    known = sum(s for s, _ in counts.values()) >= KNOWN_STOPS * sum(n for _, n in counts.values())
+    density = sum(s for s, _ in counts.values()) / max(1, sum(n for _, n in counts.values()))
+    known = density >= KNOWN_STOPS
+    some, many = min(SOME_STOPS, SOME_OF * density), min(MANY_STOPS, MANY_OF * density)
     out = []
     for b in found:
-        if id(b) not in counts:
+        if id(b) not in counts or b.text[0] in "\u00a9\u2117":
             out.append(BAD)
         elif len(b.text) < SHORT:
             out.append(BAD if b.linked and not b.article else SHORT_BLOCK)
@@ -279,10 +291,14 @@ def first_pass(found: list[Block]) -> list[str]:
             out.append(GOOD if len(b.text) > LONG else NEAR)
         else:
             stops, words = counts[id(b)]
-            if stops >= MANY_STOPS * max(words, 1):
+            if stops >= many * max(words, 1):
                 out.append(GOOD if b.article or len(b.text) > LONG else NEAR)
+            elif stops >= some * max(words, 1):
+                out.append(NEAR)
+            elif b.article:
+                out.append(BAD if b.linked > PARTLY * len(b.text) else NEAR)
             else:
-                out.append(NEAR if b.article or stops >= SOME_STOPS * max(words, 1) else BAD)
+                out.append(NEAR if len(b.text) > LONG and not b.linked else BAD)
     return out
 
 
@@ -310,20 +326,23 @@ def second_pass(labels: list[str]) -> list[str]:
 
 
 def labels(found: list[Block]) -> list[str]:
-    """good or bad for each block, by both passes; the second stays on one side of an article's edge."""
-    out: list[str] = []
-    for article, run in groupby(zip(found, first_pass(found)), lambda x: x[0].article):
+    """good or bad for each block, by both passes; the second stays on one side of an article's edge and passes over what structure made bad."""
+    first = first_pass(found)
+    out = [BAD] * len(found)
+    for article, run in groupby((i for i, b in enumerate(found) if not b.bad), lambda i: found[i].article):
         part = list(run)
-        given = [label for _, label in part]
-        if article and GOOD not in given and BAD not in given:  # the mark decides for what may be text
+        given = [first[i] for i in part]
+        if GOOD not in given and BAD not in given:  # nothing is decided: what may be text is
             given = [GOOD if label == NEAR else label for label in given]
         decided = second_pass(given)
-        for i in range(len(part) - 2, -1, -1):
-            if given[i] == SHORT_BLOCK and part[i][0].heading and decided[i + 1] == GOOD:
-                decided[i] = GOOD
-        out += decided
+        for k in range(len(part) - 2, -1, -1):
+            if given[k] == SHORT_BLOCK and found[part[k]].heading and decided[k + 1] == GOOD:
+                decided[k] = GOOD
+        for i, label in zip(part, decided):
+            out[i] = label
     if GOOD not in out:  # nothing but short blocks: those of the article
-        out = [GOOD if b.article and not b.bad and not b.linked else BAD for b in found]
+        marked = any(b.article for b in found)
+        out = [GOOD if (b.article or not marked) and label == SHORT_BLOCK and not b.linked else BAD for b, label in zip(found, first)]
     return out
 
 

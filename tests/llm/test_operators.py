@@ -498,6 +498,31 @@ def test_wrappers_keep_their_text(opening, closing):
     assert html.main_text(f"<div class=sidebar><ul>{menu}</ul></div>{opening}<p>{text}</p>{closing}") == text
 
 
+def test_rules_find_the_text_without_a_mark(sf_dir):
+    """The given pages with <article> and <main> made <div>: at least nine in ten blocks come back, and nothing that was left out before."""
+    import re
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    wanted, kept = 0, 0
+    for page in pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist():
+        marked = Counter(html.main_text(page).split("\n\n"))
+        bare = Counter(html.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)).split("\n\n"))
+        assert not bare - marked - Counter([""])
+        wanted += marked.total()
+        kept += (bare & marked).total()
+    assert kept >= 0.9 * wanted
+
+
+def test_rules_decide_inside_an_article():
+    """Notices of no stop words that are partly links, and copyright lines, go from an article too; their short neighbours go with them."""
+    notice = "Rights reserved worldwide, <a href=/t>terms and conditions</a> publisher policies strictly applying throughout."
+    page = f"<article><p>{PROSE * 2}</p><p>Short one.</p><p>{notice}</p><p>Tags: cats</p><p>\u00a9 2024 Example</p></article>"
+    assert html.main_text(page) == (PROSE * 2).strip()
+    assert html.main_text(f"<div><h1>Title</h1><p>{PROSE * 2}</p><p>Short end.</p></div><footer>x</footer>") == f"Title\n\n{(PROSE * 2).strip()}\n\nShort end."
+
+
 def test_ambiguous_blocks_take_the_nearest_label():
     good, bad, near, short = html.GOOD, html.BAD, html.NEAR, html.SHORT_BLOCK
     assert html.second_pass([good, short, short, bad]) == [good, good, bad, bad]
