@@ -190,17 +190,26 @@ class Model:
         return out, starts, ends
 
     def path(self, scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-        """The labels of the words on the best path. Languages that nowhere gain on the text's best one what a switch costs are no candidates."""
+        """The labels of the words on the best path.
+
+        Short ways to it, all exact. Let no stretch of words gain more than one
+        switch costs by another language than the text's best one. A path of k
+        stretches pays for k - 1 switches, so it can only be better if none of
+        its stretches has the best language; and such a path gains at most what the
+        words' best other languages do. A language that gains on no stretch can be
+        replaced by the best one wherever it stands, without another switch.
+        """
         n, k = scores.shape
         best = int(np.argmax(scores.sum(axis=0, dtype=np.float64)))
-        # No stretch of words gains as much by another language as one switch costs: one label is the best path.
-        gain = np.cumsum(scores - scores[:, [best]], axis=0, dtype=np.float64)
+        lead = scores - scores[:, [best]]
+        gain = np.cumsum(lead, axis=0, dtype=np.float64)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
-        if (gain - low).max() <= penalty:
+        most = (gain - low).max(axis=0)
+        if most.max() <= penalty and (k == 1 or np.delete(lead, best, axis=1).max(axis=1).sum(dtype=np.float64) <= penalty):
             return np.full(n, best)
-        able = np.flatnonzero((gain - low).max(axis=0) > penalty)
+        able = np.setdiff1d(np.flatnonzero(most > 0), [best])
         if len(able) == 1:
-            return np.where(_two(scores[:, able[0]] - scores[:, best], penalty), able[0], best)
+            return np.where(_two(lead[:, able[0]], penalty), able[0], best)
         kept = np.sort(np.append(able, best))
         return kept[_many(scores[:, kept], penalty)]
 

@@ -539,6 +539,28 @@ def test_main_texts_awkward(spark):
 # languages
 
 
+def test_path_is_the_best_of_all_paths():
+    """Model.path against the best of all paths, for texts of three and four languages with long stretches, noise, ties and hopeless languages."""
+    rng = np.random.default_rng(7)
+    model, penalty = langid.Model([], np.zeros((0, 0)), np.zeros((0, 0))), 14.0
+    for case in range(1000):
+        k, n = 3 + case % 2, int(rng.integers(1, 40))
+        s = rng.normal(0, 8 if case % 3 else 3, (n, k))
+        for a in range(0, n, 10):
+            s[a : a + 10, rng.integers(k)] += rng.choice([0, 1, 2, 4])
+        if case % 5 == 0:
+            s[:, 0] = s.max(axis=1)  # nowhere worse
+        if case % 7 == 0:
+            s = np.round(s / 7) * 7  # ties
+        s = s.astype(np.float32)
+        value = s[0].astype(np.float64)
+        for row in s[1:]:
+            value = np.maximum(value, value.max() - penalty) + row
+        labels = model.path(s, penalty)
+        found = s[np.arange(n), labels].sum(dtype=np.float64) - penalty * (np.diff(labels) != 0).sum()
+        assert found == pytest.approx(value.max(), abs=1e-3), case
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
