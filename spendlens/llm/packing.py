@@ -4,12 +4,12 @@
    that only the first piece may be shorter; its rows are small.
 2. Pieces are dealt by hash into groups of about `GROUP` pieces. In each group
    `pack` places them best-fit, longest first, and then searches locally over
-   the underfull bins (filled less than `LOOSE`): it moves pieces, exchanges
-   one for one and two for one, whenever that makes the sum of squared fills
-   larger, which empties bins.
-3. If there was more than one group, the pieces of bins that are still
-   underfull are dealt and packed once more, together, so that groups don't
-   each keep their own leftovers.
+   the bins that aren't full: it moves pieces, exchanges one for one and two for
+   one, whenever that makes the sum of squared fills larger, which empties bins,
+   until nothing changes.
+3. If there was more than one group, the pieces of underfull bins (filled less
+   than `LOOSE`) are dealt and packed again, so that groups don't each keep their
+   own leftovers, until they are one group or a turn saves no bin.
 
 A null text counts as empty and is one piece: the end token. Ties are placed
 by doc_id, then piece. Rows with the same doc_id keep apart as pieces of
@@ -38,8 +38,6 @@ END = 0
 GROUP = 60_000
 LOOSE = 0.98
 VOCABULARY = "byte_bpe_50k.json"
-#: Passes of the local search over the underfull bins.
-PASSES = 4
 
 
 #: The vocabulary's split pattern for texts whose white space is single characters between others: without its
@@ -176,19 +174,21 @@ class _Held:
         return self.by[self.sizes[k]][-1] if k >= 0 and self.sizes[k] >= least else None
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, passes: int = PASSES) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Move and swap pieces between underfull bins while the sum of squared fills grows.
 
     Bins take in turn, fullest first, from those emptier than they are. With
     room r a bin takes a piece of at most r (move), or gives one of its pieces
-    x for one of x < y <= x + r, or two of together x. The fuller bin grows
-    and the emptier shrinks, so the squared fill increases and the emptiest
-    bins run dry.
+    x for one of x < y <= x + r, or two of together x. Pieces of one length are
+    alike, so all of a bin's pieces and pairs are tried by their lengths. The fuller
+    bin grows and the emptier shrinks, so the squared fill increases, the
+    emptiest bins run dry, and turns end when none changes anything.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     home = {i: b for b, members in enumerate(bins) for i in members}
-    for _ in range(passes):
-        takers = sorted((b for b in range(len(bins)) if 0 < fill[b] < LOOSE * size), key=lambda b: -fill[b])
+    changed = True
+    while changed:
+        takers = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: -fill[b])
         held = _Held(lengths)
         for b in takers:
             for i in bins[b]:
@@ -197,12 +197,17 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, passes: i
         for b in takers:
             for i in bins[b]:
                 held.remove(i)
-            while 0 < fill[b] < size:
-                room = size - fill[b]
-                own = sorted(bins[b], key=lambda i: lengths[i])[:16]
+            while 0 < fill[b] < size and held.sizes:
+                room, least = size - fill[b], held.sizes[0]
+                own = {lengths[i]: i for i in bins[b]}
+                sums = {0: ()} | {n: (i,) for n, i in own.items()}
+                for k, i in enumerate(bins[b]):
+                    for j in bins[b][:k]:
+                        sums.setdefault(lengths[i] + lengths[j], (i, j))
                 best: tuple[int, int, tuple[int, ...]] | None = None
-                for give in [(), *((i,) for i in own), *((i, j) for k, i in enumerate(own) for j in own[:k])]:
-                    x = sum(lengths[i] for i in give)
+                for x, give in sums.items():
+                    if x + room < least or (best is not None and best[0] == room):
+                        continue
                     got = held.longest(x + 1, x + room)
                     if got is not None and fill[home[got]] <= fill[b] and (best is None or lengths[got] - x > best[0]):
                         best = (lengths[got] - x, got, give)
@@ -222,8 +227,6 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, passes: i
                 fill[b] += gain
                 fill[other] -= gain
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -250,16 +253,34 @@ def _packer(size: int):
                 at += lengths[i]
             for i in members:
                 total[i] = at
-        return group[[*_KEYS, "length"]].assign(bin=group.part.iloc[0] * (1 << 32) + np.array(where, np.int64), offset=offset, fill=total)
+        return group[[*_KEYS, "length"]].assign(bin=(int(group.part.iloc[0]) << 32) + np.array(where, np.int64), offset=offset, fill=total)
 
     return run
 
 
-def _groups(pieces: DataFrame, n: int, size: int, name: str) -> DataFrame:
+def _groups(pieces: DataFrame, n: int, size: int, turn: int) -> DataFrame:
+    """The pieces dealt anew in each turn, and packed group by group; bins of different turns have different numbers."""
     parts = max(1, -(-n // GROUP))
-    return written(
-        pieces.withColumn("part", F.pmod(F.xxhash64(*_KEYS), F.lit(parts))).groupBy("part").applyInPandas(_packer(size), _PACKED), name
-    )
+    dealt = pieces.withColumn("part", F.lit(turn << 24) + F.pmod(F.xxhash64(F.lit(turn), *_KEYS), F.lit(parts)))
+    return written(dealt.groupBy("part").applyInPandas(_packer(size), _PACKED), f"op5-turn{turn}")
+
+
+def _placed(pieces: DataFrame, n: int, size: int) -> DataFrame:
+    """Every piece's bin and offset: pieces of underfull bins are dealt and packed again until they are one group, or a turn saves no bin."""
+    turn, out = 0, None
+    rows = _groups(pieces, n, size, turn)
+    while n > GROUP:
+        loose = rows.where(F.col("fill") < LOOSE * size)
+        left, bins = loose.agg(F.count("*"), F.count_distinct("bin")).first()
+        if not left:
+            break
+        turn += 1
+        again = _groups(loose.select(*_KEYS, "length"), left, size, turn)
+        if again.agg(F.count_distinct("bin")).first()[0] >= bins:
+            break
+        full = rows.where(F.col("fill") >= LOOSE * size)
+        out, rows, n = full if out is None else out.unionByName(full), again, left
+    return rows if out is None else out.unionByName(rows)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
@@ -270,13 +291,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
         counted.select("*", F.explode(F.expr("sequence(1, cast(`count` as int))")).alias("copy")).drop("count"), "op5-rows"
     )
     n = whole.count()
-    first = _groups(whole.select(*_KEYS, "length"), n, size, "op5-first")
-    loose = first.where(F.col("fill") < LOOSE * size)
-    left = loose.count()
-    placed = first
-    if n > GROUP and left:
-        last = _groups(loose.select(*_KEYS, "length"), left, size, "op5-last")
-        placed = first.where(F.col("fill") >= LOOSE * size).unionByName(last.withColumn("bin", -1 - F.col("bin")))
+    placed = _placed(whole.select(*_KEYS, "length"), n, size)
     on = [F.col(f"w.{k}").eqNullSafe(F.col(f"p.{k}")) for k in _KEYS]
     return whole.alias("w").join(placed.alias("p"), on[0] & on[1] & on[2] & on[3]).select(
         "w.doc_id", "w.piece", "w.start", "w.length", "w.ids_crc32", F.col("p.bin").alias("sequence_id"), "p.offset"

@@ -536,6 +536,34 @@ def test_main_texts_awkward(spark):
     assert html.main_texts(pages.limit(0), "page_id").count() == 0
 
 
+# packing over several groups
+
+
+def test_underfull_bins_are_packed_again(spark, monkeypatch):
+    """Groups of few pieces: their leftovers meet until one group is left, every piece once, bins of all turns apart."""
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 5), 0, 1, rng.randint(20, 900)) for i in range(400)]
+    placed = packing._placed(spark.createDataFrame(rows, "doc_id long, row_hash long, piece int, copy int, length long"), len(rows), 1000).collect()
+    assert sorted((r.doc_id, r.row_hash, r.length) for r in placed) == sorted((r[0], r[1], r[4]) for r in rows)
+    n = packing.check_packing([(r.bin, r.offset, r.length) for r in placed], 1000)
+    apart = sum(len(packing.pack([r[4] for r in rows[k::10]], 1000)) for k in range(10))
+    assert packing.lower_bound([r[4] for r in rows], 1000) <= n < apart
+    halves = spark.createDataFrame([(i, 0, 0, 1, 600) for i in range(100)], "doc_id long, row_hash long, piece int, copy int, length long")
+    assert len({r.bin for r in packing._placed(halves, 100, 1000).collect()}) == 100  # a turn that saves nothing is the last
+
+
+def test_ids_are_those_of_the_tokenizer(sf_dir):
+    """The faster ids against `tokenizers` on the given texts and on made ones of odd white space, marks and digits."""
+    import pyarrow.parquet as pq
+
+    fast = packing.encoder(vocabulary())
+    rng = random.Random(3)
+    odd = ["".join(rng.choice([" ", "  ", "\n", "\t", "\u00a0", "\u2003", "a", "B", "é", "e\u0301", "日", "٣", "7", "42", "'s", "'", "!", "...", "\U0001f600", "\x00", "_"]) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    for text in odd + [t for t in pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist() if t]:
+        assert np.frombuffer(fast.encode(text), "<u4").tolist() == fast.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # languages
 
 
