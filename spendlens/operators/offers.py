@@ -8,7 +8,7 @@ offer with the least ordinal, then store.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spendlens import shared
 from spendlens.functions import rules, text
@@ -22,13 +22,16 @@ def first_per_store(offers: DataFrame, n: int = 12) -> DataFrame:
     return offers.withColumn("place", F.row_number().over(W.partitionBy("store_id").orderBy("ordinal"))).where(F.col("place") <= n).drop("place")
 
 
+def sells(store: Column, category: str | None, store_ids: list[int] | None = None) -> Column:
+    """Whether a store sells a category and is one of the given stores, where these are given."""
+    kinds = F.array(*(F.array(*map(F.lit, k)) for k in rules.STORE_KINDS))
+    out = F.array_contains(F.get(kinds, store_kind(store)), category) if category else F.lit(True)
+    return out & store.isin(store_ids) if store_ids else out
+
+
 def stores_of_category(offers: DataFrame, category: str | None, store_ids: list[int] | None = None) -> DataFrame:
     """The offers of the stores that sell a category, and of the given stores."""
-    kinds = F.array(*(F.array(*map(F.lit, k)) for k in rules.STORE_KINDS))
-    out = offers
-    if category:
-        out = out.where(F.array_contains(F.get(kinds, store_kind(F.col("store_id"))), category))
-    return out.where(F.col("store_id").isin(store_ids)) if store_ids else out
+    return offers.where(sells(F.col("store_id"), category, store_ids))
 
 
 def _asked(offers: DataFrame, rows: list[tuple], schema: str) -> DataFrame:

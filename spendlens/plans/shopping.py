@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spendlens import streaming
+from spendlens import shared, streaming
 from spendlens.functions import rules
 from spendlens.functions.numbers import rounded
 from spendlens.operators import offers as op
@@ -136,7 +136,8 @@ _PRUNED = f"{STORE_OFFERS.replace('offers AS', 'every_offer AS')}, offers AS (SE
 
 
 def market_offers(spark, sf_dir):
-    return op.stores_of_category(store_offers(spark, sf_dir), "supermercado", MARKETS)
+    """What the parsers find in the chosen stores, written: searches read it more than once."""
+    return shared.written(store_offers(spark, sf_dir, MARKETS, "supermercado"), "market")
 
 
 @query("s17_store_search", f"{named(_PRUNED, _Q, _SEARCH)} SELECT query, place, store_id, name, price, score::INTEGER AS score FROM found WHERE place <= 24")
@@ -155,7 +156,7 @@ def a7_listed_stats(spark, sf_dir):
   SELECT query, store_id, (sum(k) OVER w)::BIGINT AS n, min(low) OVER w AS min_price, max(high) OVER w AS max_price, floor(sum(total) OVER w / sum(k) OVER w + 0.5)::BIGINT AS avg_price
   FROM per_store WINDOW w AS (PARTITION BY query ORDER BY store_id)""")
 def t9_merged_stats(spark, sf_dir):
-    return op.merged_stats(op.matching(store_offers(spark, sf_dir), QUERIES))
+    return op.merged_stats(op.matching(shared.written(store_offers(spark, sf_dir), "market"), QUERIES))
 
 
 @query("t9_search_stream", f"{named(OFFERS, _Q, _SEARCH)} SELECT query, place, store_id, name, price, score::INTEGER AS score FROM found WHERE place <= 24")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spendlens.functions import dates, numbers, rules, text
 from spendlens import shared
-from spendlens.operators import statements
+from spendlens.operators import offers, statements
 from spendlens.operators.tables import MonthTable
 from spendlens.registry import query
 from spendlens.sources import catalogues, domain, encrypted, pdf
@@ -199,63 +199,61 @@ def s4_encrypted_payloads(spark, sf_dir):
     return sent.where(encrypted.accepted(F.col("mime"))).select("id", F.decode(encrypted.decrypt(F.col("key"), F.col("iv"), F.col("body")), "UTF-8").alias("payload"))
 
 
-#: Parts of one page of a store, about 40 of each brand, where stores have pages.
+#: Parts of one page of a store, about 40 of each brand.
 PAGE = 1000
 
 
-def _payloads(spark, sf_dir, product: Column, wrap, kind: int | None = None) -> DataFrame:
-    """A payload of each brand: its parts as `product`, in order of size and key. With a kind: of the stores of that number, in bounded pages."""
-    parts = domain.table(spark, sf_dir, "part").withColumn("store_id", F.regexp_extract("p_brand", "[0-9]+", 0).cast("long"))
-    by = ["store_id"]
-    if kind is not None:
-        parts = parts.where(F.col("store_id") % len(READERS) == kind).withColumn("page", F.floor(F.col("p_partkey") / PAGE))
-        by.append("page")
-    listed = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("p_partkey", product.alias("p")))).alias("all"))
-    return listed.select(*by, F.lit("https://store.example").alias("base_url"), wrap(F.transform("all", lambda x: x["p"])).alias("payload"))
+def _payloads(spark, sf_dir, product: Column, wrap, wanted: Column | None = None) -> DataFrame:
+    """A payload of each page of each brand: its parts as `product`, in order of key. `wanted`, over store_id, leaves stores out before anything is made."""
+    parts = domain.table(spark, sf_dir, "part").withColumn("store_id", F.regexp_extract("p_brand", "[0-9]+", 0).cast("long")).withColumn("page", F.floor(F.col("p_partkey") / PAGE))
+    if wanted is not None:
+        parts = parts.where(wanted)
+    listed = parts.groupBy("store_id", "page").agg(F.array_sort(F.collect_list(F.struct("p_partkey", product.alias("p")))).alias("all"))
+    return listed.select("store_id", "page", F.lit("https://store.example").alias("base_url"), wrap(F.transform("all", lambda x: x["p"])).alias("payload"))
 
 
-_LISTED = """p AS (SELECT regexp_extract(p_brand, '[0-9]+')::BIGINT AS store_id, * FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY p_partkey) - 1 AS ordinal FROM p WHERE {})"""
+_LISTED = """p AS (SELECT regexp_extract(p_brand, '[0-9]+')::BIGINT AS store_id, p_partkey // 1000 AS page, * FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY store_id, page ORDER BY p_partkey) - 1 AS ordinal FROM p WHERE {})"""
 
 
-def _product_list(spark, sf_dir, kind: int | None = None) -> DataFrame:
+def _product_list(spark, sf_dir, wanted: Column | None = None) -> DataFrame:
     price = F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice"))
     offer = F.struct(price.alias("Price"), F.greatest(F.col("p_size") - 10, F.lit(0)).alias("AvailableQuantity"))
     product = F.struct(F.col("p_name").alias("productName"), F.col("p_partkey").cast("string").alias("linkText"), F.array(F.struct(F.array(F.struct(offer.alias("commertialOffer"))).alias("sellers"))).alias("items"))
-    return catalogues.product_json(_payloads(spark, sf_dir, product, F.to_json, kind))
+    return catalogues.product_json(_payloads(spark, sf_dir, product, F.to_json, wanted))
 
 
-@query("s7_product_json", f"WITH {_LISTED.format('p_partkey % 5 <> 0')} SELECT store_id, ordinal::INTEGER AS ordinal, p_name AS name, p_retailprice AS price, 'https://store.example/' || p_partkey || '/p' AS url, p_size > 10 AS available FROM k WHERE ordinal < 12")
+@query("s7_product_json", f"WITH {_LISTED.format('p_partkey % 5 <> 0')} SELECT store_id, page, ordinal::INTEGER AS ordinal, p_name AS name, p_retailprice AS price, 'https://store.example/' || p_partkey || '/p' AS url, p_size > 10 AS available FROM k WHERE ordinal < 12")
 def s7_product_json(spark, sf_dir):
-    return _product_list(spark, sf_dir).select("store_id", "ordinal", "name", "price", "url", "available")
+    return _product_list(spark, sf_dir).select("store_id", "page", "ordinal", "name", "price", "url", "available")
 
 
-def _embedded(spark, sf_dir, kind: int | None = None) -> DataFrame:
+def _embedded(spark, sf_dir, wanted: Column | None = None) -> DataFrame:
     product = F.struct(F.col("p_name").alias("Name"), F.col("p_partkey").cast("string").alias("Code"), F.concat(F.lit("$ "), F.floor("p_retailprice").cast("string")).alias("Price"), (F.col("p_partkey") % 7 == 0).alias("Soldout"))
-    pages = _payloads(spark, sf_dir, product, lambda a: F.concat(F.lit('<html><script>var s = {"Product":'), F.to_json(a), F.lit("};</script></html>")), kind)
+    pages = _payloads(spark, sf_dir, product, lambda a: F.concat(F.lit('<html><script>var s = {"Product":'), F.to_json(a), F.lit("};</script></html>")), wanted)
     return catalogues.embedded_json(pages)
 
 
-@query("s8_embedded_json", f"WITH {_LISTED.format('p_partkey % 7 <> 0')} SELECT store_id, ordinal::INTEGER AS ordinal, p_name AS name, floor(p_retailprice)::DOUBLE AS price, 'https://store.example/p/' || lpad(p_partkey::VARCHAR, 6, '0') AS url FROM k WHERE ordinal < 12")
+@query("s8_embedded_json", f"WITH {_LISTED.format('p_partkey % 7 <> 0')} SELECT store_id, page, ordinal::INTEGER AS ordinal, p_name AS name, floor(p_retailprice)::DOUBLE AS price, 'https://store.example/p/' || lpad(p_partkey::VARCHAR, 6, '0') AS url FROM k WHERE ordinal < 12")
 def s8_embedded_json(spark, sf_dir):
-    return _embedded(spark, sf_dir).select("store_id", "ordinal", "name", "price", "url")
+    return _embedded(spark, sf_dir).select("store_id", "page", "ordinal", "name", "price", "url")
 
 
-def _graph(spark, sf_dir, strict: bool, kind: int | None = None) -> DataFrame:
+def _graph(spark, sf_dir, strict: bool, wanted: Column | None = None) -> DataFrame:
     low = F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice"))
     offer = F.struct((F.col("p_retailprice") + 1).alias("price"), (F.col("p_retailprice") * 2).alias("listPrice"), F.when(F.col("p_size") > 10, "http://schema/InStock").alias("availability"))
     node = F.struct(F.struct(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("slug"), F.struct(low.alias("lowPrice"), F.array(offer).alias("offers")).alias("offers")).alias("node"))
-    payloads = _payloads(spark, sf_dir, node, lambda a: F.to_json(F.struct(F.struct(F.struct(F.struct(a.alias("edges")).alias("products")).alias("search")).alias("data"))), kind)
+    payloads = _payloads(spark, sf_dir, node, lambda a: F.to_json(F.struct(F.struct(F.struct(F.struct(a.alias("edges")).alias("products")).alias("search")).alias("data"))), wanted)
     return catalogues.graph_json(payloads, strict)
 
 
-@query("s9_graph_json", f"WITH {_LISTED.format('p_partkey % 3 <> 0')} SELECT store_id, ordinal::INTEGER AS ordinal, p_name AS name, p_retailprice AS price, p_retailprice * 2 AS list_price, p_size > 10 AS available FROM k WHERE ordinal < 12")
+@query("s9_graph_json", f"WITH {_LISTED.format('p_partkey % 3 <> 0')} SELECT store_id, page, ordinal::INTEGER AS ordinal, p_name AS name, p_retailprice AS price, p_retailprice * 2 AS list_price, p_size > 10 AS available FROM k WHERE ordinal < 12")
 def s9_graph_json(spark, sf_dir):
-    return _graph(spark, sf_dir, True).select("store_id", "ordinal", "name", "price", "list_price", "available")
+    return _graph(spark, sf_dir, True).select("store_id", "page", "ordinal", "name", "price", "list_price", "available")
 
 
-@query("s10_graph_json_lenient", f"WITH {_LISTED.format('true')} SELECT store_id, ordinal::INTEGER AS ordinal, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice ELSE p_retailprice + 1 END AS price, p_retailprice * 2 AS list_price, true AS available FROM k WHERE ordinal < 12")
+@query("s10_graph_json_lenient", f"WITH {_LISTED.format('true')} SELECT store_id, page, ordinal::INTEGER AS ordinal, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice ELSE p_retailprice + 1 END AS price, p_retailprice * 2 AS list_price, true AS available FROM k WHERE ordinal < 12")
 def s10_graph_json_lenient(spark, sf_dir):
-    return _graph(spark, sf_dir, False).select("store_id", "ordinal", "name", "price", "list_price", "available")
+    return _graph(spark, sf_dir, False).select("store_id", "page", "ordinal", "name", "price", "list_price", "available")
 
 
 _MARKUP = {
@@ -267,18 +265,18 @@ _MARKUP = {
 }
 
 
-def _html(spark, sf_dir, layout: str, kind: int | None = None) -> DataFrame:
+def _html(spark, sf_dir, layout: str, wanted: Column | None = None) -> DataFrame:
     filled = text.fill_template(F.lit(_MARKUP[layout].replace("{", "{{").replace("}", "}}")), {"id": F.col("p_partkey"), "name": F.col("p_name"), "price": F.regexp_replace(F.format_number(F.floor("p_retailprice"), 0), ",", ".")})
-    pages = _payloads(spark, sf_dir, filled, lambda a: F.concat(F.lit('<html><body><div id="catalogoProductos">'), F.array_join(a, ""), F.lit("</div></body></html>")), kind)
+    pages = _payloads(spark, sf_dir, filled, lambda a: F.concat(F.lit('<html><body><div id="catalogoProductos">'), F.array_join(a, ""), F.lit("</div></body></html>")), wanted)
     return catalogues.html_pages(pages, layout)
 
 
 def _html_query(layout: str, number: int) -> None:
-    sql = f"WITH {_LISTED.format('true')} SELECT store_id, ordinal::INTEGER AS ordinal, p_name AS name, floor(p_retailprice)::DOUBLE AS price, 'https://store.example/' || p_partkey AS url FROM k WHERE ordinal < 12"
+    sql = f"WITH {_LISTED.format('true')} SELECT store_id, page, ordinal::INTEGER AS ordinal, p_name AS name, floor(p_retailprice)::DOUBLE AS price, 'https://store.example/' || p_partkey AS url FROM k WHERE ordinal < 12"
 
     @query(f"s{number}_html_{layout}", sql)
     def run(spark, sf_dir):
-        return _html(spark, sf_dir, layout).select("store_id", "ordinal", "name", "price", "url")
+        return _html(spark, sf_dir, layout).select("store_id", "page", "ordinal", "name", "price", "url")
 
 
 for _i, _layout in enumerate(_MARKUP):
@@ -293,9 +291,12 @@ STORE_OFFERS = f"""listed AS (SELECT *, p_partkey // {PAGE} AS page, regexp_extr
   offers AS (SELECT store_id, (page * 12 + place - 1)::BIGINT AS ordinal, p_name AS name, price FROM placed WHERE place <= 12)"""
 
 
-def store_offers(spark, sf_dir) -> DataFrame:
-    """The union of all parsers' offers, from every page of every store."""
-    return catalogues.union([read(spark, sf_dir, kind=i) for i, read in enumerate(READERS)])
+def store_offers(spark, sf_dir, stores: list[int] | None = None, category: str | None = None) -> DataFrame:
+    """The union of all parsers' offers, from every page of every store, or of the given stores and those that sell a category: others' pages aren't read."""
+    of = lambda kind: F.col("store_id") % len(READERS) == kind
+    chosen = offers.sells(F.col("store_id"), category, stores)
+    kinds = [k for k in range(len(READERS)) if stores is None or any(s % len(READERS) == k for s in stores)]
+    return catalogues.union([READERS[k](spark, sf_dir, wanted=of(k) & chosen) for k in kinds])
 
 
 @query("s6_page_outline")

@@ -9,6 +9,7 @@ name, price, list_price, url, image, available.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -76,24 +77,19 @@ def graph_json(payloads: DataFrame, strict: bool = True) -> DataFrame:
     ))))
 
 
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|\[|\]', re.S)
+
+
 def bracketed(text: str, mark: str) -> str | None:
-    """The JSON array that starts at the `[` which ends `mark`, found by bracket depth outside strings."""
+    """The JSON array that starts at the `[` which ends `mark`, found by the depth of brackets outside strings."""
     at = text.find(mark)
     if at < 0:
         return None
-    start, depth, quoted, skip = at + len(mark) - 1, 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[]":
-            depth += 1 if c == "[" else -1
-            if not depth:
-                return text[start : i + 1]
+    start, depth = at + len(mark) - 1, 0
+    for m in _BRACKET.finditer(text, start):
+        depth += (m[0] == "[") - (m[0] == "]")
+        if not depth:
+            return text[start : m.end()]
     return None
 
 
