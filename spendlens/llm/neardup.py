@@ -23,9 +23,12 @@ of 0.75 or more are linked; the components of the links are the groups.
    band, block against block. A task compares the sketches of two blocks as
    arrays and returns the nodes that are in a likely pair; these meet again
    under the same key with their texts, are confirmed, most alike first, and
-   only links that join two components of the block leave the task. So rows
-   grow with nodes, never with pairs, and no group is collected whole: blocks
-   are dealt by number and by size of the sets.
+   only links that join two components of the block leave the task. A straggler
+   is a row for each block of its band's nodes and a node one for each block of
+   stragglers, so rows are stragglers times nodes of a band over half of `BLOCK`:
+   few where pivots have joined nearly all, but in a band with very many
+   stragglers they grow with the square. No group is collected whole: blocks are
+   dealt by number and by size of the sets.
 
 Null or empty texts and texts without words have an empty set and link with
 nothing. Repeated rows are copies of each other. A null doc_id stays null and

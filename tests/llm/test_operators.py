@@ -57,6 +57,14 @@ def test_near_groups(docs):
     assert found == expected
 
 
+def test_near_groups_of_the_given_documents(spark, sf_dir):
+    """Every group of the given documents, as all pairs of plain sets give them."""
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    expected = neardup.brute_force([(r.doc_id, r.text) for r in given.collect()])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(given).collect()} == expected
+    assert len({c for _, c in expected.values()}) < len(expected)
+
+
 def test_near_groups_of_many_kinds(spark):
     rng = random.Random(9)
     base = words(rng, 60).split()
