@@ -35,26 +35,37 @@ def postings(texts: DataFrame, text: str, least: int = SIZE) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).withColumn("gram", F.explode(F.concat(*(grams(F.col(text), n) for n in sizes))))
 
 
-def rarest(words: DataFrame, posted: DataFrame, word: str, *keys: str) -> DataFrame:
+def text_counts(posted: DataFrame, *keys: str) -> DataFrame:
+    """How many texts have each gram."""
+    return posted.groupBy(*keys, "gram").agg(F.count("*").alias("texts"))
+
+
+def rarest(words: DataFrame, counts: DataFrame, word: str, *keys: str) -> DataFrame:
     """The rows of `words` with `gram`, the one that fewest texts of their keys have, and `texts`, how many; words with a gram that none has go."""
     asked = words.select(*keys, word).distinct().withColumn("gram", F.explode(word_grams(F.col(word))))
-    counts = posted.join(asked.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi").groupBy(*keys, "gram").agg(F.count("*").alias("texts"))
     counted = asked.join(counts, [*keys, "gram"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     best = counted.groupBy(*keys, word).agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.min("texts").alias("texts")).where("texts > 0")
     return words.join(best, [*keys, word])
 
 
-def containing(words: DataFrame, posted: DataFrame, word: str, text: str, *keys: str) -> DataFrame:
+def containing(words: DataFrame, posted: DataFrame, counts: DataFrame, word: str, text: str, *keys: str) -> DataFrame:
     """Rows of `words` and of the texts that `postings` holds, with equal keys, where the text contains the word; other column names differ."""
-    found = rarest(words, posted, word, *keys).drop("texts").join(posted, [*keys, "gram"])
+    found = rarest(words, counts, word, *keys).drop("texts").join(posted, [*keys, "gram"])
     return found.where(F.contains(F.col(text), F.col(word))).drop("gram")
 
 
+def _inside(words: DataFrame, texts: DataFrame, word: str, text: str, *keys: str) -> DataFrame:
+    """`containing` over texts that aren't indexed yet; only grams that a word has are counted."""
+    asked = words.select(*keys, F.explode(word_grams(F.col(word))).alias("gram")).distinct()
+    posted = postings(texts, text, 0).join(asked, [*keys, "gram"], "left_semi")
+    return containing(words, posted, text_counts(posted, *keys), word, text, *keys)
+
+
 def either_containing(a: DataFrame, b: DataFrame, one: str, other: str, *keys: str) -> DataFrame:
     """Rows of `a` and of `b` with equal keys where one of two texts contains the other, once each.
 
     The shorter text is the word; of two equal lengths only equal texts match.
     """
-    inside = containing(a, postings(b, other, 0), one, other, *keys).where(F.length(one) <= F.length(other))
-    around = containing(b, postings(a, one, 0), other, one, *keys).where(F.length(other) < F.length(one))
+    inside = _inside(a, b, one, other, *keys).where(F.length(one) <= F.length(other))
+    around = _inside(b, a, other, one, *keys).where(F.length(other) < F.length(one))
     return inside.unionByName(around)

@@ -38,24 +38,36 @@ def _asked(offers: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return offers.sparkSession.createDataFrame(rows, schema)
 
 
-def name_index(offers: DataFrame) -> DataFrame:
-    """name, folded, gram: the distinct names' postings for searches, written once; every search reads them there."""
-    names = offers.select("name").distinct().withColumn("folded", text.fold(F.col("name")))
-    return shared.written(gram_index.postings(names, "folded"), "names")
+class NameIndex:
+    """The distinct names' postings and how many names have each gram, written once; every search reads them there."""
 
+    def __init__(self, names: DataFrame, key: str, least: int = gram_index.SIZE):
+        self.key = key
+        self.postings = shared.written(gram_index.postings(names, key, least), "names")
+        self.counts = shared.written(gram_index.text_counts(self.postings), "grams")
 
-def judged_strictly(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, name, score of the names that have all keywords of a query (query, words), found by its rarest keyword."""
+    def containing(self, words: DataFrame) -> DataFrame:
+        return gram_index.containing(words, self.postings, self.counts, "word", self.key)
+
+
+def name_index(offers: DataFrame) -> NameIndex:
+    """name, folded: the names as searches see them."""
+    return NameIndex(offers.select("name").distinct().withColumn("folded", text.fold(F.col("name"))), "folded")
+
+
+def judged_strictly(index: NameIndex, queries: DataFrame) -> DataFrame:
+    """query, name, score of the names that have all keywords of a query (query, words), found by its rarest keyword; written, as more than one step asks for them."""
     words = queries.select("query", "words", F.explode("words").alias("word"))
-    anchor = gram_index.rarest(words, index, "word").groupBy("query", "words").agg(F.min_by(F.struct("word", "gram"), F.struct("texts", "word")).alias("a"), F.count_distinct("word").alias("known"))
+    anchor = gram_index.rarest(words, index.counts, "word").groupBy("query", "words").agg(F.min_by(F.struct("word", "gram"), F.struct("texts", "word")).alias("a"), F.count_distinct("word").alias("known"))
     anchor = anchor.where(F.col("known") == F.size(F.array_distinct("words"))).select("query", "words", "a.word", "a.gram")
-    return _scored(anchor.join(index, "gram")).where((F.col("verdict.score") > 0) & (F.col("verdict.matched") >= F.size("words"))).select("query", "name", "verdict.score")
+    found = _scored(anchor.join(index.postings, "gram")).where((F.col("verdict.score") > 0) & (F.col("verdict.matched") >= F.size("words")))
+    return shared.written(found.select("query", "name", "verdict.score"), "strict")
 
 
-def judged_loosely(index: DataFrame, queries: DataFrame) -> DataFrame:
+def judged_loosely(index: NameIndex, queries: DataFrame) -> DataFrame:
     """query, name, score of the names that have a query's first keyword, and one of its keywords in their first word; queries of one keyword have none."""
     first = queries.where(F.size("words") > 1).withColumn("word", F.get("words", F.lit(0)))
-    found = _scored(gram_index.containing(first, index, "word", "folded"))
+    found = _scored(index.containing(first))
     return found.where((F.col("verdict.score") > 0) & F.col("verdict.main_noun")).select("query", "name", "verdict.score")
 
 
@@ -79,9 +91,10 @@ def matching(offers: DataFrame, queries: list[str]) -> DataFrame:
     """
     asked, index = with_keywords(offers, queries), name_index(offers)
     strict = judged_strictly(index, asked.where(F.size("words") > 0))
-    loose = judged_loosely(index, asked.join(strict.select("query").distinct(), "query", "left_anti"))
+    without = asked.where(F.size("words") > 1).join(strict.select("query").distinct(), "query", "left_anti")
+    found = offers.join(strict.unionByName(judged_loosely(index, without)) if without.limit(1).count() else strict, "name")
     every = asked.where(F.size("words") == 0).select("query", F.lit(0).alias("score"))
-    return offers.join(strict.unionByName(loose), "name").unionByName(offers.join(every))
+    return found.unionByName(offers.join(every)) if every.limit(1).count() else found
 
 
 def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:
@@ -127,13 +140,13 @@ def relevant_names(offers: DataFrame, items: DataFrame) -> DataFrame:
     An item without tokens finds every name; its score is 0.
     """
     names = offers.select("name").distinct().withColumn("product", text.product_key(F.col("name")))
-    index = shared.written(gram_index.postings(names, "product", 2), "products")
+    index = NameIndex(names, "product", 2)
     asked = items.withColumn("words", text.tokens(F.col("item")))
     some = asked.where(F.size("words") > 0).withColumn("word", F.explode(text.with_synonyms(F.get("words", F.lit(0)))))
-    found = gram_index.containing(some, index, "word", "product").where(text.is_relevant(F.col("words"), F.col("product")))
+    found = index.containing(some).where(text.is_relevant(F.col("words"), F.col("product")))
     scored = found.withColumn("score", text.relevance(F.col("words"), F.col("product"))).select(*items.columns, "name", "score").distinct()
-    every = asked.where(F.size("words") == 0).select(*items.columns).join(names.select("name", F.lit(0.0).alias("score")))
-    return scored.unionByName(every)
+    every = asked.where(F.size("words") == 0).select(*items.columns)
+    return scored.unionByName(every.join(names.select("name", F.lit(0.0).alias("score")))) if every.limit(1).count() else scored
 
 
 def best_offers(offers: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:

@@ -33,14 +33,19 @@ def all_offers(spark, sf_dir):
     return domain.offers(spark, sf_dir)
 
 
+def searched_offers(spark, sf_dir):
+    """All offers, written: a search reads them for their names and for what it finds."""
+    return shared.written(all_offers(spark, sf_dir), "offers")
+
+
 @query("d7_price_search", f"{named(OFFERS, _Q, _SEARCH)} SELECT query, place, store_id, name, price, score::INTEGER AS score FROM found WHERE place <= 24")
 def d7_price_search(spark, sf_dir):
-    return op.search(all_offers(spark, sf_dir), QUERIES, 24)
+    return op.search(searched_offers(spark, sf_dir), QUERIES, 24)
 
 
 @query("a7_price_stats", f"""{named(OFFERS, _Q, _SEARCH)} SELECT query, min(price) AS min_price, max(price) AS max_price, floor(avg(price) + 0.5)::BIGINT AS avg_price, count(*) AS n, count(DISTINCT store_id) AS stores FROM found GROUP BY 1""")
 def a7_price_stats(spark, sf_dir):
-    return op.price_stats(op.matching(all_offers(spark, sf_dir), QUERIES))
+    return op.price_stats(op.matching(searched_offers(spark, sf_dir), QUERIES))
 
 
 _BEST = """t AS (SELECT item_id, item, quantity, string_split(lower(item), ' ') AS words FROM i), r AS (SELECT DISTINCT name FROM offers),
@@ -52,7 +57,7 @@ _TOTALS = """names AS (SELECT list(item) AS items FROM i), rolled AS (SELECT sto
 
 
 def best(spark, sf_dir):
-    return op.best_offers(all_offers(spark, sf_dir), ITEMS)
+    return op.best_offers(searched_offers(spark, sf_dir), ITEMS)
 
 
 @query("w4_best_offers", f"{named(OFFERS, _I, _BEST)} SELECT * FROM best")
@@ -86,7 +91,7 @@ _LIMITS = ["3", "2.9", "", "abc", "-5", "0", " 7 ", "1e2", ".5", "100000"]
   lim(typed, last) AS (VALUES ('3', 3), ('2.9', 2), ('', NULL), ('abc', NULL), ('-5', -5), ('0', 0), (' 7 ', 7), ('1e2', 1), ('.5', 0), ('100000', 100000))
   SELECT typed AS "limit", count(*) AS n, max(place)::INTEGER AS last FROM hit, lim, every WHERE place <= CASE WHEN lim.last IS NULL THEN total WHEN lim.last < 0 THEN total + lim.last ELSE lim.last END GROUP BY 1""")
 def o12_typed_limits(spark, sf_dir):
-    ranked = op.search(all_offers(spark, sf_dir), ["red plate"])
+    ranked = op.search(searched_offers(spark, sf_dir), ["red plate"])
     limits = spark.createDataFrame([("red plate", x) for x in _LIMITS], "query string, limit string")
     return op.limited(ranked, limits).groupBy("limit").agg(F.count("*").alias("n"), F.max("place").alias("last"))
 
