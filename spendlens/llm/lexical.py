@@ -1,8 +1,10 @@
 """Ranked lexical search over document-range blocks, pruned by the blocks' per-term maxima.
 
-1. `index` cuts the documents, in the order in which they are stored, into
-   blocks of at most `DOCS` documents and about `BYTES` of text. A block is one
-   row: its forward index (for each document its terms and their counts, as
+1. `index` sorts each window of stored documents (`WINDOW` of them, or about
+   `WINDOW_BYTES` of text) by their most frequent term, which tells languages apart,
+   and by length, and cuts it into blocks of at most `DOCS` documents and about
+   `BYTES` of text: the more alike a block's documents are, the closer its maxima
+   are to any of them. A block is one row: its forward index (for each document its terms and their counts, as
    indices into the block's vocabulary) and, for each term of the vocabulary, its
    document count, its largest count and the length of its shortest document.
    Those bound what the term can add to any score in the block, whatever the
@@ -45,7 +47,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import batches, utf8, work_dir, written
 
 #: Documents, and bytes of text after which no more are added, of a block.
-DOCS, BYTES = 64, 1 << 18
+DOCS, BYTES = 16, 1 << 18
+#: Documents that are sorted together, and the bytes of text after which no more are added.
+WINDOW, WINDOW_BYTES = 1000, 1 << 22
 #: Blocks scored for each item's first threshold, and documents returned.
 FIRST, TOP = 8, 10
 #: Items, and terms of items, that one slice is expected to hold: what goes to every task.
@@ -76,11 +80,11 @@ class _Block:
         self.tfs: list[int] = []
         self.bytes = 0
 
-    def add(self, doc_id: int | None, row_hash: int, found: list[bytes], size: int) -> None:
-        counts, number = Counter(found), self.vocabulary
+    def add(self, doc_id: int | None, row_hash: int, counts: Counter, length: int, size: int) -> None:
+        number = self.vocabulary
         self.ids.append(doc_id)
         self.hashes.append(row_hash)
-        self.lengths.append(len(found))
+        self.lengths.append(length)
         self.terms += [number.setdefault(t, len(number)) for t in counts]
         self.tfs += counts.values()
         self.ends.append(len(self.terms))
@@ -102,27 +106,37 @@ _KINDS = [pa.int64(), *map(pa.list_, (pa.int64(), pa.int64(), pa.int64(), pa.bin
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
 
 
-def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done, block, task = 0, _Block(), TaskContext.get().partitionId()
-
-    def send() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(block.row(task << 32 | done), _KINDS)], _NAMES)
-
+def _windows(stream: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The documents with terms, by windows, like ones together: most frequent term, length, place, doc_id, row_hash, counts, bytes."""
+    held: list[tuple] = []
+    size = 0
     for batch in stream:
         for doc_id, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
             if found := terms_of(text):
-                block.add(doc_id, row_hash, found, len(text))
-                if len(block.ids) == DOCS or block.bytes >= BYTES:
-                    yield send()
-                    done, block = done + 1, _Block()
-    if block.ids:
-        yield send()
+                counts = Counter(found)
+                held.append((max(counts, key=counts.get), len(found), len(held), doc_id, row_hash, counts, len(text)))
+                size += len(text)
+                if len(held) == WINDOW or size >= WINDOW_BYTES:
+                    yield sorted(held, key=lambda d: d[:3])
+                    held, size = [], 0
+    yield sorted(held, key=lambda d: d[:3])
+
+
+def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done, task = 0, TaskContext.get().partitionId()
+    for window in _windows(stream):
+        block = _Block()
+        for k, (_, length, _, doc_id, row_hash, counts, size) in enumerate(window):
+            block.add(doc_id, row_hash, counts, length, size)
+            if len(block.ids) == DOCS or block.bytes >= BYTES or k + 1 == len(window):
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(block.row(task << 32 | done), _KINDS)], _NAMES)
+                done, block = done + 1, _Block()
 
 
 def index(docs: DataFrame) -> DataFrame:
     """The blocks of `docs` (doc_id, text), written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text").where("text is not null")
-    with batches(docs.sparkSession):
+    with batches(docs.sparkSession, rows=500, mb=4):
         return written(rows.mapInArrow(_blocks, BLOCK), "lexical-index")
 
 
@@ -304,7 +318,7 @@ def search(blocks: DataFrame, asked: DataFrame) -> DataFrame:
             items = of.agg(F.collect_list(F.struct("term", "weight")).alias("t")).select("item_id", "item_hash", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")).collect()
             if items:
                 keys = spark.createDataFrame([(i, r.item_id, r.item_hash) for i, r in enumerate(items)], "item int, item_id long, item_hash long")
-                with batches(spark, rows=16):
+                with batches(spark, rows=64):
                     hits = _search_slice(blocks, Slice(items, n, length))
                     hits.join(F.broadcast(keys), "item").select("item_id", "item_hash", "doc_id", "row_hash", "score").write.mode("append").parquet(path)
     return _ranked(spark.read.schema(out).parquet(path), "item_id", "item_hash").select("item_id", "item_hash", "rank", "doc_id", "row_hash", "score")
