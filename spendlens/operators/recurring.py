@@ -13,6 +13,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spendlens import shared
 from spendlens.functions import dates, text
 from spendlens.functions.numbers import half_up
 
@@ -43,6 +44,7 @@ def candidates(charges: DataFrame, registered: DataFrame, as_of: dt.datetime, mo
     )
     gap = F.datediff("last_charge", "first") / (F.col("occurrences") - 1)
     steady = groups.where(gap.between(LEAST_GAP, MOST_GAP) & (F.greatest(F.col("high") - F.col("mean"), F.col("mean") - F.col("low")) / F.col("mean") <= DEVIATION))
+    steady = shared.written(steady, "steady")  # few of the groups, read three times
     known = registered.select("user_id", "name").distinct().select("user_id", text.subscription_key("name").alias("name_key")).distinct()
     taken = gram_index.either_containing(steady.select("user_id", "key"), known, "key", "name_key", "user_id").select("user_id", "key").distinct()
     fresh = steady.join(taken, ["user_id", "key"], "left_anti")
@@ -58,6 +60,7 @@ def latest_charges(subscriptions: DataFrame, charges: DataFrame, as_of: dt.datet
     rows = charges.where((F.col("type") == "debit") & (F.col("amount") > 0) & dates.trailing_months(F.col("ts"), as_of, months))
     described = rows.groupBy("user_id", "description").agg(F.max(F.struct("ts", "id", "amount")).alias("last"))
     paid = described.withColumn("key", text.subscription_key("description")).where("key is not null").groupBy("user_id", "key").agg(F.max("last").alias("last"))
+    paid = shared.written(paid, "paid")  # read once as the shorter names and once as the longer
     subs = subscriptions.where("is_active and amount is not null").select("id", "user_id", "name", "amount")
     names = subs.select("id", "user_id", text.subscription_key("name").alias("name_key")).where("name_key is not null")
     last = gram_index.either_containing(names, paid, "name_key", "key", "user_id").groupBy("id", "user_id").agg(F.max("last").alias("last"))
