@@ -55,9 +55,14 @@ def containing(words: DataFrame, posted: DataFrame, counts: DataFrame, word: str
 
 
 def _inside(words: DataFrame, texts: DataFrame, word: str, text: str, *keys: str) -> DataFrame:
-    """`containing` over texts that aren't indexed yet; only grams that a word has are counted."""
+    """`containing` over texts that aren't indexed yet; only grams that a word has are counted.
+
+    Texts exploded into grams look as small as the texts to the planner, which would
+    send them through the driver: all these joins are by sorting.
+    """
+    words = words.hint("merge")
     asked = words.select(*keys, F.explode(word_grams(F.col(word))).alias("gram")).distinct()
-    posted = postings(texts, text, 0).join(asked, [*keys, "gram"], "left_semi")
+    posted = postings(texts, text, 0).join(asked, [*keys, "gram"], "left_semi").hint("merge")
     return containing(words, posted, text_counts(posted, *keys), word, text, *keys)
 
 

@@ -292,3 +292,11 @@ def test_typed_limits(spark):
     cases = {"3": 3, "2.9": 2, "": None, "abc": None, "-5": -5, "0": 0, " 7 ": 7, "1e2": 1, ".5": 0, None: None, "5 rows": None}
     found = spark.createDataFrame([(k,) for k in cases], "t string").select("t", numbers.lenient_limit(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in found} == cases
+
+
+def test_texts_in_texts_are_not_broadcast(spark):
+    from spendlens.operators import gram_index
+
+    a, b = (spark.createDataFrame([(1, "part 12")], f"user_id long, {c} string") for c in ("one", "other"))
+    plan = gram_index.either_containing(a, b, "one", "other", "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
