@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spendlens import shared
 from spendlens.functions import rules, text
-from spendlens.functions.numbers import half_up, lenient_limit
+from spendlens.functions.numbers import half_up, lenient_limit, rounded
 from spendlens.sources.domain import store_kind
 
 from . import gram_index, ranks
@@ -173,8 +173,9 @@ def store_baskets(best: DataFrame, items: list[tuple[int, str, int]]) -> DataFra
 
 
 def store_totals(best: DataFrame, items: list[tuple[int, str, int]]) -> DataFrame:
-    """`store_baskets` with rank: full stores by total, then others by found."""
-    rank_by = [F.col("is_full").desc(), F.when(F.col("is_full"), F.col("total")).asc_nulls_last(), F.when(~F.col("is_full"), F.col("found")).desc_nulls_last(), F.col("store_id").asc()]
+    """`store_baskets` with rank: full stores by total in cents, then others by found; totals that differ by less are equal."""
+    cents = rounded(F.col("total"), 2)
+    rank_by = [F.col("is_full").desc(), F.when(F.col("is_full"), cents).asc_nulls_last(), F.when(~F.col("is_full"), F.col("found")).desc_nulls_last(), F.col("store_id").asc()]
     return ranks.ranked(store_baskets(best, items), "rank", *rank_by)
 
 

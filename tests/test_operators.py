@@ -300,3 +300,9 @@ def test_texts_in_texts_are_not_broadcast(spark):
     a, b = (spark.createDataFrame([(1, "part 12")], f"user_id long, {c} string") for c in ("one", "other"))
     plan = gram_index.either_containing(a, b, "one", "other", "user_id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_store_totals_that_differ_by_less_than_a_cent_are_equal(spark):
+    best = spark.createDataFrame([(1, "a", 1, 1, 0.1), (2, "b", 1, 1, 0.2), (1, "a", 1, 2, 0.15), (2, "b", 1, 2, 0.15)], "item_id int, item string, quantity int, store_id long, price double")
+    totals = offers.store_totals(best, [(1, "a", 1), (2, "b", 1)])
+    assert [r.store_id for r in totals.orderBy("rank").collect()] == [1, 2]
