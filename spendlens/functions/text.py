@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from . import rules
@@ -28,8 +30,9 @@ _W = "[A-Za-z0-9_]"
 EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
-def squeeze(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"[\s ]+", " "), "^ | $", "")
+def plain_words(text: Column) -> Column:
+    """Whatever isn't a-z or a digit as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
 def fold(text: Column) -> Column:
@@ -39,15 +42,15 @@ def fold(text: Column) -> Column:
 
 def subscription_key(text: Column) -> Column:
     """Lower case, with a space for everything but ASCII letters and digits, accented letters too."""
-    return squeeze(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "))
+    return plain_words(F.lower(text))
 
 
 def product_key(text: Column) -> Column:
     """Folded, units of volume and weight joined to their number, other signs as spaces."""
-    out = fold(text)
-    for unit, short in (("litros?", "l"), ("lts?", "l"), ("mililitros?", "ml"), ("kilos?", "kg"), ("gramos?", "g")):
-        out = F.regexp_replace(out, rf"{EDGE}([0-9]+)\s*{unit}{EDGE}", f"$1{short}")
-    return squeeze(F.regexp_replace(out, r"[^a-z0-9\s]", " "))
+    # A digit is looked for first and what stands before it then: positions without one cost next to nothing.
+    number = rf"([0-9](?<!{_W}[0-9])[0-9]*)"
+    out = F.regexp_replace(fold(text), rf"{number}\s*(?:(l)(?:itros?|ts?)|(m)i(l)ilitros?|(g)ramos?)(?!{_W})", "$1$2$3$4$5")
+    return plain_words(F.regexp_replace(out, rf"{number}\s*kilos?(?!{_W})", "$1kg"))
 
 
 def tokens(text: Column) -> Column:
@@ -127,6 +130,21 @@ def first_rule(text: Column, table: list[tuple], at: int, otherwise: str | None)
     return out
 
 
+def first_rule_of_long(text: Column, table: list[tuple], at: int, otherwise: str) -> Column:
+    """`first_rule` for whole documents: Arrow's matcher takes a text once for each rule, whatever a rule's alternatives.
+
+    Its word boundaries are those of ASCII words, as EDGE is.
+    """
+    patterns, values = [r[0] for r in table], [r[at] for r in table]
+
+    @F.arrow_udf("string")
+    def category(texts: pa.Array) -> pa.Array:
+        found = [pc.match_substring_regex(texts, p, ignore_case=True) for p in patterns]
+        return pc.case_when(pc.make_struct(*found, field_names=[str(i) for i in range(len(found))]), *(pa.scalar(v) for v in values), pa.array([otherwise] * len(texts), pa.string()))
+
+    return category(text)
+
+
 def upload_category(text: Column) -> Column:
     return first_rule(text, rules.UPLOAD_RULES, 1, rules.OTHER_CATEGORY)
 
@@ -135,6 +153,16 @@ def manual_category(text: Column) -> Column:
     return first_rule(F.lower(text), rules.MANUAL_RULES, 1, rules.OTHER_CATEGORY)
 
 
+def document_category(text: Column) -> Column:
+    """`upload_category` of whole documents."""
+    return first_rule_of_long(text, rules.UPLOAD_RULES, 1, rules.OTHER_CATEGORY)
+
+
+def manual_document_category(text: Column) -> Column:
+    """`manual_category` of whole documents."""
+    return first_rule_of_long(text, rules.MANUAL_RULES, 1, rules.OTHER_CATEGORY)
+
+
 def merchant(text: Column) -> Column:
     """The known merchant of a description, or null."""
     return first_rule(text, rules.MERCHANTS, 1, None)

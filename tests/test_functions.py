@@ -96,3 +96,30 @@ def test_deep_and_open_pages():
     page = catalogues.tree("<div>" * 5000 + "".join(f"<p>x{i}" for i in range(3000)) + "<table><tr><td>a<td>b<tr><td>c</table>")
     assert len(list(page.all("p"))) == 3000 and page.text().endswith("x2999abc")
     assert [len(r.children) for r in page.all("tr")] == [2, 1] and page.first("td").text() == "a"
+
+
+ODD = [
+    None, "", " ", "12 litros y 3lts", "a5 lts", "5 5 litros", "07 mililitros\n2 kilo", "1 kilo2 litros", "3litros_", "9 litro 9 l", "x 5  gramos.", "Ünd 10 KILOS ", "é4 lt", "4 lté", "1 2 kilos 3 gramo",
+    "NETFLIX", "ute", "utensilio", "éute", "uteé", "PEAJE acv", "ClÍNICA", "medica", "star+", "h&m", "disney", "disney plus", "luz\n", "un gas.", "çine", "transferencia de sueldo", "kfc Kfc",
+]
+
+
+def test_keys_of_odd_texts_are_those_of_one_unit_after_the_other(spark):
+    def key(out):
+        for unit, short in (("litros?", "l"), ("lts?", "l"), ("mililitros?", "ml"), ("kilos?", "kg"), ("gramos?", "g")):
+            out = F.regexp_replace(out, rf"{text.EDGE}([0-9]+)\s*{unit}{text.EDGE}", f"$1{short}")
+        return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+    rows = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", text.product_key(F.col("t")).alias("a"), key(text.fold(F.col("t"))).alias("b"))
+    assert [(r.t, r.a) for r in rows.collect()] == [(r.t, r.b) for r in rows.collect()]
+
+
+def test_whole_documents_have_the_category_that_descriptions_have(spark):
+    c = F.col("t")
+    found = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", text.upload_category(c), text.document_category(c), text.manual_category(c), text.manual_document_category(c)).collect()
+    assert [(r[0], r[1], r[3]) for r in found] == [(r[0], r[2], r[4]) for r in found]
+
+
+def test_texts_pass_few_patterns(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(text.product_key(F.col("t")).alias("key"), text.document_category(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 4 and "RLIKE" not in plan
