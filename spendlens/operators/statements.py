@@ -33,24 +33,26 @@ def lines_of(text: Column) -> Column:
     return F.filter(numbered, lambda l: l["line"] != "")
 
 
-def _found(r: Column, parser: int, today: Column, debit: Column) -> Column:
+def _found(r: Column, parser: int, debit: Column) -> Column:
     return F.struct(
-        r["line_no"].alias("line_no"), F.lit(parser).alias("parser"), dates.parse_date(r["day"], today).alias("date_text"), r["description"].alias("description"),
+        r["line_no"].alias("line_no"), F.lit(parser).alias("parser"), r["day"].alias("day"), r["description"].alias("description"),
         F.abs(r["signed"]).alias("amount"), F.when(debit, "debit").otherwise("credit").alias("type"), r["raw_text"].alias("raw_text"),
     )
 
 
-def _read(l: Column, pattern: str) -> Column:
-    part = lambda i: F.regexp_extract(l["line"], pattern, i)
-    return F.struct(
-        l["line_no"].alias("line_no"), part(1).alias("day"), text.clean_description(part(2)).alias("description"), numbers.parse_amount(part(3)).alias("signed"),
-        part(3).startswith("-").alias("minus"), l["line"].alias("raw_text"),
-    )
+def _read_all(lines: Column, pattern: str) -> Column:
+    """The lines' parts. They are cut out first: what is made of a part within a lambda is made again wherever it is named."""
+    part = lambda l, i: F.regexp_extract(l["line"], pattern, i)
+    cut = F.transform(lines, lambda l: F.struct(l.alias("l"), part(l, 1).alias("day"), part(l, 2).alias("named"), part(l, 3).alias("number")))
+    return F.transform(cut, lambda c: F.struct(
+        c["l"]["line_no"].alias("line_no"), c["day"].alias("day"), text.clean_description(c["named"]).alias("description"), numbers.parse_amount(c["number"]).alias("signed"),
+        c["number"].startswith("-").alias("minus"), c["l"]["line"].alias("raw_text"),
+    ))
 
 
-def single_line(lines: Column, today: Column) -> Column:
-    rows = F.transform(F.filter(lines, lambda l: l["line"].rlike(_SINGLE)), lambda l: _read(l, _SINGLE))
-    return F.transform(F.filter(rows, lambda r: r["signed"] != 0), lambda r: _found(r, SINGLE, today, r["signed"] < 0))
+def single_line(lines: Column) -> Column:
+    rows = _read_all(F.filter(lines, lambda l: l["line"].rlike(_SINGLE)), _SINGLE)
+    return F.transform(F.filter(rows, lambda r: r["signed"] != 0), lambda r: _found(r, SINGLE, r["signed"] < 0))
 
 
 def opening_lines(lines: Column) -> Column:
@@ -58,7 +60,7 @@ def opening_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda l, i: F.when(l["line"].rlike(_OPENS), i)), lambda i: i.isNotNull())
 
 
-def block(lines: Column, opens: Column, today: Column) -> Column:
+def block(lines: Column, opens: Column) -> Column:
     ends = lambda k: F.coalesce(F.get(opens, k + 1), F.size(lines))
     cut = F.transform(opens, lambda i, k: F.struct(F.get(lines, i).alias("head"), F.slice(lines, i + 2, ends(k) - i - 1).alias("rest")))
     placed = F.transform(cut, lambda b: F.struct(b["head"].alias("head"), b["rest"].alias("rest"), F.array_max(F.transform(b["rest"], lambda l, j: F.when(l["line"].rlike(_AMOUNTS), j))).alias("last")))
@@ -72,22 +74,23 @@ def block(lines: Column, opens: Column, today: Column) -> Column:
         )
 
     rows = F.transform(F.filter(placed, lambda b: b["last"].isNotNull()), read)
-    return F.transform(F.filter(rows, lambda r: (r["signed"] != 0) & (F.length(r["description"]) >= 3)), lambda r: _found(r, BLOCK, today, r["signed"] < 0))
+    return F.transform(F.filter(rows, lambda r: (r["signed"] != 0) & (F.length(r["description"]) >= 3)), lambda r: _found(r, BLOCK, r["signed"] < 0))
 
 
-def generic(lines: Column, today: Column) -> Column:
-    rows = F.transform(F.filter(lines, lambda l: F.length(l["line"]).between(15, 200) & l["line"].rlike(_GENERIC)), lambda l: _read(l, _GENERIC))
-    return F.transform(F.filter(rows, lambda r: (r["signed"] != 0) & (F.length(r["description"]) >= 3)), lambda r: _found(r, GENERIC, today, (r["signed"] < 0) | r["minus"]))
+def generic(lines: Column) -> Column:
+    rows = _read_all(F.filter(lines, lambda l: F.length(l["line"]).between(15, 200) & l["line"].rlike(_GENERIC)), _GENERIC)
+    return F.transform(F.filter(rows, lambda r: (r["signed"] != 0) & (F.length(r["description"]) >= 3)), lambda r: _found(r, GENERIC, (r["signed"] < 0) | r["minus"]))
 
 
 def parse(statements: DataFrame, as_of: dt.date) -> DataFrame:
     """Transactions of each statement (doc_id, text): the rows of one parser, with date (null if impossible) and category."""
-    today, enough = F.lit(as_of), lambda c: F.size(c) > ENOUGH
+    enough = lambda c: F.size(c) > ENOUGH
     lines = statements.select("doc_id", lines_of(F.col("text")).alias("lines"))
     lines = lines.select("doc_id", "lines", opening_lines(F.col("lines")).alias("opens"))
-    banks = lines.select("doc_id", "lines", single_line(F.col("lines"), today).alias("single"), block(F.col("lines"), F.col("opens"), today).alias("block"))
-    chosen = F.when(enough("single"), F.col("single")).when(enough("block"), F.col("block")).otherwise(generic(F.col("lines"), today))
-    rows = banks.select("doc_id", F.explode(chosen).alias("r")).select("doc_id", "r.*")
+    banks = lines.select("doc_id", "lines", single_line(F.col("lines")).alias("single"), block(F.col("lines"), F.col("opens")).alias("block"))
+    chosen = F.when(enough("single"), F.col("single")).when(enough("block"), F.col("block")).otherwise(generic(F.col("lines")))
+    found = banks.select("doc_id", F.explode(chosen).alias("r"))
+    rows = found.select("doc_id", "r.line_no", "r.parser", dates.parse_date(F.col("r.day"), F.lit(as_of)).alias("date_text"), "r.description", "r.amount", "r.type", "r.raw_text")
     return rows.withColumn("date", F.try_to_date("date_text", "yyyy-MM-dd")).withColumn("category", text.upload_category(F.col("description")))
 
 

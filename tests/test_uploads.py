@@ -113,3 +113,23 @@ def test_table_of_suggestions_equals_the_scan(spark):
         scanned = [r.term for r in offers.typeahead(terms, none, typed, 3, 3).collect()]
         assert [t for _, t in sorted(table.get(key, []))] == scanned
     assert max(map(len, table)) == 32 and [t for _, t in sorted(table[""])] == ["pan", "Pan rallado", "papá"]
+
+
+def test_an_upload_that_comes_twice_is_parsed_once(spark, sf_dir, monkeypatch):
+    from spendlens.operators import statements
+    from spendlens.plans import texts
+
+    plans, ingest = [], statements.ingest
+    monkeypatch.setattr(statements, "ingest", lambda parsed, *a: plans.append(parsed._jdf.queryExecution().optimizedPlan().toString()) or ingest(parsed, *a))
+    texts.d9_uploaded_ledger(spark, sf_dir).count()
+    assert len(plans) == 2 and all("regexp" not in p for p in plans)
+
+
+def test_parts_of_a_line_are_cut_out_once(spark):
+    import datetime as dt
+
+    from spendlens.operators import statements
+
+    rows = statements.parse(spark.createDataFrame([(1, "01/02/2024 SHOP -1,00")], "doc_id long, text string"), dt.date(2024, 1, 20))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract") < 25
+    assert [(r.date_text, r.amount, r.type) for r in rows.collect()] == [("2024-02-01", 1.0, "debit")]
