@@ -143,8 +143,8 @@ def t1_plan_state(spark, sf_dir):
 
 
 def arriving(spark, sf_dir, table: str, *order: str):
-    """A table's rows as a stream of several batches, one file each."""
-    return streaming.read_files(spark, streaming.as_files(domain.table(spark, sf_dir, table), BATCHES, *order), 1)
+    """A table's rows as a stream of several batches."""
+    return streaming.in_batches(domain.table(spark, sf_dir, table), BATCHES, *order)
 
 
 BATCHES = 4
@@ -161,8 +161,7 @@ def t5_job_progress_stream(spark, sf_dir):
     orders = domain.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), "o_orderdate")
     starts = orders.groupBy("job_id").agg(F.count("*").alias("total"), F.min("o_orderdate").alias("at")).withColumn("kind", F.lit("start"))
     items = orders.select("job_id", F.lit(None).cast("long").alias("total"), F.col("o_orderdate").alias("at"), F.lit("item").alias("kind"))
-    path = streaming.as_files(starts.unionByName(items), BATCHES, "at")
-    return streaming.run_jobs(streaming.read_files(spark, path, 1))
+    return streaming.run_jobs(streaming.in_batches(starts.unionByName(items), BATCHES, "at"))
 
 
 @query("t8_budget_alerts_stream", f"""{named(LEDGER, BUDGETS)} SELECT user_id, strftime(ts, '%Y-%m') AS month, category FROM ledger JOIN budgets USING (user_id, category)

@@ -167,14 +167,12 @@ def t9_merged_stats(spark, sf_dir):
 @query("t9_search_stream", f"{named(OFFERS, _Q, _SEARCH)} SELECT query, place, store_id, name, price, score::INTEGER AS score FROM found WHERE place <= 24")
 def t9_search_stream(spark, sf_dir):
     """d7's rows, kept up as stores arrive in several batches."""
-    path = streaming.as_files(all_offers(spark, sf_dir), 4, "store_id", "ordinal")
-    return streaming.run_search(streaming.read_files(spark, path, 1), QUERIES, 24)[0]
+    return streaming.run_search(streaming.in_batches(all_offers(spark, sf_dir), 4, "store_id", "ordinal"), QUERIES, 24)[0]
 
 
 @query("t9_search_stats_stream", f"""{named(OFFERS, _Q, _SEARCH)} SELECT query, min(price) AS min_price, max(price) AS max_price, floor(avg(price) + 0.5)::BIGINT AS avg_price, count(*) AS n, count(DISTINCT store_id) AS stores FROM found GROUP BY 1""")
 def t9_search_stats_stream(spark, sf_dir):
-    path = streaming.as_files(all_offers(spark, sf_dir), 4, "store_id", "ordinal")
-    return streaming.run_search(streaming.read_files(spark, path, 1), QUERIES, 24)[1]
+    return streaming.run_search(streaming.in_batches(all_offers(spark, sf_dir), 4, "store_id", "ordinal"), QUERIES, 24)[1]
 
 
 # The listed products that hold `pa`, in the list's order, for the SQL.

@@ -9,10 +9,10 @@ nothing. Streams without rows give empty results. Watermarks are our own additio
 """
 
 from .alerts import run_budget_alerts
-from .files import as_files, read_files
+from .files import in_batches, read_files
 from .jobs import run_jobs
 from .plan import run_plan_state
 from .search import run_search
 from .windows import run_progress, run_rate_windows
 
-__all__ = ["as_files", "read_files", "run_budget_alerts", "run_jobs", "run_plan_state", "run_progress", "run_rate_windows", "run_search"]
+__all__ = ["in_batches", "read_files", "run_budget_alerts", "run_jobs", "run_plan_state", "run_progress", "run_rate_windows", "run_search"]

@@ -14,6 +14,7 @@ from spendlens import shared
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+
 #: Timers by the clock would ask for one empty batch after the other, so that a run over what is there never ends; with this they are looked at in every batch that has rows.
 ROWS_ONLY = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
@@ -32,17 +33,38 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def as_files(df: DataFrame, n: int, *order: str) -> str:
-    """A new folder with the rows of `df` in n files or fewer, a range of `order` in each, the first the oldest: what has arrived, to be streamed file by file."""
-    path = shared.new_path(df.sparkSession, "arrived")
-    df.repartitionByRange(n, *order).write.parquet(path)
-    context = df.sparkSession.sparkContext
+def in_batches(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """A stream of the rows of `df` in n batches or fewer, a range of `order` in each, the first the oldest: what has arrived, written as files.
+
+    Tasks deal and write a range of `spark.sql.shuffle.partitions` each, not a batch each; a batch is several files.
+    """
+    spark = df.sparkSession
+    path, tasks = shared.new_path(spark, "arrived"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(max(n, tasks), *order).write.parquet(path)
+    context = spark.sparkContext
     fs = context._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(context._jvm.org.apache.hadoop.fs.Path(path)) if "part-" in f.getPath().getName()), key=lambda p: p.getName())
     now = int(time.time())
     for k, file in enumerate(files):  # streams take files by age
         fs.setTimes(file, (now - len(files) + k) * 1000, -1)
-    return path
+    return read_files(spark, path, -(-len(files) // n))
+
+
+class Versions:
+    """Keyed state as a table with a version for each batch: batch n reads version n - 1 and writes version n, as often as it runs; older ones go."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def read(self, n: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{n}") if n >= 0 else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, n: int) -> DataFrame:
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/{n}")
+        old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n - 2}")
+        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return self.read(n)
 
 
 def run(rows: DataFrame, mode: str, base: str, schema: str, keep: Callable[[DataFrame, int], None] | None = None, options: dict[str, str] = {}) -> StreamingQuery:

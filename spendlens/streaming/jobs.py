@@ -1,61 +1,44 @@
-"""Jobs whose results come in one by one and that are forgotten some time after they began: state with a time to live."""
+"""Jobs whose results come in one by one and that are forgotten some time after they began: keyed state with a time to live."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-from pyspark.sql import DataFrame, Row, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F
 
 from spendlens import shared
 
-from .files import ROWS_ONLY, results, run
+from .files import Versions, results, run
 
 #: How long a job lives, counted from its start.
 JOB_TTL_MS = 10 * 60 * 1000
 _OUT = "job_id long, total long, completed long, status string"
-
-
-class JobProcessor(StatefulProcessor):
-    """`began` is written once, at the start, so that its time to live runs from there; without it a job is unknown."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.began = handle.getValueState("began", "total long", self.ttl_ms)
-        self.done = handle.getValueState("done", "completed long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        results_now, total = 0, None
-        for r in rows:
-            if r.kind == "start":
-                total = r.total
-            else:
-                results_now += 1
-        if self.began.exists():
-            total = self.began.get()[0]
-            completed = (self.done.get()[0] if self.done.exists() else 0) + results_now
-        elif total is not None:
-            self.began.update((total,))
-            completed = results_now
-        else:
-            yield Row(job_id=key[0], total=None, completed=None, status="unknown")
-            return
-        self.done.update((completed,))
-        yield Row(job_id=key[0], total=total, completed=completed, status="done" if completed >= total else "running")
-
-    def close(self) -> None:
-        pass
+_STATE = "job_id long, total long, completed long, began_ms long, changed boolean"
 
 
 def run_jobs(events: DataFrame, base: str | None = None, ttl_ms: int = JOB_TTL_MS) -> DataFrame:
     """job_id, total, completed, status (running, done; unknown: never begun or forgotten) of `events` (job_id, kind start or item, total).
 
-    A job's start must come in the batch of its first result or earlier.
+    A job's start must come in the batch of its first result or earlier. A batch's
+    rows are summed with the jobs that live, all in one grouping, and it writes the
+    jobs it changes only; `began_ms` is set once, so that a job's time runs from its start.
     """
     spark, base = events.sparkSession, base or shared.new_path(events.sparkSession, "stream")
-    sent = events.select("job_id", "kind", "total").groupBy("job_id").transformWithState(JobProcessor(ttl_ms), _OUT, "Update", "ProcessingTime")
-    run(sent, "update", base, _OUT, options=ROWS_ONLY)
+    jobs = Versions(spark, f"{base}/jobs", _STATE)
+
+    def merge(batch: DataFrame, n: int) -> None:
+        now = int(time.time() * 1000)
+        begins = F.col("kind").eqNullSafe("start")
+        new = batch.select("job_id", F.when(begins, F.col("total")).alias("begun"), F.when(begins, 0).otherwise(1).cast("long").alias("items"), F.lit(True).alias("changed"))
+        live = jobs.read(n - 1).where(F.col("total").isNotNull() & (F.col("began_ms") + ttl_ms > now))
+        both = new.unionByName(live.select("job_id", "total", F.col("completed").alias("items"), "began_ms", F.lit(False).alias("changed")), allowMissingColumns=True)
+        summed = both.groupBy("job_id").agg(*(F.max(c).alias(c) for c in ("total", "begun", "began_ms", "changed")), F.sum("items").alias("items"))
+        total = F.coalesce("total", "begun")
+        known = summed.select("job_id", total.alias("total"), F.when(total.isNotNull(), F.col("items")).alias("completed"), F.coalesce("began_ms", F.lit(now)).alias("began_ms"), "changed")
+        sent = jobs.write(known, n).where("changed")
+        status = F.when(F.col("total").isNull(), "unknown").when(F.col("completed") >= F.col("total"), "done").otherwise("running")
+        sent.select("job_id", "total", "completed", status.alias("status")).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    run(events.select("job_id", "kind", "total"), "append", base, _OUT, merge)
     newest = results(spark, base, _OUT).groupBy("job_id").agg(F.max_by(F.struct("total", "completed", "status"), "batch").alias("s"))
     return newest.select("job_id", "s.total", "s.completed", "s.status")
