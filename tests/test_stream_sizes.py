@@ -38,3 +38,13 @@ def test_jobs_without_python(spark, no_python_state):
     base = shared.new_path(spark, "stream")
     found = streaming.run_jobs(streaming.in_batches(started.unionByName(items(1)).unionByName(items(2)), 3, "at"), base)
     assert [tuple(r) for r in found.groupBy("total", "completed", "status").count().collect()] == [(2, 2, "done", 2000)]
+
+
+def test_alerts_without_python(spark, no_python_state):
+    days = F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int")).cast("timestamp_ntz")
+    entries = spark.range(500).select(F.col("id").alias("user_id"), F.explode(F.array(*map(F.lit, range(30)))).alias("day"))
+    ledger = entries.select("user_id", days.alias("ts"), F.lit(4).cast("decimal(14,2)").alias("amount"), F.lit("food").alias("category"), F.lit("debit").alias("type"))
+    budgets = spark.range(500).select(F.col("id").alias("user_id"), F.lit("food").alias("category"), F.when(F.col("id") % 2 == 0, 50.0).otherwise(120.0).alias("budget"))
+    found, late = streaming.run_budget_alerts(streaming.in_batches(ledger, 3, "ts"), budgets)
+    assert late == 0 and found.groupBy(F.col("user_id") % 2).count().collect() == [(0, 250)]
+    assert found.agg(F.min("spent") > 50).first()[0] and found.distinct().count() == 250
