@@ -15,10 +15,6 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 
-#: Timers by the clock would ask for one empty batch after the other, so that a run over what is there never ends; with this they are looked at in every batch that has rows.
-ROWS_ONLY = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-
-
 def read_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet file or the folder of files at `path`, with the schema of what is there; `per_batch` files make a batch."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -67,7 +63,7 @@ class Versions:
         return self.read(n)
 
 
-def run(rows: DataFrame, mode: str, base: str, schema: str, keep: Callable[[DataFrame, int], None] | None = None, options: dict[str, str] = {}) -> StreamingQuery:
+def run(rows: DataFrame, mode: str, base: str, schema: str, keep: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Runs a stream over all that is there; each batch's rows go to `out/batch=N` under `base`, together with an empty table to begin with."""
     spark = rows.sparkSession
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{base}/out/batch=-1")
@@ -75,25 +71,17 @@ def run(rows: DataFrame, mode: str, base: str, schema: str, keep: Callable[[Data
     def save(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    names = ["spark.sql.streaming.stateStore.providerClass", *options]
-    before = {n: spark.conf.get(n, None) for n in names}
-    spark.conf.set(names[0], ROCKSDB)
-    for name, value in options.items():
-        spark.conf.set(name, value)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
     try:
         query = rows.writeStream.outputMode(mode).foreachBatch(keep or save).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return query
 
 
 def results(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """The rows of all batches, with the number of the batch."""
     return spark.read.schema(f"{schema}, batch int").option("basePath", f"{base}/out").parquet(f"{base}/out").withColumn("batch", F.col("batch").cast("long"))
-
-
-def dropped(query: StreamingQuery) -> int:
-    """Rows that came after the watermark."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

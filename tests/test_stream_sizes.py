@@ -48,3 +48,13 @@ def test_alerts_without_python(spark, no_python_state):
     found, late = streaming.run_budget_alerts(streaming.in_batches(ledger, 3, "ts"), budgets)
     assert late == 0 and found.groupBy(F.col("user_id") % 2).count().collect() == [(0, 250)]
     assert found.agg(F.min("spent") > 50).first()[0] and found.distinct().count() == 250
+
+
+def test_plans_without_python(spark, no_python_state):
+    ids = spark.range(9000)
+    kind = F.when(F.col("id") % 3 == 0, "RENEWAL").otherwise("EXPIRATION")
+    events = ids.select(F.col("id").alias("seq"), kind.alias("type"), (F.col("id") % 1000).alias("user_id"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("expiration_ms"))
+    base = shared.new_path(spark, "stream")
+    found = streaming.run_plan_state(streaming.in_batches(events, 3, "seq"), base)
+    # The last event of user u has seq 8000 + u.
+    assert sorted(map(tuple, found.groupBy("plan", "active", "changes").count().collect())) == [("free", False, 9, 667), ("premium", True, 9, 333)]
