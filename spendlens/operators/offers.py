@@ -94,7 +94,7 @@ def matching(offers: DataFrame, queries: list[str]) -> DataFrame:
     without = asked.where(F.size("words") > 1).join(strict.select("query").distinct(), "query", "left_anti")
     found = offers.join(strict.unionByName(judged_loosely(index, without)) if without.limit(1).count() else strict, "name")
     every = asked.where(F.size("words") == 0).select("query", F.lit(0).alias("score"))
-    return found.unionByName(offers.join(every)) if every.limit(1).count() else found
+    return found.unionByName(offers.join(F.broadcast(every))) if every.limit(1).count() else found
 
 
 def search(offers: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def _found(offers: DataFrame, queries: list[str]) -> DataFrame:
     worded = asked.where(F.size("words") > 0)
     names = op.judged_strictly(index, worded).withColumn("level", F.lit("strict")).unionByName(op.judged_loosely(index, worded).withColumn("level", F.lit("loose")))
     every = asked.where(F.size("words") == 0).select("query", F.lit(0).alias("score"), F.lit("every").alias("level"))
-    return offers.join(names, "name").unionByName(offers.join(every))
+    return offers.join(names, "name").unionByName(offers.join(F.broadcast(every)))  # a few typed searches: offers are read once, not once for each of their partitions
 
 
 def run_search(offers: DataFrame, queries: list[str], limit: int = 24, base: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -58,3 +58,13 @@ def test_plans_without_python(spark, no_python_state):
     found = streaming.run_plan_state(streaming.in_batches(events, 3, "seq"), base)
     # The last event of user u has seq 8000 + u.
     assert sorted(map(tuple, found.groupBy("plan", "active", "changes").count().collect())) == [("free", False, 9, 667), ("premium", True, 9, 333)]
+
+
+def test_search_reads_a_batch_once(spark):
+    """Searches without keywords meet the offers without a Cartesian product, which reads the offers once for each partition of the searches."""
+    from spendlens.streaming import search
+
+    offers = shared.written(spark.createDataFrame([(1, 1, "Queso", 2.0), (1, 2, "Pan", 1.0)], "store_id long, ordinal long, name string, price double"), "offers")
+    found = search._found(offers, ["queso", "de la"])
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query, r.name) for r in found.collect()) == [("de la", "Pan"), ("de la", "Queso"), ("queso", "Queso")]
