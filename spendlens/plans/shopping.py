@@ -98,7 +98,7 @@ def o12_typed_limits(spark, sf_dir):
 
 @query("w5_first_offers", f"{named(OFFERS)} SELECT store_id, ordinal, name, price FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY ordinal) AS k FROM offers) WHERE k <= 12")
 def w5_first_offers(spark, sf_dir):
-    return op.first_per_store(all_offers(spark, sf_dir)).select("store_id", "ordinal", "name", "price")
+    return op.first_per_store(domain.offers(spark, sf_dir, 12), 12).select("store_id", "ordinal", "name", "price")
 
 
 @query("p8_category_offers", f"{named(OFFERS)} SELECT store_id, count(*) AS n, min(price) AS least FROM offers WHERE store_id % 12 IN (6, 7, 9) GROUP BY 1")

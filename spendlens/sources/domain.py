@@ -5,7 +5,7 @@ None of them shuffles but `offers`, so filters and column pruning reach the scan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from spendlens.functions.numbers import rounded
 
@@ -106,12 +106,18 @@ def store_kind(store: Column) -> Column:
     return (store % 12).cast("int")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each store (supplier) asks for each part: the lowest unit price; the ordinal is the part's key."""
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("ordinal")).agg(
-        F.min(unit_price()).alias("price")
-    )
+def offers(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """What each store (supplier) asks for each part: the lowest unit price; the ordinal is the part's key. With `first` only each store's parts of so many least keys.
+
+    These are picked from the line items themselves: scans keep a store's least keys
+    before any row is dealt, so that a task sorts no more than what it reads.
+    """
+    sold = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("ordinal"), "l_extendedprice", "l_quantity")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"))
+    if first:
+        place = F.dense_rank().over(W.partitionBy("store_id").orderBy("ordinal"))
+        sold = sold.join(parts.select("ordinal"), "ordinal", "left_semi").withColumn("place", place).where(F.col("place") <= first)
+    items = sold.groupBy("store_id", "ordinal").agg(F.min(unit_price()).alias("price"))
     return items.join(parts, "ordinal").select("store_id", "ordinal", "name", F.col("price").cast("double").alias("price"))
 
 
