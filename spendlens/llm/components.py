@@ -11,24 +11,26 @@ def connected(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node in `links` (a, b long).
 
     Each round hooks all neighbours of a node to the least of them, first the
-    larger neighbours and then the smaller ones, until nothing changes; the
-    rounds grow with the logarithm of the longest path. The least neighbour is
+    larger neighbours and then the smaller ones, until every component is a star
+    around its least node (`_stars`, one grouping instead of a further round);
+    the rounds grow with the logarithm of the longest path. The least neighbour is
     found by partial aggregation and joined back, so a node of any degree is
     spread over tasks. Edges of each round are written to the shared folder.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges (u above v) has one lesser neighbour and no greater, or greater ones only."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or up = 1 and least = 0").limit(1).count()

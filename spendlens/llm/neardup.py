@@ -72,6 +72,7 @@ _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ODD = [f"odd{i}" for i in range(BITS // 64)]
+_SKETCH = ["n_shingles", *_ODD]
 #: What one XOR count says about the samples that differ.
 _DIFFER = np.array([math.log(max(1e-9, 1 - 2 * min(z, BITS // 2 - 1) / BITS)) / (2 * math.log(1 - 2 / BITS)) for z in range(BITS + 1)])
 
@@ -210,14 +211,6 @@ def _most(least: float) -> int:
     return max(i for i in range(BITS + 1) if estimate(np.array([i]))[0] >= least)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link and whose odd sketches suggest one."""
-    of = lambda x: nodes.select(F.col("sid").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _ODD))
-    differing = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _ODD), F.lit(0))
-    able = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (differing <= _most(LEAST_ESTIMATE))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(able).select("a", "b")
-
-
 def _confirm(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Links among `pairs` (a, b), on full sets.
 
@@ -243,14 +236,17 @@ def _members(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def _pivot_pairs(member: DataFrame) -> DataFrame:
-    """Of each band the best connected node outside the largest component, with each node of another component than its own."""
-    pivots = member.where("main is null or component <> main").groupBy("band").agg(F.max(F.struct("score", "sid", "component")).alias("p"))
-    with_pivot = member.join(pivots.select("band", F.col("p.sid").alias("pivot"), F.col("p.component").alias("own")), "band").where("component <> own")
-    return with_pivot.select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
+    """Of each band the best connected node outside the largest component, with each node of another component than its own: the pairs whose sizes allow a link and whose odd sketches suggest one."""
+    pivots = member.where("main is null or component <> main").groupBy("band").agg(F.max(F.struct("score", "sid", "component", *_SKETCH)).alias("p"))
+    with_pivot = member.join(pivots, "band").where("component <> p.component")
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in _ODD), F.lit(0))
+    size, other = F.col("n_shingles"), F.col("p.n_shingles")
+    able = (100 * F.least(size, other) >= PERCENT * F.greatest(size, other)) & (differing <= _most(LEAST_ESTIMATE))
+    return with_pivot.where(able).select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
 
 
 _BLOCK_KEY = ["band", "i", "j"]
-_ROW = [*_BLOCK_KEY, "straggler", "sid", "component", "n_shingles", *_ODD]
+_ROW = [*_BLOCK_KEY, "straggler", "sid", "component", *_SKETCH]
 
 
 def _pairs_of(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,9 +329,9 @@ def _joining_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
-def _across(member: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(member: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the components of each band, as many as join them: stragglers against all nodes of the band, by blocks."""
-    rows = member.select("band", "sid", "component", (~F.col("component").eqNullSafe(F.col("main"))).alias("straggler")).join(nodes.select("sid", "n_shingles", *_ODD), "sid")
+    rows = member.select("band", "sid", "component", (~F.col("component").eqNullSafe(F.col("main"))).alias("straggler"), *_SKETCH)
     blocks = lambda some: F.ceil(F.greatest(F.count(F.when(some, 1)) / BLOCK, F.sum(F.when(some, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("long")
     of = rows.groupBy("band").agg(blocks(F.lit(True)).alias("of"), blocks(F.col("straggler")).alias("few"))
     dealt = rows.join(of, "band")
@@ -389,7 +385,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     bands = some.select("sid", F.explode("bands").alias("band")).distinct()
     in_bands = bands.join(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band")
-    shared = written(in_bands.join(in_bands.groupBy("sid").agg(F.sum("size").alias("score")), "sid"), "op9-bands")
+    # Rows of bands hold the sketches, so that rounds compare them where they meet.
+    shared = written(in_bands.join(in_bands.groupBy("sid").agg(F.sum("size").alias("score")), "sid").join(nodes.select("sid", *_SKETCH), "sid"), "op9-bands")
     # The nodes of shared bands, each with the text of one of its rows.
     wanted = shared.select("sid").distinct().join(nodes, "sid").select("sid", "other", "row")
     texts = written(
@@ -404,7 +401,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         member = written(_members(shared, parts), "op9-members")
         if not member.limit(1).count():
             break
-        new = _confirm(_likely(_pivot_pairs(member), nodes), texts.select("sid", "packed"), dealt) if turn < PIVOTS else _across(member, nodes, texts)
+        new = _confirm(_pivot_pairs(member), texts.select("sid", "packed"), dealt) if turn < PIVOTS else _across(member, texts)
         parts = _joined_up(parts, written(new, "op9-links"))
     if parts is None:
         parts = nodes.select(F.col("sid").alias("node"), F.col("sid").alias("component")).limit(0)

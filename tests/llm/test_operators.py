@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.llm import chunks, html, iblt, jpeg, langid, media, mixing, neardup, packing, queries, suffix, urls
+from spendlens.llm.common import written
 
 from .. import oracle
 
@@ -95,6 +96,22 @@ def test_near_groups_across_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == neardup.brute_force(rows)
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Rounds end as soon as components are stars around their least nodes, and pairs are compared where bands meet: each further step costs the driver a plan and its tasks."""
+    from spendlens.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name: made.append(name) or written(df, name))
+    star = spark.range(1, 50).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert {(r.node, r.component) for r in components.connected(star).collect()} == {(i, 0) for i in range(50)} and len(made) == 1
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 100 == 99, 0).otherwise(1)).alias("b"))
+    assert {(r.node, r.component) for r in components.connected(chain).collect()} == {(i, i // 100 * 100) for i in range(200)}
+    sketch = ", ".join(f"{i}L AS odd{i}" for i in range(8))
+    member = spark.sql(f"SELECT 1L AS band, id AS sid, id AS score, id AS component, CAST(NULL AS long) AS main, IF(id = 2, 100L, 10L) AS n_shingles, {sketch} FROM range(5)")
+    pairs = neardup._pivot_pairs(member)
+    assert sorted(map(tuple, pairs.collect())) == [(0, 4), (1, 4), (3, 4)]  # node 2 is too large
+
+
 def test_near_groups_tell_clashing_digests_apart(docs, monkeypatch):
     rows = neardup.sketches(docs).withColumn("sid", F.when(F.col("sid").isNotNull(), F.pmod("sid", F.lit(7))))
     apart = neardup._told_apart(rows).where("sid is not null")
