@@ -15,6 +15,7 @@ spectral bands), then one refining scan a bit and component.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 
@@ -51,10 +52,16 @@ class Image:
 
     def order(self, c: Component, interleaved: bool) -> np.ndarray:
         """The blocks of a component in the order of a scan."""
-        grid = np.arange(c.cols * c.rows).reshape(c.rows, c.cols)
-        if not interleaved:
-            return grid[: c.high, : c.wide].ravel()
-        return grid.reshape(self.mcus_high, c.v, self.mcus_wide, c.h).transpose(0, 2, 1, 3).ravel()
+        make = _order if c.cols * c.rows <= 4096 else _order.__wrapped__
+        return make(c.cols, c.rows, *((self.mcus_high, c.v, self.mcus_wide, c.h) if interleaved else (c.high, c.wide)))
+
+
+@functools.lru_cache(512)
+def _order(cols: int, rows: int, *shape: int) -> np.ndarray:
+    grid = np.arange(cols * rows).reshape(rows, cols)
+    order = (grid[: shape[0], : shape[1]] if len(shape) == 2 else grid.reshape(shape).transpose(0, 2, 1, 3)).ravel()
+    order.flags.writeable = False
+    return order
 
 
 # ---- Huffman tables
@@ -73,6 +80,7 @@ class Table:
                 at, k = at + step, k + 1
         known = self.length > 0
         self.run, self.size = self.symbol >> 4, self.symbol & 15
+        self.alone = known & (self.size > 0) & (self.run == 0)  # a value without zeros before it
         self.ends = known & (self.size == 0) & (self.run < 15)  # end of band, with `run` more bits of its run
         #: Bits of the code and of what comes with it, in DC scans and in AC scans.
         self.dc = np.where(known, self.length + self.symbol, 0).astype(np.uint8)
@@ -89,16 +97,22 @@ def make_table(symbols: list[int]) -> tuple[bytes, bytes, dict[int, tuple[int, i
 
 
 class _Windows:
-    """The 16 bits at any bit offsets of a segment, with ones beyond its end."""
+    """The 32 bits at any bit offsets of a segment, with ones beyond its end: a code and what comes with it."""
 
     def __init__(self, data: bytes):
-        b = np.frombuffer(data + b"\xff\xff\xff\xff", np.uint8).astype(np.uint32)
-        self.three = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        self.data = data + b"\xff" * 8
         self.limit = 8 * len(data)
+        self.eight = np.ndarray((len(data) + 1,), ">i8", self.data, strides=(1,))  # the 64 bits at any byte
 
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+    def wide(self, at: np.ndarray) -> np.ndarray:
         at = np.minimum(at, self.limit)
-        return (self.three[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        return (self.eight[at >> 3] >> (32 - (at & 7))) & 0xFFFFFFFF
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.wide(at) >> 16
+
+    def one(self, at: int) -> int:
+        return int.from_bytes(self.data[at >> 3 : (at >> 3) + 3], "big") >> (8 - (at & 7)) & 0xFFFF
 
 
 def _chain(windows: _Windows, totals: list[np.ndarray], most: int) -> np.ndarray:
@@ -112,7 +126,7 @@ def _chain(windows: _Windows, totals: list[np.ndarray], most: int) -> np.ndarray
         found: list[np.ndarray] = []
         p, left = 0, most
         while left > 0 and p < windows.limit:
-            step = int(total[windows[np.array([p])]][0])
+            step = int(total[windows.one(p)])
             if not step:
                 left = 0
                 continue
@@ -145,9 +159,9 @@ def _follow(windows: _Windows, totals: list[np.ndarray], p: int, most: int) -> n
     return np.array(out, np.int64)
 
 
-def _values(windows: _Windows, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The signed values of `size` bits (0 to 15) at offsets `at`."""
-    raw = windows[at].astype(np.int64) >> (16 - size)
+def _values(wide: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The signed values of `size` bits (0 to 15) that follow codes of `length` bits in windows of 32."""
+    raw = (wide >> (32 - length - size)) & _SPAN[size]
     return raw - _SPAN[size] * (raw < _HALF[size])
 
 
@@ -172,16 +186,11 @@ class _Bits:
         return v
 
     def symbol(self, table: Table) -> int:
-        window = np.zeros(16, np.uint8)
-        some = self.bits[self.at : self.at + 16]
-        window[: len(some)] = some
-        w = int(window[:8] @ _WEIGHTS) << 8 | int(window[8:] @ _WEIGHTS)
+        w = int.from_bytes(np.packbits(self.bits[self.at : self.at + 16]).tobytes().ljust(2, b"\0"), "big")
         self.at += int(table.length[w]) or 1
         return int(table.symbol[w])
 
 
-_WEIGHTS = 1 << np.arange(7, -1, -1)
-
 
 # ---- Scans
 
@@ -198,11 +207,17 @@ def _dc_first(image: Image, scan: list[tuple[Component, int, int]], tables: dict
         parts = {t: tables[0, t] for _, t, _ in scan}
         totals = [parts[scan[i][1]].dc for i in turns] if len(parts) > 1 else [parts[scan[0][1]].dc]
         at = _chain(windows, totals, n * len(turns))
-        who = np.tile(np.array(turns), -(-len(at) // len(turns)))[: len(at)]
+        wide = windows.wide(at)
+        turn = 0
         for i, (c, t, _) in enumerate(scan):
-            own = at[who == i]
-            w = windows[own]
-            values = np.cumsum(_values(windows, own + parts[t].length[w], parts[t].symbol[w].astype(np.int64)))
+            many = turns.count(i)
+            if len(at) == n * len(turns):
+                own = wide.reshape(n, -1)[:, turn : turn + many].ravel()
+            else:
+                own = wide[np.isin(np.arange(len(at)) % len(turns), range(turn, turn + many))]
+            turn += many
+            w = own >> 16
+            values = np.cumsum(_values(own, parts[t].length[w].astype(np.int64), parts[t].symbol[w].astype(np.int64)))
             each = len(orders[i]) // mcus if mcus else 0
             c.blocks[orders[i][done * each : done * each + len(values)], 0] = values << low
         done += n
@@ -232,28 +247,30 @@ def _ac_first(image: Image, c: Component, table: Table, segments: list[bytes], e
         n = min(every or len(order), len(order) - done)
         windows = _Windows(data)
         at = _chain(windows, [table.ac], n * (band + 1))
-        w = windows[at]
-        r, s, stop = table.run[w].astype(np.int64), table.size[w].astype(np.int64), table.ends[w]
-        after = at + table.length[w]
+        wide = windows.wide(at)
+        w = wide >> 16
+        length, s = table.length[w].astype(np.int64), table.size[w].astype(np.int64)
+        if len(at) == n * band and table.alone[w].all():  # a symbol for every place
+            c.blocks[order[done : done + n], start : end + 1] = _values(wide, length, s).reshape(n, band) << low
+            done += n
+            continue
+        r, stop = table.run[w].astype(np.int64), table.ends[w]
         # Places as if bands followed one another: a symbol advances by its run and itself; an end of band to the end
         # of its block and over the blocks of its run.
         step = np.where(stop, 0, r + 1)
         place = np.cumsum(step) - 1
         if stop.any():
             where = np.flatnonzero(stop)
-            raw = windows[after[where]].astype(np.int64) >> (16 - np.maximum(r[where], 1))
+            raw = (wide[where] >> (32 - length[where] - r[where])) & _SPAN[r[where]]
             blocks = np.where(r[where] > 0, (1 << r[where]) + np.where(r[where] > 0, raw, 0), 1)
             walked = np.concatenate([[0], np.cumsum(step)])[where]
             since = np.diff(np.concatenate([[0], walked]))
             base = np.cumsum((since // band + blocks) * band)  # where the part after each end of band begins
             part = np.cumsum(stop) - stop
             place += np.concatenate([[0], base - walked])[part]
-        values = _values(windows, after, s) << low
-        if len(place) == n * band == place[-1] + 1:  # a symbol for every place
-            c.blocks[order[done : done + n], start : end + 1] = values.reshape(n, band)
-        else:
-            new = (s > 0) & (place < n * band)
-            c.blocks[order[done + place[new] // band], start + place[new] % band] = values[new]
+        values = _values(wide, length, s) << low
+        new = (s > 0) & (place < n * band)
+        c.blocks[order[done + place[new] // band], start + place[new] % band] = values[new]
         done += n
 
 
@@ -283,9 +300,10 @@ def _ac_refine(image: Image, c: Component, table: Table, segments: list[bytes],
                     row[to] = value
                 k = to + 1
             if run:
-                _correct(row[k:], bits, one)
-                c.blocks[order[done + b], start : end + 1] = row
-                more = order[done + b + 1 : done + min(n, b + run)]
+                if k:
+                    _correct(row[k:], bits, one)
+                    c.blocks[order[done + b], start : end + 1] = row
+                more = order[done + b + (k > 0) : done + min(n, b + run)]
                 if len(more):
                     many = c.blocks[more, start : end + 1]
                     flat = many.ravel()
@@ -299,6 +317,9 @@ def _ac_refine(image: Image, c: Component, table: Table, segments: list[bytes],
 
 
 def _correct(values: np.ndarray, bits: _Bits, one: int) -> None:
+    if values.all():
+        values += np.sign(values) * (bits.take(len(values)) * np.int32(one))
+        return
     some = np.flatnonzero(values)
     if len(some):
         more = bits.take(len(some)).astype(np.int32) * one
@@ -426,8 +447,10 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def _stuffed(bits: np.ndarray) -> bytes:
-    fill = -len(bits) % 8
-    return np.packbits(np.concatenate([bits, np.ones(fill, np.uint8)]) if fill else bits).tobytes().replace(b"\xff", b"\xff\x00")
+    data = np.packbits(bits)
+    if len(bits) % 8:
+        data[-1] |= (1 << -len(bits) % 8) - 1
+    return data.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def _joined(code: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -442,13 +465,22 @@ def _joined(code: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _tokens(symbols: np.ndarray, values: np.ndarray, sizes: np.ndarray, codes: dict[int, tuple[int, int]]) -> np.ndarray:
     """Bits of symbols, each followed by `sizes` bits of its value."""
-    code, length = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    code, length = np.zeros(16, np.int64), np.zeros(16, np.int64)
     for s, (c, n) in codes.items():
         code[s], length[s] = c, n
     extra = np.where(values < 0, values + (1 << sizes) - 1, values)
     return _joined((code[symbols] << sizes) | extra, length[symbols] + sizes)
 
 
+def _fixed_tokens(values: np.ndarray) -> np.ndarray:
+    """Bits of AC symbols of positive values of 8 bits each, all with the same code."""
+    code, length = _AC_TABLE[2][MAGNITUDE - LOW]
+    bits = np.empty((len(values), length + 8), np.uint8)
+    bits[:, :length] = [code >> i & 1 for i in range(length - 1, -1, -1)]
+    bits[:, length:] = np.unpackbits(values.astype(np.uint8)[:, None], axis=1)
+    return bits.ravel()
+
+
 _BIT_SIZE = np.array([i.bit_length() for i in range(1 << 12)])
 
 
@@ -456,6 +488,11 @@ def _bit_size(v: np.ndarray) -> np.ndarray:
     return _BIT_SIZE[np.abs(v)]
 
 
+@functools.lru_cache(1024)
+def _end_of_bands(n: int) -> np.ndarray:
+    return _run_bits(n, _RUN_TABLE[2])
+
+
 def _run_bits(n: int, codes: dict[int, tuple[int, int]]) -> np.ndarray:
     """An end-of-band run of n blocks (1 to 32767)."""
     k = n.bit_length() - 1
@@ -467,6 +504,7 @@ def _run_bits(n: int, codes: dict[int, tuple[int, int]]) -> np.ndarray:
 _DC_TABLE = make_table(list(range(12)))
 _AC_TABLE = make_table([MAGNITUDE - LOW, *(s for s in range(1, 9) if s != MAGNITUDE - LOW), *(0x10 * i for i in range(7))])
 _RUN_TABLE = make_table([0x10 * k for k in range(14, -1, -1)])
+_TABLES = b"".join(_segment(0xC4, bytes([kind << 4 | ident]) + counts + symbols) for kind, ident, (counts, symbols, _) in ((0, 0, _DC_TABLE), (1, 0, _AC_TABLE), (1, 1, _RUN_TABLE)))
 
 
 def encode(image: Image) -> bytes:
@@ -476,8 +514,7 @@ def encode(image: Image) -> bytes:
         out.append(_segment(0xDB, bytes([ident]) + q.astype(np.uint8).tobytes()))
     frame = struct.pack(">BHHB", 8, image.height, image.width, len(image.components))
     out.append(_segment(0xC2, frame + b"".join(bytes([c.ident, c.h << 4 | c.v, c.table]) for c in image.components)))
-    for kind, ident, (counts, symbols, _) in ((0, 0, _DC_TABLE), (1, 0, _AC_TABLE), (1, 1, _RUN_TABLE)):
-        out.append(_segment(0xC4, bytes([kind << 4 | ident]) + counts + symbols))
+    out.append(_TABLES)
     parts = image.components
 
     def scan(who: list[Component], table: int, start: int, end: int, high: int, low: int, bits: np.ndarray) -> None:
@@ -485,16 +522,17 @@ def encode(image: Image) -> bytes:
 
     orders = [image.order(c, True) for c in parts]
     dc = [c.blocks[o, 0].reshape(image.mcus_wide * image.mcus_high, -1) for c, o in zip(parts, orders)]
-    steps = [np.diff(d.ravel() >> LOW, prepend=0).reshape(d.shape) for d in dc]
+    steps = [d >> LOW for d in dc]
+    for step in steps:
+        flat = step.ravel()  # a view
+        flat[1:] -= flat[:-1].copy()
     flat = np.concatenate(steps, axis=1).ravel().astype(np.int64)
     sizes = _bit_size(flat)
     scan(parts, 0, 0, 0, 0, LOW, _tokens(sizes, flat, sizes, _DC_TABLE[2]))
     inner = {c.ident: c.blocks[image.order(c, False)] for c in parts}
     for c in parts:
         for start, end in [(1, 5), (6, 63)] if c is parts[0] else [(1, 63)]:
-            v = (inner[c.ident][:, start : end + 1].ravel() >> LOW).astype(np.int64)
-            sizes = _bit_size(v)
-            scan([c], 0, start, end, 0, LOW, _tokens(sizes, v, sizes, _AC_TABLE[2]))
+            scan([c], 0, start, end, 0, LOW, _fixed_tokens(inner[c.ident][:, start : end + 1].ravel() >> LOW))
     for low in range(LOW - 1, -1, -1):
         scan(parts, 0, 0, 0, low + 1, low, ((np.concatenate(dc, axis=1).ravel() >> low) & 1).astype(np.uint8))
         for c in parts:
@@ -502,7 +540,7 @@ def encode(image: Image) -> bytes:
             bits = []
             for at in range(0, len(blocks), 32767):
                 some = blocks[at : at + 32767, 1:]
-                bits += [_run_bits(len(some), _RUN_TABLE[2]), ((some.ravel() >> low) & 1).astype(np.uint8)]
+                bits += [_end_of_bands(len(some)), ((some.ravel() >> low) & 1).astype(np.uint8)]
             scan([c], 1, 1, 63, low + 1, low, np.concatenate(bits))
     out.append(b"\xff\xd9")
     return b"".join(out)

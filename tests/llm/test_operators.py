@@ -96,6 +96,23 @@ def test_near_groups_across_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == neardup.brute_force(rows)
 
 
+def test_media_steps_of_a_short_text(monkeypatch):
+    """A short text's file costs few steps of numpy: a window's code and value are read at once, orders and tables are made once."""
+    steps = []
+    for name in ("arange", "concatenate", "where", "cumsum"):
+        monkeypatch.setattr(np, name, lambda *a, _f=getattr(np, name), **b: steps.append(1) or _f(*a, **b))
+    texts = [bytes(random.Random(i).choices(range(32, 127), k=2200)) for i in range(3)]
+    for text in texts:
+        steps.clear()
+        payload, n, _ = media.read(media.store(media.payload_of(text)))
+        assert payload[:n] == text
+    assert len(steps) <= 40
+    for text in (b"", b"\xc3\xbf" * 5, b"a" * 576, bytes(range(32, 127)) * 400):
+        media_of = media.store(media.payload_of(text))
+        payload, n, image = media.read(media_of)
+        assert (payload[:n], payload) == (text, media.payload_of(text)) and jpeg.encode(image) == media_of
+
+
 def test_components_stop_at_stars(spark, monkeypatch):
     """Rounds end as soon as components are stars around their least nodes, and pairs are compared where bands meet: each further step costs the driver a plan and its tasks."""
     from spendlens.llm import components
