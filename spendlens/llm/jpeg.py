@@ -8,6 +8,11 @@ is followed, and sums give each symbol its block and frequency. A refining
 scan goes block by block only where new coefficients appear; blocks under an
 end-of-band run take their correction bits together.
 
+Files of one frame, with equal tables and scans, are decoded and encoded as a
+stack, so that short files share the steps of numpy (`decode_all`, `encode_all`).
+Where all of them have a value for every place of a scan, they are read at once;
+other files of the stack are read one by one.
+
 `encode` writes coefficients as such a file: first scans at the precision
 `LOW` (DC of all components interleaved; the first component's AC in two
 spectral bands), then one refining scan a bit and component.
@@ -16,6 +21,7 @@ spectral bands), then one refining scan a bit and component.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 
@@ -38,23 +44,31 @@ class Component:
 
 
 class Image:
-    """Size, components with their zigzag coefficients, and quantisation tables (zigzag)."""
+    """Size, components with their zigzag coefficients, and quantisation tables (zigzag); or `many` images of one frame, whose blocks follow each other."""
 
-    def __init__(self, width: int, height: int, components: list[Component], tables: dict[int, np.ndarray]):
-        self.width, self.height, self.components, self.tables = width, height, components, tables
+    def __init__(self, width: int, height: int, components: list[Component], tables: dict[int, np.ndarray], many: int = 1):
+        self.width, self.height, self.components, self.tables, self.many = width, height, components, tables, many
         self.h, self.v = max(c.h for c in components), max(c.v for c in components)
         self.mcus_wide, self.mcus_high = -(-width // (8 * self.h)), -(-height // (8 * self.v))
         for c in components:
             c.cols, c.rows = self.mcus_wide * c.h, self.mcus_high * c.v  # with padding up to whole MCUs
             c.wide, c.high = -(-width * c.h // (8 * self.h)), -(-height * c.v // (8 * self.v))
-            if len(c.blocks) != c.cols * c.rows:
-                c.blocks = np.zeros((c.cols * c.rows, 64), np.int32)
+            if len(c.blocks) != many * c.cols * c.rows:
+                c.blocks = np.zeros((many * c.cols * c.rows, 64), np.int32)
+
+    def stacked(self, c: Component) -> np.ndarray:
+        """image x block x coefficient."""
+        return c.blocks.reshape(self.many, -1, 64)
 
     def order(self, c: Component, interleaved: bool) -> np.ndarray:
         """The blocks of a component in the order of a scan."""
         make = _order if c.cols * c.rows <= 4096 else _order.__wrapped__
         return make(c.cols, c.rows, *((self.mcus_high, c.v, self.mcus_wide, c.h) if interleaved else (c.high, c.wide)))
 
+    def places(self, c: Component, first: int, last: int) -> np.ndarray | slice:
+        """The blocks from `first` up to `last` of a scan of one component."""
+        return slice(first, last) if (c.cols, c.rows) == (c.wide, c.high) else self.order(c, False)[first:last]
+
 
 @functools.lru_cache(512)
 def _order(cols: int, rows: int, *shape: int) -> np.ndarray:
@@ -80,7 +94,8 @@ class Table:
                 at, k = at + step, k + 1
         known = self.length > 0
         self.run, self.size = self.symbol >> 4, self.symbol & 15
-        self.alone = known & (self.size > 0) & (self.run == 0)  # a value without zeros before it
+        #: Codes of a value without zeros before it, by length and size; 0 for others.
+        self.alone = np.where((self.size > 0) & (self.run == 0), self.length * np.uint16(16) + self.size, 0).astype(np.uint16)
         self.ends = known & (self.size == 0) & (self.run < 15)  # end of band, with `run` more bits of its run
         #: Bits of the code and of what comes with it, in DC scans and in AC scans.
         self.dc = np.where(known, self.length + self.symbol, 0).astype(np.uint8)
@@ -97,15 +112,16 @@ def make_table(symbols: list[int]) -> tuple[bytes, bytes, dict[int, tuple[int, i
 
 
 class _Windows:
-    """The 32 bits at any bit offsets of a segment, with ones beyond its end: a code and what comes with it."""
+    """The 32 bits at any bit offsets of segments that follow each other, with ones beyond the end of each: a code and what comes with it."""
 
-    def __init__(self, data: bytes):
-        self.data = data + b"\xff" * 8
-        self.limit = 8 * len(data)
-        self.eight = np.ndarray((len(data) + 1,), ">i8", self.data, strides=(1,))  # the 64 bits at any byte
+    def __init__(self, segments: list[bytes]):
+        self.data = b"".join([x + b"\xff" * 8 for x in segments])
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        self.limits = 8 * (np.cumsum(sizes + 8) - 8)
+        self.starts = self.limits - 8 * sizes
+        self.eight = np.ndarray((len(self.data) - 7,), ">i8", self.data, strides=(1,))  # the 64 bits at any byte
 
     def wide(self, at: np.ndarray) -> np.ndarray:
-        at = np.minimum(at, self.limit)
         return (self.eight[at >> 3] >> (32 - (at & 7))) & 0xFFFFFFFF
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
@@ -115,51 +131,49 @@ class _Windows:
         return int.from_bytes(self.data[at >> 3 : (at >> 3) + 3], "big") >> (8 - (at & 7)) & 0xFFFF
 
 
-def _chain(windows: _Windows, totals: list[np.ndarray], most: int) -> np.ndarray:
-    """Bit offsets of up to `most` successive codes, whose bits `totals` has by window; several tables take turns.
+def _chain(windows: _Windows, total: np.ndarray, most: int) -> np.ndarray:
+    """Bit offsets of up to `most` successive codes of a segment, whose bits `total` has by window.
 
     Codes of one length often follow each other, so a run of them is guessed
     and checked at once; short runs are followed one by one.
     """
-    if len(totals) == 1:
-        (total,) = totals
-        found: list[np.ndarray] = []
-        p, left = 0, most
-        while left > 0 and p < windows.limit:
-            step = int(total[windows.one(p)])
-            if not step:
-                left = 0
-                continue
-            guess = p + step * np.arange(min(left, -(-(windows.limit - p) // step)))
-            got = total[windows[guess]]
-            wrong = np.flatnonzero(got != step)
-            n = int(wrong[0]) if len(wrong) else len(guess)
-            found.append(guess[:n])
-            p, left = p + step * n, left - n
-            if n < 16 and len(wrong) and left > 0:
-                break
-        else:
-            return np.concatenate(found) if found else np.zeros(0, np.int64)
-        found.append(_follow(windows, totals, p, left))
-        return np.concatenate(found)
-    return _follow(windows, totals, 0, most)
+    found: list[np.ndarray] = []
+    p, left, limit = 0, most, int(windows.limits[0])
+    while left > 0 and p < limit:
+        step = int(total[windows.one(p)])
+        if not step:
+            break
+        guess = p + step * np.arange(min(left, -(-(limit - p) // step)))
+        got = total[windows[guess]]
+        wrong = np.flatnonzero(got != step)
+        n = int(wrong[0]) if len(wrong) else len(guess)
+        found.append(guess[:n])
+        p, left = p + step * n, left - n
+        if n < 16 and len(wrong) and left > 0:
+            found += map(np.array, _follow(windows, [total], left, p))
+            break
+    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
-def _follow(windows: _Windows, totals: list[np.ndarray], p: int, most: int) -> np.ndarray:
-    every = windows[np.arange(windows.limit)]
+def _follow(windows: _Windows, totals: list[np.ndarray], most: int, first: int = 0) -> list[list[int]]:
+    """Of each segment the bit offsets of up to `most` successive codes, from `first` on; several tables take turns."""
+    every = windows[np.arange(windows.limits[-1])]
     by_table: dict[int, bytes] = {}
     lengths = [by_table.setdefault(id(t), t[every].tobytes()) for t in totals]
-    out: list[int] = []
-    add, i, k = out.append, 0, len(lengths)
-    while p < windows.limit and most > 0 and lengths[i][p]:
-        add(p)
-        p += lengths[i][p]
-        i = i + 1 if i + 1 < k else 0
-        most -= 1
-    return np.array(out, np.int64)
+    found = []
+    for p, limit in zip((windows.starts + first).tolist(), windows.limits.tolist()):
+        out: list[int] = []
+        add = out.append
+        for _, own in zip(range(most), itertools.cycle(lengths)):
+            if p >= limit or not own[p]:
+                break
+            add(p)
+            p += own[p]
+        found.append(out)
+    return found
 
 
-def _values(wide: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _values(wide: np.ndarray, length: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
     """The signed values of `size` bits (0 to 15) that follow codes of `length` bits in windows of 32."""
     raw = (wide >> (32 - length - size)) & _SPAN[size]
     return raw - _SPAN[size] * (raw < _HALF[size])
@@ -195,127 +209,169 @@ class _Bits:
 # ---- Scans
 
 
-def _dc_first(image: Image, scan: list[tuple[Component, int, int]], tables: dict, segments: list[bytes], every: int, low: int) -> None:
+def _dc_first(image: Image, scan: list[tuple[Component, int, int]], tables: dict, segments: list[list[bytes]], every: int, low: int) -> None:
     interleaved = len(scan) > 1
     turns = [i for i, (c, _, _) in enumerate(scan) for _ in range(c.h * c.v if interleaved else 1)]
     orders = [image.order(c, interleaved) for c, _, _ in scan]
+    blocks = [image.stacked(c) for c, _, _ in scan]
     mcus = image.mcus_wide * image.mcus_high if interleaved else len(orders[0])
+    parts = {t: tables[0, t] for _, t, _ in scan}
+    totals = [parts[scan[i][1]].dc for i in turns] if len(parts) > 1 else [parts[scan[0][1]].dc]
     done = 0
-    for data in segments:
+    for files in segments:
         n = min(every or mcus, mcus - done)
-        windows = _Windows(data)
-        parts = {t: tables[0, t] for _, t, _ in scan}
-        totals = [parts[scan[i][1]].dc for i in turns] if len(parts) > 1 else [parts[scan[0][1]].dc]
-        at = _chain(windows, totals, n * len(turns))
-        wide = windows.wide(at)
-        turn = 0
-        for i, (c, t, _) in enumerate(scan):
-            many = turns.count(i)
-            if len(at) == n * len(turns):
-                own = wide.reshape(n, -1)[:, turn : turn + many].ravel()
-            else:
-                own = wide[np.isin(np.arange(len(at)) % len(turns), range(turn, turn + many))]
-            turn += many
-            w = own >> 16
-            values = np.cumsum(_values(own, parts[t].length[w].astype(np.int64), parts[t].symbol[w].astype(np.int64)))
-            each = len(orders[i]) // mcus if mcus else 0
-            c.blocks[orders[i][done * each : done * each + len(values)], 0] = values << low
+        windows = _Windows(files)
+        found = _follow(windows, totals, n * len(turns))
+        whole = all(len(at) == n * len(turns) for at in found)
+        for k, some in [(slice(None), found)] if whole else [(slice(j, j + 1), [at]) for j, at in enumerate(found)]:
+            wide = windows.wide(np.array(some, np.int64))
+            turn = 0
+            for i, (_, t, _) in enumerate(scan):
+                many = turns.count(i)
+                if whole:
+                    own = wide.reshape(len(some), n, -1)[:, :, turn : turn + many].reshape(len(some), -1)
+                else:
+                    own = wide[:, np.isin(np.arange(wide.shape[1]) % len(turns), range(turn, turn + many))]
+                turn += many
+                w = own >> 16
+                values = np.cumsum(_values(own, parts[t].length[w].astype(np.int64), parts[t].symbol[w].astype(np.int64)), axis=1)
+                each = len(orders[i]) // mcus if mcus else 0
+                blocks[i][k, orders[i][done * each : done * each + values.shape[1]], 0] = values << low
         done += n
 
 
-def _dc_refine(image: Image, scan: list[tuple[Component, int, int]], segments: list[bytes], every: int, low: int) -> None:
+def _bits_of(files: list[bytes], n: int) -> np.ndarray:
+    """The first n bits of each segment."""
+    size = -(-n // 8)
+    return np.unpackbits(np.frombuffer(b"".join([x[:size] for x in files]), np.uint8).reshape(len(files), size), axis=1)[:, :n]
+
+
+def _dc_refine(image: Image, scan: list[tuple[Component, int, int]], segments: list[list[bytes]], every: int, low: int) -> None:
     interleaved = len(scan) > 1
     orders = [image.order(c, interleaved) for c, _, _ in scan]
     mcus = image.mcus_wide * image.mcus_high if interleaved else len(orders[0])
     each = [len(o) // mcus for o in orders]
     done = 0
-    for data in segments:
+    for files in segments:
         n = min(every or mcus, mcus - done)
-        bits = np.unpackbits(np.frombuffer(data, np.uint8))[: n * sum(each)].reshape(n, -1)
+        bits = _bits_of(files, n * sum(each)).reshape(len(files), n, -1)
         first = 0
         for (c, _, _), o, k in zip(scan, orders, each):
-            c.blocks[o[done * k : (done + n) * k], 0] |= bits[:, first : first + k].ravel().astype(np.int32) << low
+            image.stacked(c)[:, o[done * k : (done + n) * k], 0] |= bits[:, :, first : first + k].reshape(len(files), -1).astype(np.int32) << low
             first += k
         done += n
 
 
-def _ac_first(image: Image, c: Component, table: Table, segments: list[bytes], every: int, start: int, end: int, low: int) -> None:
-    order = image.order(c, False)
+def _ac_first(image: Image, c: Component, table: Table, segments: list[list[bytes]], every: int, start: int, end: int, low: int) -> None:
+    blocks, all_blocks = image.stacked(c), c.wide * c.high
     band = end - start + 1
     done = 0
-    for data in segments:
-        n = min(every or len(order), len(order) - done)
-        windows = _Windows(data)
-        at = _chain(windows, [table.ac], n * (band + 1))
-        wide = windows.wide(at)
-        w = wide >> 16
-        length, s = table.length[w].astype(np.int64), table.size[w].astype(np.int64)
-        if len(at) == n * band and table.alone[w].all():  # a symbol for every place
-            c.blocks[order[done : done + n], start : end + 1] = _values(wide, length, s).reshape(n, band) << low
-            done += n
-            continue
-        r, stop = table.run[w].astype(np.int64), table.ends[w]
-        # Places as if bands followed one another: a symbol advances by its run and itself; an end of band to the end
-        # of its block and over the blocks of its run.
-        step = np.where(stop, 0, r + 1)
-        place = np.cumsum(step) - 1
-        if stop.any():
-            where = np.flatnonzero(stop)
-            raw = (wide[where] >> (32 - length[where] - r[where])) & _SPAN[r[where]]
-            blocks = np.where(r[where] > 0, (1 << r[where]) + np.where(r[where] > 0, raw, 0), 1)
-            walked = np.concatenate([[0], np.cumsum(step)])[where]
-            since = np.diff(np.concatenate([[0], walked]))
-            base = np.cumsum((since // band + blocks) * band)  # where the part after each end of band begins
-            part = np.cumsum(stop) - stop
-            place += np.concatenate([[0], base - walked])[part]
-        values = _values(wide, length, s) << low
-        new = (s > 0) & (place < n * band)
-        c.blocks[order[done + place[new] // band], start + place[new] % band] = values[new]
+    for files in segments:
+        n = min(every or all_blocks, all_blocks - done)
+        windows = _Windows(files)
+        kind = int(table.alone[windows.one(0)])
+        length, size = kind >> 4, kind & 15
+        if kind and (windows.limits - windows.starts >= (length + size) * n * band).all():
+            wide = windows.wide(windows.starts[:, None] + (length + size) * np.arange(n * band))
+            if (table.alone[wide >> 16] == kind).all():  # one code, and a value for every place
+                blocks[:, image.places(c, done, done + n), start : end + 1] = (_values(wide, length, size) << low).reshape(len(files), n, band)
+                done += n
+                continue
+        for data, own in zip(files, blocks):
+            _ac_first_of(own, image.order(c, False)[done : done + n], table, data, start, band, low)
         done += n
 
 
-def _ac_refine(image: Image, c: Component, table: Table, segments: list[bytes], every: int, start: int, end: int, low: int) -> None:
-    order = image.order(c, False)
-    one = 1 << low
+def _ac_first_of(blocks: np.ndarray, order: np.ndarray, table: Table, data: bytes, start: int, band: int, low: int) -> None:
+    n = len(order)
+    windows = _Windows([data])
+    at = _chain(windows, table.ac, n * (band + 1))
+    wide = windows.wide(at)
+    w = wide >> 16
+    length, s = table.length[w].astype(np.int64), table.size[w].astype(np.int64)
+    if len(at) == n * band and table.alone[w].all():  # a symbol for every place
+        blocks[order, start : start + band] = _values(wide, length, s).reshape(n, band) << low
+        return
+    r, stop = table.run[w].astype(np.int64), table.ends[w]
+    # Places as if bands followed one another: a symbol advances by its run and itself; an end of band to the end
+    # of its block and over the blocks of its run.
+    step = np.where(stop, 0, r + 1)
+    place = np.cumsum(step) - 1
+    if stop.any():
+        where = np.flatnonzero(stop)
+        raw = (wide[where] >> (32 - length[where] - r[where])) & _SPAN[r[where]]
+        over = np.where(r[where] > 0, (1 << r[where]) + np.where(r[where] > 0, raw, 0), 1)
+        walked = np.concatenate([[0], np.cumsum(step)])[where]
+        since = np.diff(np.concatenate([[0], walked]))
+        base = np.cumsum((since // band + over) * band)  # where the part after each end of band begins
+        part = np.cumsum(stop) - stop
+        place += np.concatenate([[0], base - walked])[part]
+    values = _values(wide, length, s) << low
+    new = (s > 0) & (place < n * band)
+    blocks[order[place[new] // band], start + place[new] % band] = values[new]
+
+
+def _ac_refine(image: Image, c: Component, table: Table, segments: list[list[bytes]], every: int, start: int, end: int, low: int) -> None:
+    blocks, all_blocks = image.stacked(c), c.wide * c.high
+    band = end - start + 1
     done = 0
-    for data in segments:
-        n = min(every or len(order), len(order) - done)
-        bits = _Bits(data)
-        b = 0
-        while b < n:
-            row = c.blocks[order[done + b], start : end + 1]
-            k, run = 0, 0
-            while k <= end - start:
-                rs = bits.symbol(table)
-                r, s = rs >> 4, rs & 15
-                if s == 0 and r < 15:
-                    run = (1 << r) + (bits.number(r) if r else 0)
-                    break
-                value = (one if bits.number(1) else -one) if s else 0
-                # Pass r zeros; what is not zero on the way takes a correction bit.
-                zero = np.flatnonzero(row[k:] == 0)
-                to = k + int(zero[r]) if r < len(zero) else end - start + 1
-                _correct(row[k:to], bits, one)
-                if value and to <= end - start:
-                    row[to] = value
-                k = to + 1
-            if run:
-                if k:
-                    _correct(row[k:], bits, one)
-                    c.blocks[order[done + b], start : end + 1] = row
-                more = order[done + b + (k > 0) : done + min(n, b + run)]
-                if len(more):
-                    many = c.blocks[more, start : end + 1]
-                    flat = many.ravel()
-                    _correct(flat, bits, one)
-                    c.blocks[more, start : end + 1] = flat.reshape(many.shape)
-                b += run
-            else:
-                c.blocks[order[done + b], start : end + 1] = row
-                b += 1
+    for files in segments:
+        n = min(every or all_blocks, all_blocks - done)
+        places = image.places(c, done, done + n)
+        # Under a run over all blocks, values everywhere take a bit each.
+        bits = _Bits(files[0][:8])
+        rs = bits.symbol(table)
+        head = bits.at + (rs >> 4)
+        if rs & 15 == 0 and rs < 0xF0 and (1 << (rs >> 4)) + bits.number(rs >> 4) == n and all(8 * len(x) >= head + n * band for x in files):
+            values = blocks[:, places, start : end + 1]
+            found = _bits_of(files, head + n * band)
+            if (found[:, :head] == found[:1, :head]).all() and values.all():
+                more = found[:, head:].reshape(values.shape).astype(np.int32) << low
+                blocks[:, places, start : end + 1] = values + (more if (values > 0).all() else np.sign(values) * more)
+                done += n
+                continue
+        for data, own in zip(files, blocks):
+            _ac_refine_of(own, image.order(c, False)[done : done + n], table, data, start, end, low)
         done += n
 
 
+def _ac_refine_of(blocks: np.ndarray, order: np.ndarray, table: Table, data: bytes, start: int, end: int, low: int) -> None:
+    one, n = 1 << low, len(order)
+    bits = _Bits(data)
+    b = 0
+    while b < n:
+        row = blocks[order[b], start : end + 1]
+        k, run = 0, 0
+        while k <= end - start:
+            rs = bits.symbol(table)
+            r, s = rs >> 4, rs & 15
+            if s == 0 and r < 15:
+                run = (1 << r) + (bits.number(r) if r else 0)
+                break
+            value = (one if bits.number(1) else -one) if s else 0
+            # Pass r zeros; what is not zero on the way takes a correction bit.
+            zero = np.flatnonzero(row[k:] == 0)
+            to = k + int(zero[r]) if r < len(zero) else end - start + 1
+            _correct(row[k:to], bits, one)
+            if value and to <= end - start:
+                row[to] = value
+            k = to + 1
+        if run:
+            if k:
+                _correct(row[k:], bits, one)
+                blocks[order[b], start : end + 1] = row
+            more = order[b + (k > 0) : min(n, b + run)]
+            if len(more):
+                many = blocks[more, start : end + 1]
+                flat = many.ravel()
+                _correct(flat, bits, one)
+                blocks[more, start : end + 1] = flat.reshape(many.shape)
+            b += run
+        else:
+            blocks[order[b], start : end + 1] = row
+            b += 1
+
+
 def _correct(values: np.ndarray, bits: _Bits, one: int) -> None:
     if values.all():
         values += np.sign(values) * (bits.take(len(values)) * np.int32(one))
@@ -328,19 +384,46 @@ def _correct(values: np.ndarray, bits: _Bits, one: int) -> None:
 
 def decode(data: bytes) -> Image:
     """Accumulate the scans of a progressive file into coefficient arrays."""
+    return decode_all([data])[0][1]
+
+
+def decode_all(files: list[bytes]) -> list[tuple[list[int], Image]]:
+    """The files as stacks of those with equal heads: the places of a stack's files, and their images."""
+    alike: dict[tuple, tuple[list[int], list[list[list[bytes]]]]] = {}
+    for i, data in enumerate(files):
+        heads, scans = _parts(data)
+        which, coded = alike.setdefault((heads, tuple(map(len, scans))), ([], []))
+        which.append(i)
+        coded.append(scans)
+    return [(which, _decoded(heads, coded)) for (heads, _), (which, coded) in alike.items()]
+
+
+def _parts(data: bytes) -> tuple[tuple[bytes, ...], list[list[bytes]]]:
+    """The marker segments of a file, marker and body, and of each scan its entropy-coded segments."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, every = 2, 0
+    at, heads, scans = 2, [], []
+    while data[at + 1] != 0xD9:
+        size = data[at + 2] << 8 | data[at + 3]
+        heads.append(data[at + 1 : at + 2] + data[at + 4 : at + 2 + size])
+        scan = data[at + 1] == 0xDA
+        at += 2 + size
+        if scan:
+            stop = _MARKER.search(data, at)
+            to = stop.start() if stop else len(data)
+            scans.append([s.replace(b"\xff\x00", b"\xff") for s in _RESTART.split(data[at:to])])
+            at = to
+    return tuple(heads), scans
+
+
+def _decoded(heads: tuple[bytes, ...], coded: list[list[list[bytes]]]) -> Image:
+    """The images of files with these heads; by file, scan and restart interval, what is coded."""
+    every, turn = 0, 0
     quant: dict[int, np.ndarray] = {}
     tables: dict[tuple[int, int], Table] = {}
     image: Image | None = None
-    while True:
-        marker = data[at + 1]
-        if marker == 0xD9:
-            break
-        size = struct.unpack_from(">H", data, at + 2)[0]
-        body = data[at + 4 : at + 2 + size]
-        at += 2 + size
+    for head in heads:
+        marker, body = head[0], head[1:]
         if marker == 0xDB:
             k = 0
             while k < len(body):
@@ -356,7 +439,7 @@ def decode(data: bytes) -> Image:
                 k += 17 + n
         elif marker == 0xC2:
             height, width, many = struct.unpack_from(">HHB", body, 1)
-            image = Image(width, height, [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(many)], quant)
+            image = Image(width, height, [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(many)], quant, len(coded))
         elif marker in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError("not a Huffman-coded progressive file")
         elif marker == 0xDD:
@@ -368,10 +451,8 @@ def decode(data: bytes) -> Image:
             scan = [(by[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
             start, end, bits = body[1 + 2 * n : 4 + 2 * n]
             high, low = bits >> 4, bits & 15
-            stop = _MARKER.search(data, at)
-            to = stop.start() if stop else len(data)
-            segments = [s.replace(b"\xff\x00", b"\xff") for s in _RESTART.split(data[at:to])]
-            at = to
+            segments = [list(files) for files in zip(*(scans[turn] for scans in coded))]
+            turn += 1
             if start == 0:
                 (_dc_refine(image, scan, segments, every, low) if high else _dc_first(image, scan, tables, segments, every, low))
             else:
@@ -396,26 +477,36 @@ def _table(counts: bytes, symbols: bytes) -> Table:
 
 _U, _X = np.arange(8)[:, None], np.arange(8)[None, :]
 _COS = np.where(_U == 0, np.sqrt(0.125), 0.5) * np.cos((2 * _X + 1) * _U * np.pi / 16)
-#: zigzag coefficient x pixel: the inverse transform of a block as one product.
-_INVERSE = np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[ZIGZAG].astype(np.float32)
+#: zigzag coefficient x pixel: the inverse transform of a block as one product, in units of 2^-28. Whole numbers below 2^53
+#: are exact in doubles, so that a block's pixels don't depend on the blocks beside it.
+_SCALE = 2.0**-28
+_INVERSE = np.rint(np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[ZIGZAG] / _SCALE)
 
 
 def plane(image: Image, c: Component) -> np.ndarray:
-    """The samples of a component, inverse-transformed, before clamping."""
+    """The samples of a component, inverse-transformed, before clamping; those of a stack's images one below the other."""
     quant = image.tables.get(c.table)
-    coefficients = c.blocks.astype(np.float32)
+    coefficients = c.blocks.astype(np.float64)
     if quant is not None and (quant != 1).any():
-        coefficients *= quant.astype(np.float32)
+        coefficients *= quant
     pixels = coefficients @ _INVERSE
-    return pixels.reshape(c.rows, c.cols, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.rows, 8 * c.cols) + np.float32(128)
+    pixels *= _SCALE
+    rows = image.many * c.rows
+    return pixels.reshape(rows, c.cols, 8, 8).transpose(0, 2, 1, 3).astype(np.float32, order="C").reshape(8 * rows, 8 * c.cols) + np.float32(128)
 
 
 def rgb(image: Image) -> np.ndarray:
     """height x width x 3, chroma upsampled to full resolution."""
-    out = np.empty((image.height, image.width, 3), np.uint8)
+    return rgb_all(image)[0]
+
+
+def rgb_all(image: Image) -> np.ndarray:
+    """The tensors of a stack: image x height x width x 3."""
+    out = np.empty((image.many, image.height, image.width, 3), np.uint8)
     planes = [np.clip(plane(image, c), 0, 255) for c in image.components]
+    apart = lambda x: x.reshape(image.many, -1, x.shape[1])[:, : image.height, : image.width]
     if len(planes) < 3:
-        out[:] = np.rint(_upsampled(image, image.components[0], planes[0])[: image.height, : image.width, None]).astype(np.uint8)
+        out[:] = np.rint(apart(_upsampled(image, image.components[0], planes[0])))[..., None].astype(np.uint8)
         return out
     first, second, third = image.components[:3]
     y = _upsampled(image, first, planes[0])
@@ -427,7 +518,7 @@ def rgb(image: Image) -> np.ndarray:
     for i, x in enumerate((y + up(third, np.float32(1.402) * cr), y - green, y + up(second, np.float32(1.772) * cb))):
         np.rint(x, out=x)
         np.clip(x, 0, 255, out=x)
-        out[:, :, i] = x[: image.height, : image.width]
+        out[..., i] = apart(x)
     return out
 
 
@@ -446,11 +537,15 @@ def _segment(marker: int, body: bytes) -> bytes:
     return b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
 
 
-def _stuffed(bits: np.ndarray) -> bytes:
-    data = np.packbits(bits)
-    if len(bits) % 8:
-        data[-1] |= (1 << -len(bits) % 8) - 1
-    return data.tobytes().replace(b"\xff", b"\xff\x00")
+def _stuffed(bits: np.ndarray, sizes: np.ndarray | None = None) -> list[bytes]:
+    """Each row's bits as bytes, filled up with ones; with `sizes` only so many bits of a row, and ones after them."""
+    data = np.packbits(bits, axis=1)
+    if bits.shape[1] % 8:
+        data[:, -1] |= (1 << -bits.shape[1] % 8) - 1
+    many, wide = data.shape
+    flat = data.tobytes()
+    ends = [wide] * many if sizes is None else (-(-sizes // 8)).tolist()
+    return [flat[i * wide : i * wide + n].replace(b"\xff", b"\xff\x00") for i, n in enumerate(ends)]
 
 
 def _joined(code: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -463,22 +558,27 @@ def _joined(code: np.ndarray, size: np.ndarray) -> np.ndarray:
     return wide[shift[None, :] < size[:, None]]
 
 
-def _tokens(symbols: np.ndarray, values: np.ndarray, sizes: np.ndarray, codes: dict[int, tuple[int, int]]) -> np.ndarray:
-    """Bits of symbols, each followed by `sizes` bits of its value."""
+def _tokens(values: np.ndarray, codes: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of DC differences by row, each the symbol of its size and so many bits of its value, and how many they are."""
     code, length = np.zeros(16, np.int64), np.zeros(16, np.int64)
     for s, (c, n) in codes.items():
         code[s], length[s] = c, n
+    sizes = _bit_size(values)
     extra = np.where(values < 0, values + (1 << sizes) - 1, values)
-    return _joined((code[symbols] << sizes) | extra, length[symbols] + sizes)
+    taken = length[sizes] + sizes
+    many = taken.sum(axis=1)
+    bits = np.ones((len(values), int(many.max())), np.uint8)
+    bits[np.arange(bits.shape[1]) < many[:, None]] = _joined(((code[sizes] << sizes) | extra).ravel(), taken.ravel())
+    return bits, many
 
 
 def _fixed_tokens(values: np.ndarray) -> np.ndarray:
-    """Bits of AC symbols of positive values of 8 bits each, all with the same code."""
+    """Bits by row of AC symbols of positive values of 8 bits each, all with the same code."""
     code, length = _AC_TABLE[2][MAGNITUDE - LOW]
-    bits = np.empty((len(values), length + 8), np.uint8)
-    bits[:, :length] = [code >> i & 1 for i in range(length - 1, -1, -1)]
-    bits[:, length:] = np.unpackbits(values.astype(np.uint8)[:, None], axis=1)
-    return bits.ravel()
+    bits = np.empty((*values.shape, length + 8), np.uint8)
+    bits[..., :length] = [code >> i & 1 for i in range(length - 1, -1, -1)]
+    bits[..., length:] = np.unpackbits(values.astype(np.uint8)[..., None], axis=-1)
+    return bits.reshape(len(values), -1)
 
 
 _BIT_SIZE = np.array([i.bit_length() for i in range(1 << 12)])
@@ -509,38 +609,43 @@ _TABLES = b"".join(_segment(0xC4, bytes([kind << 4 | ident]) + counts + symbols)
 
 def encode(image: Image) -> bytes:
     """A progressive file of positive coefficients of exactly MAGNITUDE bits, as `media` makes them."""
-    out = [b"\xff\xd8"]
+    return encode_all(image)[0]
+
+
+def encode_all(image: Image) -> list[bytes]:
+    """The files of a stack's images."""
+    head = [b"\xff\xd8"]
     for ident, q in sorted(image.tables.items()):
-        out.append(_segment(0xDB, bytes([ident]) + q.astype(np.uint8).tobytes()))
+        head.append(_segment(0xDB, bytes([ident]) + q.astype(np.uint8).tobytes()))
     frame = struct.pack(">BHHB", 8, image.height, image.width, len(image.components))
-    out.append(_segment(0xC2, frame + b"".join(bytes([c.ident, c.h << 4 | c.v, c.table]) for c in image.components)))
-    out.append(_TABLES)
-    parts = image.components
+    head.append(_segment(0xC2, frame + b"".join(bytes([c.ident, c.h << 4 | c.v, c.table]) for c in image.components)))
+    head.append(_TABLES)
+    parts, many = image.components, image.many
+    out = [[b"".join(head)] for _ in range(many)]
 
-    def scan(who: list[Component], table: int, start: int, end: int, high: int, low: int, bits: np.ndarray) -> None:
-        out.append(_segment(0xDA, bytes([len(who)]) + b"".join(bytes([c.ident, table]) for c in who) + bytes([start, end, high << 4 | low])) + _stuffed(bits))
+    def scan(who: list[Component], table: int, start: int, end: int, high: int, low: int, bits: np.ndarray, sizes: np.ndarray | None = None) -> None:
+        own = _segment(0xDA, bytes([len(who)]) + b"".join(bytes([c.ident, table]) for c in who) + bytes([start, end, high << 4 | low]))
+        for file, coded in zip(out, _stuffed(bits, sizes)):
+            file += (own, coded)
 
-    orders = [image.order(c, True) for c in parts]
-    dc = [c.blocks[o, 0].reshape(image.mcus_wide * image.mcus_high, -1) for c, o in zip(parts, orders)]
+    dc = [image.stacked(c)[:, image.order(c, True), 0].reshape(many, image.mcus_wide * image.mcus_high, -1) for c in parts]
     steps = [d >> LOW for d in dc]
     for step in steps:
-        flat = step.ravel()  # a view
-        flat[1:] -= flat[:-1].copy()
-    flat = np.concatenate(steps, axis=1).ravel().astype(np.int64)
-    sizes = _bit_size(flat)
-    scan(parts, 0, 0, 0, 0, LOW, _tokens(sizes, flat, sizes, _DC_TABLE[2]))
-    inner = {c.ident: c.blocks[image.order(c, False)] for c in parts}
+        flat = step.reshape(many, -1)  # a view
+        flat[:, 1:] -= flat[:, :-1].copy()
+    scan(parts, 0, 0, 0, 0, LOW, *_tokens(np.concatenate(steps, axis=2).reshape(many, -1).astype(np.int64), _DC_TABLE[2]))
+    inner = {c.ident: image.stacked(c)[:, image.places(c, 0, c.wide * c.high)] for c in parts}
     for c in parts:
         for start, end in [(1, 5), (6, 63)] if c is parts[0] else [(1, 63)]:
-            scan([c], 0, start, end, 0, LOW, _fixed_tokens(inner[c.ident][:, start : end + 1].ravel() >> LOW))
+            scan([c], 0, start, end, 0, LOW, _fixed_tokens((inner[c.ident][:, :, start : end + 1] >> LOW).reshape(many, -1)))
     for low in range(LOW - 1, -1, -1):
-        scan(parts, 0, 0, 0, low + 1, low, ((np.concatenate(dc, axis=1).ravel() >> low) & 1).astype(np.uint8))
+        scan(parts, 0, 0, 0, low + 1, low, ((np.concatenate(dc, axis=2).reshape(many, -1) >> low) & 1).astype(np.uint8))
         for c in parts:
             blocks = inner[c.ident]
             bits = []
-            for at in range(0, len(blocks), 32767):
-                some = blocks[at : at + 32767, 1:]
-                bits += [_end_of_bands(len(some)), ((some.ravel() >> low) & 1).astype(np.uint8)]
-            scan([c], 1, 1, 63, low + 1, low, np.concatenate(bits))
-    out.append(b"\xff\xd9")
-    return b"".join(out)
+            for at in range(0, blocks.shape[1], 32767):
+                some = blocks[:, at : at + 32767, 1:]
+                run = _end_of_bands(some.shape[1])
+                bits += [np.broadcast_to(run, (many, len(run))), ((some >> low) & 1).astype(np.uint8).reshape(many, -1)]
+            scan([c], 1, 1, 63, low + 1, low, np.concatenate(bits, axis=1))
+    return [b"".join([*file, b"\xff\xd9"]) for file in out]

@@ -113,6 +113,42 @@ def test_media_steps_of_a_short_text(monkeypatch):
         assert (payload[:n], payload) == (text, media.payload_of(text)) and jpeg.encode(image) == media_of
 
 
+def test_media_stacks_share_steps(monkeypatch):
+    """Short texts of one image size share numpy's steps, and give what each gives alone."""
+    steps = []
+    for name in ("arange", "concatenate", "where", "cumsum", "packbits", "unpackbits", "frombuffer"):
+        monkeypatch.setattr(np, name, lambda *a, _f=getattr(np, name), **b: steps.append(1) or _f(*a, **b))
+    texts = [bytes(random.Random(i).choices(range(32, 127), k=2000 + i)) for i in range(60)] + [b"", b"\xc3\xbf" * 5, b"", b"a" * 60000]
+    rows = dict(media._rows(texts))
+    assert len(rows) == len(texts) and len(steps) < 4 * len(texts)
+    for i, text in enumerate(texts):
+        stored = media.store(media.payload_of(text))
+        payload, n, image = media.read(stored)
+        tensor = jpeg.rgb(image)
+        assert rows[i] == (n, payload, stored, image.width, image.height, tensor.tobytes(), media.feature(tensor)) and payload[:n] == text
+
+
+def test_stack_with_other_codes():
+    """A stack's file whose scans leave places out, by codes with zeros before a value and ends of bands, is read by itself."""
+    stored = media.store(media.payload_of(bytes(random.Random(1).choices(range(32, 127), k=700))))
+    tried = 0
+    for scan in range(1, 5):  # the first scans of AC
+        at = [i for i in range(len(stored)) if stored[i : i + 2] == b"\xff\xda"][scan] + 12
+        for place in range(at, at + 40, 8):
+            other = stored[:place] + b"\xf5\xbe" + stored[place + 2 :]
+            if stored[place - 1] == 255 or stored[place + 1] == 255:
+                continue
+            ((which, image),) = jpeg.decode_all([stored, other, stored])
+            try:
+                blocks, _ = plain_decoder(other)
+            except (IndexError, KeyError, StopIteration, ValueError):
+                continue
+            tried += 1
+            for c, good in zip(image.components, jpeg.decode(stored).components):
+                assert which == [0, 1, 2] and (image.stacked(c)[::2] == good.blocks).all() and image.stacked(c)[1].tolist() == blocks[c.ident]
+    assert tried > 4
+
+
 def test_components_stop_at_stars(spark, monkeypatch):
     """Rounds end as soon as components are stars around their least nodes, and pairs are compared where bands meet: each further step costs the driver a plan and its tasks."""
     from spendlens.llm import components
