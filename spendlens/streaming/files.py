@@ -12,7 +12,8 @@ from spendlens import shared
 
 #: Where keyed state lies: on the executors' disks, with its changes in the checkpoint.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+#: Bytes of files to each task that shuffles what has arrived, about.
+DEALT = 16 << 20
 
 
 def read_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
@@ -29,16 +30,32 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
+def _size(spark: SparkSession, uri: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(uri))
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+
+
 def in_batches(df: DataFrame, n: int, *order: str) -> DataFrame:
     """A stream of the rows of `df` in n batches or fewer, a range of `order` in each, the first the oldest: what has arrived, written as files.
 
-    Tasks deal and write a range of `spark.sql.shuffle.partitions` each, not a batch each; a batch is several files.
+    The rows are written first, so that ranges are drawn without computing them twice. As many tasks compute them, deal
+    them and write a range as the size of their files asks for (`DEALT`), `spark.sql.shuffle.partitions` at least; a batch
+    is several files.
     """
     spark = df.sparkSession
-    path, tasks = shared.new_path(spark, "arrived"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(max(n, tasks), *order).write.parquet(path)
-    context = spark.sparkContext
+    context, source, path = spark.sparkContext, shared.new_path(spark, "arriving"), shared.new_path(spark, "arrived")
+    least, name = int(spark.conf.get("spark.sql.shuffle.partitions")), "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    tasks = lambda files: max(least, -(-sum(_size(spark, f) for f in files) // DEALT))
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, max(tasks(df.inputFiles()), int(before or 0)))  # small partitions are joined again
+    try:
+        df.write.parquet(source)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    written = spark.read.schema(df.schema).parquet(source)
+    written.repartitionByRange(max(n, tasks(written.inputFiles())), *order).write.parquet(path)
     fs = context._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration())
+    fs.delete(context._jvm.org.apache.hadoop.fs.Path(source), True)
     files = sorted((f.getPath() for f in fs.listStatus(context._jvm.org.apache.hadoop.fs.Path(path)) if "part-" in f.getPath().getName()), key=lambda p: p.getName())
     now = int(time.time())
     for k, file in enumerate(files):  # streams take files by age

@@ -15,10 +15,13 @@ _STATS = "query string, level string, store_id long, n long, low double, high do
 
 
 def _found(offers: DataFrame, queries: list[str]) -> DataFrame:
-    """The offers that queries find strictly, loosely, or because they have no keywords; which level counts is known at the end only."""
+    """The offers that queries find strictly, loosely, or because they have no keywords; which level counts is known at the end only.
+
+    The names that are found are written: the planner then knows how few they are, and offers needn't be dealt by name, of which many share one.
+    """
     asked, index = op.with_keywords(offers, queries), op.name_index(offers)
     worded = asked.where(F.size("words") > 0)
-    names = op.judged_strictly(index, worded).withColumn("level", F.lit("strict")).unionByName(op.judged_loosely(index, worded).withColumn("level", F.lit("loose")))
+    names = shared.written(op.judged_strictly(index, worded).withColumn("level", F.lit("strict")).unionByName(op.judged_loosely(index, worded).withColumn("level", F.lit("loose"))), "judged")
     every = asked.where(F.size("words") == 0).select("query", F.lit(0).alias("score"), F.lit("every").alias("level"))
     return offers.join(names, "name").unionByName(offers.join(F.broadcast(every)))  # a few typed searches: offers are read once, not once for each of their partitions
 

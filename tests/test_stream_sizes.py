@@ -32,6 +32,27 @@ def test_batches_are_dealt_to_many_tasks(spark):
     assert all(a[2] < b[1] for a, b in zip(sizes, sizes[1:])) and max(s[3] for s in sizes) == 4
 
 
+def test_batches_are_dealt_by_size(spark, monkeypatch):
+    """More than `spark.sql.shuffle.partitions` tasks deal what is too large for them; the session's settings stay."""
+    from spendlens.streaming import files
+
+    monkeypatch.setattr(files, "DEALT", 2048)
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    before = [spark.conf.get(n, None) for n in names]
+    rows = shared.written(spark.range(6000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")), "rows")
+    spark.conf.set(names[0], "4")
+    try:
+        stream = streaming.in_batches(rows.groupBy("id").agg(F.max("text").alias("text")), 3, "id")
+        assert spark.conf.get(names[1], None) == before[1]
+    finally:
+        spark.conf.set(names[0], before[0])
+    sizes = []
+    query = stream.writeStream.foreachBatch(lambda batch, n: sizes.append(batch.withColumn("file", F.input_file_name()).agg(F.count("*"), F.min("id"), F.max("id"), F.count_distinct("file")).first())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(sizes) == 3 and sum(s[0] for s in sizes) == 6000 and sum(s[3] for s in sizes) > 100
+    assert all(a[2] < b[1] for a, b in zip(sizes, sizes[1:]))
+
+
 def test_jobs_without_python(spark, no_python_state):
     started = spark.range(2000).select(F.col("id").alias("job_id"), F.lit("start").alias("kind"), F.lit(2).cast("long").alias("total"), F.lit(0).alias("at"))
     items = lambda at: started.select("job_id", F.lit("item").alias("kind"), F.lit(None).cast("long").alias("total"), F.lit(at).alias("at"))
@@ -68,3 +89,20 @@ def test_search_reads_a_batch_once(spark):
     found = search._found(offers, ["queso", "de la"])
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.query, r.name) for r in found.collect()) == [("de la", "Pan"), ("de la", "Queso"), ("queso", "Queso")]
+
+
+def test_found_names_are_few(spark):
+    """Offers aren't dealt by name, of which many share one, where few names are found."""
+    from spendlens.streaming import search
+
+    name = F.concat(F.lit("Queso extra"), (F.col("id") % 7).cast("string"))
+    offers = shared.written(spark.range(100000).select(F.col("id").alias("store_id"), F.col("id").alias("ordinal"), name.alias("name"), F.lit(2.0).alias("price")), "offers")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        found = search._found(offers, ["queso extra3", "queso duro"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(name" not in plan and "SortMergeJoin" not in plan
+        assert [tuple(r) for r in found.groupBy("query", "level", "name").count().where("level = 'strict'").collect()] == [("queso extra3", "strict", "Queso extra3", 14286)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
