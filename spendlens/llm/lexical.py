@@ -50,6 +50,8 @@ from .common import batches, utf8, work_dir, written
 DOCS, BYTES = 16, 1 << 18
 #: Documents that are sorted together, and the bytes of text after which no more are added.
 WINDOW, WINDOW_BYTES = 1000, 1 << 22
+#: Row groups of the index: bytes, measured every so many blocks. A reader holds a whole group, decoded to several times its bytes.
+GROUP_BYTES, GROUP_BLOCKS = 1 << 22, 16
 #: Blocks scored for each item's first threshold, and documents returned.
 FIRST, TOP = 8, 10
 #: Items, and terms of items, that one slice is expected to hold: what goes to every task.
@@ -136,8 +138,9 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def index(docs: DataFrame) -> DataFrame:
     """The blocks of `docs` (doc_id, text), written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text").where("text is not null")
+    groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": GROUP_BLOCKS, "parquet.page.size.row.check.max": GROUP_BLOCKS}
     with batches(docs.sparkSession, rows=500, mb=4):
-        return written(rows.mapInArrow(_blocks, BLOCK), "lexical-index")
+        return written(rows.mapInArrow(_blocks, BLOCK), "lexical-index", groups)
 
 
 def _item_terms(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,17 @@ def test_blocks_are_left_out(spark, sf_dir):
     assert (bounds >= max(best)).sum() == 1
 
 
+def test_index_is_written_in_small_row_groups(spark):
+    """A reader holds the decoded blocks of a whole row group, whose size mustn't follow that of a task's input."""
+    text = "array_join(transform(sequence(1, 300), i -> md5(concat(id, ':', i))), ' ')"
+    blocks = lexical.index(spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", f"{text} AS text", "1 AS block"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == blocks.count()
+    assert sum(g.total_byte_size for g in groups) > 20_000_000
+    assert max(g.total_byte_size for g in groups) < 8 << 20
+
+
 # vector codes
 
 
